@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import TICKS_PER_SECOND, BinGrid
-from trigflow.operators.running import cell_bits, collapse, summed_marks_up_to
+from trigflow.operators.running import cell_bits, collapse, marks_up_to, summed_marks_up_to
 
 SESSION = ["session_id"]
 
@@ -45,16 +45,16 @@ def _window_bits(lo: int, hi: int) -> int:
     return max(1, int(hi - lo).bit_length())
 
 
-def trigger_density(triggers: DataFrame, lo: int, hi: int) -> float:
-    """Triggers a typical trigger shares its window-sized bucket with.
+def density(df: DataFrame, lo: int, hi: int, keys: tuple[str, ...] = ("session_id",)) -> float:
+    """Rows a typical row shares its key and window-sized bucket with.
 
-    One pass over the triggers returning one row; a burst of triggers raises it even
-    when the average over the recording is low.
+    One aggregate returning one row; a burst raises it even when the average over the
+    recording is low.
     """
     bucket = F.shiftright("t_us", _window_bits(lo, hi)).alias("bucket")
     n = F.col("n").cast("double")
     row = (
-        triggers.where(F.col("t_us").isNotNull()).groupBy("session_id", bucket)
+        df.where(F.col("t_us").isNotNull()).groupBy(*keys, bucket)
         .agg(F.count(F.lit(1)).alias("n")).agg((F.sum(n * n) / F.sum(n)).alias("d")).first()
     )
     return row["d"] or 0.0
@@ -75,7 +75,7 @@ def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
     ``auto`` measures the trigger density and takes the cheaper one. Both are exact.
     """
     if method == "auto":
-        dense = trigger_density(triggers, grid.lo, grid.hi) > PAIRS_PER_PROBE * (grid.n_bins + 1)
+        dense = density(triggers, grid.lo, grid.hi) > PAIRS_PER_PROBE * (grid.n_bins + 1)
         method = "ranks" if dense else "pairs"
     if method == "pairs":
         pairs = range_join(points.select("session_id", "unit_id", "t_us"),
@@ -192,3 +192,54 @@ def smooth_bins(curves: DataFrame, sigma: float, n_bins: int, value: str = "rate
         .groupBy("session_id", "unit_id", F.col("target").alias("bin"))
         .agg(F.sum(F.col(value) * F.col("weight")).alias("smoothed"))
     )
+
+
+def variable_range_join(points: DataFrame, spans: DataFrame, bits: int = 22) -> DataFrame:
+    """Points inside per-row spans ``lo_us <= t <= hi_us`` of the same session.
+
+    Spans are cut into buckets of ``2**bits`` ticks (4 s), as many as they cover.
+    """
+    pts = points.select("session_id", "unit_id", "t_us").withColumn("bucket", F.shiftright("t_us", bits))
+    cut = spans.where("lo_us <= hi_us").withColumn(
+        "bucket", F.explode(F.sequence(F.shiftright("lo_us", bits), F.shiftright("hi_us", bits))))
+    return (
+        pts.join(cut, ["session_id", "bucket"])
+        .where((F.col("t_us") >= F.col("lo_us")) & (F.col("t_us") <= F.col("hi_us")))
+        .drop("bucket")
+    )
+
+
+def window_counts(points: DataFrame, triggers: DataFrame, lo: int, hi: int, ids: list[str],
+                  units: DataFrame | None = None, method: str = "auto") -> DataFrame:
+    """Points of each unit in the window of each trigger: (session, unit, ids, n, first_us).
+
+    ``first_us`` is the earliest relative time. Windows without points are left out.
+    ``pairs`` counts joined pairs. ``ranks`` probes each unit's running point count at
+    both window ends, one pair of probes per (unit, trigger) however many points lie
+    between; ``auto`` takes it when points crowd inside single windows.
+    """
+    by = ["session_id", "unit_id"]
+    if method == "auto":
+        method = "ranks" if density(points, lo, hi, tuple(by)) > 8 * PAIRS_PER_PROBE else "pairs"
+    if method == "pairs":
+        pairs = range_join(points.select(*by, "t_us"), triggers.select("session_id", *ids, "t_us")
+                           .withColumnsRenamed({c: f"id_{c}" for c in ids}), lo, hi)
+        return pairs.groupBy(*by, *[F.col(f"trig_id_{c}").alias(c) for c in ids]).agg(
+            F.count(F.lit(1)).alias("n"), F.min("rel_us").alias("first_us"))
+    units = points.select(*by).distinct() if units is None else units.select(*by)
+    marks = collapse(points.select(*by, F.col("t_us").alias("x")), [*by, "x"])
+    probes = triggers.where(F.col("t_us").isNotNull()).join(units, "session_id").select(
+        *by, *ids, "t_us",
+        F.explode(F.array(
+            F.struct(F.lit(0).alias("end"), (F.col("t_us") + lo - 1).alias("x")),
+            F.struct(F.lit(1).alias("end"), (F.col("t_us") + hi).alias("x")),
+        )).alias("e"),
+    ).select(*by, *ids, "t_us", "e.*")
+    ranked = marks_up_to(marks, probes, by, cell_bits(hi - lo), with_next=True)
+    at = F.when(F.col("end") == 1, F.col("rank")).otherwise(-F.col("rank"))
+    return (
+        ranked.groupBy(*by, *ids, "t_us")
+        .agg(F.sum(at).alias("n"), F.max(F.when(F.col("end") == 0, F.col("next_x"))).alias("next_x"))
+        .where("n > 0")
+        .select(*by, *ids, "n", (F.col("next_x") - F.col("t_us")).alias("first_us"))
+    )

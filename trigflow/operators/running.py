@@ -84,7 +84,6 @@ def _marked(marks: DataFrame, probes: DataFrame, keys: list[str], bits: int,
         after = Window.partitionBy(*part).orderBy(F.col("x").desc(), F.col("is_probe").desc())
         mark_x = F.when(F.col("is_probe") == 0, F.col("x"))
         rows = rows.withColumn("next_local", F.min(mark_x).over(after.rowsBetween(UNB, CUR)))
-        rows = rows.withColumn("last_local", F.max(mark_x).over(before))
 
     totals = (
         marks.groupBy(*by).agg(F.sum("n").alias("n"), F.min("x").alias("first_x"))
@@ -102,19 +101,15 @@ def marks_up_to(marks: DataFrame, probes: DataFrame, keys: Sequence[str], bits:
 
     ``marks(keys, x, n)`` must be collapsed; ``probes(keys, x, …)`` may carry any
     payload, which is returned with ``rank`` and, if asked, ``next_x``: the first
-    mark at or after ``x``.
+    mark strictly after ``x``.
     """
     keys = list(keys)
     rows, bases = _marked(marks, probes, keys, bits, with_next)
     out = rows.join(bases, [*keys, "cell"]).withColumn("rank", F.col("local") + F.col("base"))
     drop = ["cell", "local", "base"]
     if with_next:
-        out = out.withColumn(
-            "next_x",
-            F.when(F.col("last_local") == F.col("x"), F.col("x"))
-            .otherwise(F.coalesce("next_local", "next_cell_x")),
-        )
-        drop += ["last_local", "next_local", "next_cell_x"]
+        out = out.withColumn("next_x", F.coalesce("next_local", "next_cell_x"))
+        drop += ["next_local", "next_cell_x"]
     return out.drop(*drop)
 
 
@@ -152,15 +147,22 @@ def row_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 
 
 def kth_smallest(df: DataFrame, keys: Sequence[str], v: str, wanted: DataFrame,
-                 cell: Column) -> DataFrame:
+                 cell: Column | None = None) -> DataFrame:
     """Exact order statistics.
 
     ``wanted(keys, tag, k)`` asks for the k-th smallest (1-based) ``v`` per key; the
     result is ``(keys, tag, value)``. Only the one cell that holds the k-th value is
-    sorted.
+    sorted. Without a ``cell`` the range of each key is cut into 4096.
     """
     keys = list(keys)
-    values = collapse(df.where(F.col(v).isNotNull()), [*keys, v]).withColumn("cell", cell)
+    values = collapse(df.where(F.col(v).isNotNull()), [*keys, v])
+    if cell is None:
+        ends = values.groupBy(*keys).agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
+        share = (F.col(v) - F.col("mn")) / F.nullif(F.col("mx") - F.col("mn"), F.lit(0))
+        values = values.join(ends, keys).drop("cell").withColumn(
+            "cell", F.coalesce(F.floor(share * 4095), F.lit(0))).drop("mn", "mx")
+    else:
+        values = values.withColumn("cell", cell)
     totals = values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
     up = Window.partitionBy(*keys).orderBy("cell").rowsBetween(UNB, CUR)
     spans = totals.withColumn("upto", F.sum("n").over(up)).select(
@@ -180,7 +182,7 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], v: str, wanted: DataFrame,
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], v: str, probs: dict[str, float],
-                      cell: Column) -> DataFrame:
+                      cell: Column | None = None) -> DataFrame:
     """Linear-interpolation percentiles per key, one column per name in ``probs``."""
     keys = list(keys)
     sizes = df.where(F.col(v).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -220,3 +222,17 @@ def ntile_of(rank: Column, n: Column, k: Column) -> Column:
     return F.when(rank <= big_rows, F.floor((rank - 1) / (small + 1)) + 1).otherwise(
         n % k + F.floor((rank - 1 - big_rows) / F.greatest(small, F.lit(1))) + 1
     ).cast("int")
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], x: str, sums: dict[str, str], bits: int = 20) -> DataFrame:
+    """Adds inclusive running sums ``{new: column}`` along BIGINT ``x``, one row per (key, x) expected."""
+    keys = list(keys)
+    by = [*keys, "cell"]
+    rows = df.withColumn("cell", F.shiftright(x, bits))
+    local = Window.partitionBy(*by).orderBy(x).rowsBetween(UNB, CUR)
+    up = Window.partitionBy(*keys).orderBy("cell").rowsBetween(UNB, -1)
+    totals = rows.groupBy(*by).agg(*[F.sum(c).alias(f"t_{new}") for new, c in sums.items()])
+    bases = totals.select(*by, *[F.coalesce(F.sum(f"t_{new}").over(up), F.lit(0)).alias(f"b_{new}") for new in sums])
+    out = rows.withColumns({f"l_{new}": F.sum(c).over(local) for new, c in sums.items()}).join(bases, by)
+    return out.withColumns({new: F.col(f"l_{new}") + F.col(f"b_{new}") for new in sums}).drop(
+        "cell", *[f"l_{n}" for n in sums], *[f"b_{n}" for n in sums])
