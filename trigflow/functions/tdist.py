@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,7 +48,7 @@ def t_two_sided(t: float | None, df: float | None) -> float | None:
     return regularized_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     """p of |T| >= |t|; one row per unit or pair of groups, never per event."""
     return pd.Series([t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")

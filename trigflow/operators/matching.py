@@ -21,7 +21,7 @@ def _standard(vec: str):
     return F.transform(centred, lambda v: v / F.nullif(norm, F.lit(0.0)))
 
 
-def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units of a subject in blocks of bounded size, copied so that every two blocks meet once."""
     sized = units.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK_UNITS).cast("int")
@@ -33,7 +33,7 @@ def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "subject", F.col("block").alias("ba"), F.col("other").alias("bb"), "session_id", "unit_id", "vec")
     b = placed.withColumn("other", other).select(
         "subject", F.col("other").alias("ba"), F.col("block").alias("bb"), "session_id", "unit_id", "vec")
-    return a, b, units
+    return a, b.toDF(*b.columns)
 
 
 def _scores(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def top_matches(units: DataFrame, k: int = 5) -> DataFrame:
     """
     types = dict(units.dtypes)
     s, u, subj = types["session_id"], types["unit_id"], types["subject"]
-    a, b, _ = _block_pairs(units)
+    a, b = _block_pairs(units)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [*PAIR, "waveform_corr"]
@@ -84,7 +84,7 @@ def top_matches(units: DataFrame, k: int = 5) -> DataFrame:
 
 def match_diagnostics(units: DataFrame) -> DataFrame:
     """Per subject: smallest and largest score, sessions, cross-session pairs; no pair becomes a row."""
-    a, b, _ = _block_pairs(units)
+    a, b = _block_pairs(units)
     subj = dict(units.dtypes)["subject"]
 
     def extent(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

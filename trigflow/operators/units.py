@@ -27,8 +27,8 @@ def inter_point_intervals(points: DataFrame, bits: int = 20) -> DataFrame:
     by = ["session_id", "unit_id"]
     times = collapse(points, [*by, "t_us"]).withColumn("cell", F.shiftright("t_us", bits))
     prev = F.lag("t_us").over(Window.partitionBy(*by, "cell").orderBy("t_us"))
-    inside = times.select(*by, F.explode(F.array(
-        F.struct((F.col("t_us") - prev).alias("isi_us"), F.lit(1).cast("bigint").alias("n")),
+    inside = times.withColumn("prev", prev).select(*by, F.explode(F.array(
+        F.struct((F.col("t_us") - F.col("prev")).alias("isi_us"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit(0).cast("bigint").alias("isi_us"), (F.col("n") - 1).alias("n")),
     )).alias("s")).select(*by, "s.*")
     ends = times.groupBy(*by, "cell").agg(F.min("t_us").alias("a"), F.max("t_us").alias("z"))

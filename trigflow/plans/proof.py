@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trigflow.functions import scalars
 from trigflow.functions.ticks import bin_grid
-from trigflow.operators import align
+from trigflow.operators import (
+    align, directions, manifest, matching, population, probe, rollup, tagging, trials, units, waveforms,
+)
 from trigflow.plans import tables as tb
+from trigflow.sources import sessions as sess
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +64,616 @@ def q_range_join(spark, sf):
 def q_trials_matrix(spark, sf):
     out = align.trials_matrix(tb.user_points(spark, sf), tb.user_triggers(spark, sf), USER_GRID)
     return out.withColumn("rate_hz", F.round("rate_hz", 9))
+
+
+PSTH_GRID = bin_grid((-2 * HOUR, HOUR), 60.0)
+
+
+@query
+def q_psth(spark, sf):
+    points = tb.all_points(spark, sf)
+    triggers = tb.all_triggers(spark, sf)
+    return align.psth(points, triggers, tb.units_of(points), PSTH_GRID).where("rate_hz > 0").select(
+        "session_id", "unit_id", "bin", F.round("rate_hz", 9).alias("rate_hz"), "n_trials")
+
+
+@query
+def q_smooth(spark, sf):
+    points = tb.global_points(spark, sf)
+    curves = align.peth(points, tb.global_triggers(spark, sf), tb.units_of(points), GLOBAL_GRID)
+    return align.smooth_bins(curves, 1.5, GLOBAL_GRID.n_bins).withColumn("smoothed", F.round("smoothed", 9))
+
+
+@query
+def q_good_units(spark, sf):
+    units = tb.units_of(tb.trial_points(spark, sf))
+    return align.good_units(units, tb.customer_sessions(spark, sf))
+
+
+@query
+def q_good_chain(spark, sf):
+    units = tb.units_of(tb.trial_points(spark, sf))
+    k = F.col("session_id") + F.col("unit_id")
+    table = units.withColumn("quality", F.when(k % 5 == 0, "Good").when(k % 5 == 1, "").otherwise("mua")).withColumn(
+        "unit_quality", F.when(k % 2 == 0, "good"))
+    labelled = units.withColumn("quality", F.when((F.col("session_id") % 8 == 0) & (F.col("unit_id") < 4), "GOOD"))
+    sessions = tb.customer_sessions(spark, sf)
+    return sess.preferred_good_units(table, sessions, labelled).select("session_id", "unit_id")
+
+
+# --- trials ------------------------------------------------------------------
+
+
+@query
+def q_event_times(spark, sf):
+    t = tb.trials(spark, sf)
+    return trials.with_rises(t, tb.trial_channels(t)).select(
+        "session_id", "trial_idx", "outcome", trials.event_time().alias("event_us"))
+
+
+@query
+def q_event_triggers(spark, sf):
+    t = tb.trials(spark, sf)
+    ch = tb.trial_channels(t)
+    parts = [trials.event_triggers(t, ch, e).withColumn("event", F.lit(e)) for e in ("Change_ON", "Hit", "abort")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def q_outcome_groups(spark, sf):
+    t = tb.trials(spark, sf)
+    grp = trials.outcome_group(F.try_element_at("reactiontimes", F.lit("FA")))
+    return t.select("session_id", grp.alias("grp")).where("grp is not null").groupBy("session_id", "grp").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_common_length(spark, sf):
+    t = tb.trials(spark, sf)
+    ch = tb.trial_channels(t)
+    return trials.within_common_length(t, ch, "Change_ON").select("session_id", "trial_idx", "outcome")
+
+
+@query
+def q_baseline_windows(spark, sf):
+    t = tb.trials(spark, sf)
+    return trials.baseline_windows(t, tb.trial_channels(t), 20_000).select(
+        "session_id", "trial_idx", "usable_us", "n_end_bins", "valid")
+
+
+@query
+def q_baseline_ragged(spark, sf):
+    t = tb.trials(spark, sf)
+    points = tb.trial_points(spark, sf)
+    w = trials.baseline_windows(t, tb.trial_channels(t), 20_000)
+    return trials.baseline_unit_means(points, w, tb.units_of(points), 20_000).select(
+        "session_id", "trial_idx", "unit_id", r6(F.col("rate")).alias("rate"))
+
+
+@query
+def q_trial_qc(spark, sf):
+    q = units.trial_quality(tb.trials(spark, sf))
+    text = F.array_join(F.transform("outcome_counts", lambda s: F.concat(
+        s["outcome"], F.lit(":"), s["n"].cast("string"))), ",")
+    return q.withColumn("outcome_counts", text)
+
+
+# --- units and sessions --------------------------------------------------------
+
+
+@query
+def q_unit_qc(spark, sf):
+    q = units.unit_quality(tb.all_points(spark, sf), refractory_us=3_600_000_000)
+    return q.withColumns({"mean_rate_hz": F.round("mean_rate_hz", 12),
+                          "isi_violations_frac": r6(F.col("isi_violations_frac"))})
+
+
+@query
+def q_isi(spark, sf):
+    return units.inter_point_intervals(tb.user_points(spark, sf))
+
+
+@query
+def q_session_summary(spark, sf):
+    t = tb.trials(spark, sf)
+    points = tb.trial_points(spark, sf)
+    out = units.session_summary(tb.customer_sessions(spark, sf), t, tb.units_of(points), points,
+                                tb.trial_channels(t))
+    return out.withColumns({"session_duration_s": r6(F.col("session_duration_s")),
+                            "event_channels": F.array_join("event_channels", ",")})
+
+
+@query
+def q_hist_value(spark, sf):
+    h = units.histogram(tb.all_points(spark, sf), F.col("value"))
+    return h.withColumns({"left_edge": r6(F.col("left_edge")), "right_edge": r6(F.col("right_edge"))})
+
+
+@query
+def q_hist_by_session(spark, sf):
+    h = units.histogram(tb.all_points(spark, sf), F.col("value"), 25, ("session_id",))
+    return h.withColumns({"left_edge": r6(F.col("left_edge")), "right_edge": r6(F.col("right_edge"))})
+
+
+@query
+def q_id_normalise(spark, sf):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    raw = F.when(k % 10 == 0, F.array(F.lit(""), F.lit("NaN"), F.lit("x"))).otherwise(F.array(
+        s.cast("string"), F.concat(F.lit(" "), s.cast("string"), F.lit(".7 ")), F.lit(""), F.lit("oops"),
+        (k % 5).cast("string"), F.lit("nan"), (-(k % 3)).cast("string")))
+    return tb.read(spark, sf, "part").select(
+        "p_partkey", F.array_join(scalars.normalise_ids(raw), ",").alias("ids"))
+
+
+@query
+def q_session_identity(spark, sf):
+    return tb.session_names(spark, sf).select(
+        "session_id", scalars.session_subject(F.col("name")).alias("subject"),
+        scalars.session_label(F.col("name")).alias("label"))
+
+
+@query
+def q_session_date(spark, sf):
+    return tb.session_names(spark, sf).select(
+        "session_id", scalars.session_date(F.col("name")).cast("string").alias("session_date"))
+
+
+@query
+def q_alias_fields(spark, sf):
+    k = F.col("c_custkey")
+    a = F.when(k % 3 == 0, "").when(k % 3 == 1, F.col("c_acctbal").cast("string"))
+    b = F.when(k % 2 == 0, F.concat(F.lit(" "), F.col("c_nationkey").cast("string")))
+    c = F.when(k % 5 != 0, "nan").otherwise("bad")
+    return tb.read(spark, sf, "customer").select(
+        "c_custkey", scalars.first_number(a, b, c).alias("value"),
+        scalars.first_text(a, b, default="Unknown").alias("label"))
+
+
+# --- response tagging ------------------------------------------------------------
+
+EVOKED, BASE = (0, 6 * 3600 * 1_000_000), (-12 * 3600 * 1_000_000, 0)
+
+
+def _user(spark, sf):
+    points = tb.user_points(spark, sf)
+    return points, tb.user_triggers(spark, sf), tb.units_of(points)
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+METRIC_COLS = ("mean_latency_ms", "reliability", "evoked_count_mean", "evoked_count_std", "baseline_count_mean")
+
+
+@query
+def q_tag_metrics(spark, sf):
+    m = tagging.unit_metrics(*_user(spark, sf), EVOKED, BASE)
+    return _rounded(m, *METRIC_COLS).withColumn("baseline_rate_hz", F.round("baseline_rate_hz", 12))
+
+
+@query
+def q_latency_pct(spark, sf):
+    points, pulses, _ = _user(spark, sf)
+    return _rounded(tagging.latency_percentiles(points, pulses, EVOKED), "latency_p10_ms", "latency_p50_ms")
+
+
+@query
+def q_poisson_tail(spark, sf):
+    m = tagging.unit_metrics(*_user(spark, sf), EVOKED, BASE)
+    lam = F.col("baseline_rate_hz") * F.col("n_pulses") * ((EVOKED[1] - EVOKED[0]) / 1e6)
+    return m.select("session_id", "unit_id",
+                    r6(scalars.poisson_upper_tail(F.col("total_evoked"), lam)).alias("p_poisson"))
+
+
+@query
+def q_perm_evoked(spark, sf):
+    return _rounded(tagging.permutation_p(*_user(spark, sf), 20, EVOKED), "p_permutation")
+
+
+@query
+def q_units_table(spark, sf):
+    t = tagging.units_table(*_user(spark, sf), None, 20, 3 * 3600 * 1000.0, 0.3, EVOKED, BASE)
+    t = _rounded(t, *METRIC_COLS, "latency_p10_ms", "latency_p50_ms", "p_poisson", "p_permutation")
+    return t.withColumn("baseline_rate_hz", F.round("baseline_rate_hz", 12)).drop(
+        "wf_peak_width_us", "wf_peak_valley_us", "wf_mean_fr_hz", "wf_class")
+
+
+@query
+def q_topn_units(spark, sf):
+    return _rounded(tagging.top_units(tagging.unit_metrics(*_user(spark, sf), EVOKED, BASE), 2).select(
+        "session_id", "unit_id", "rank", "reliability"), "reliability")
+
+
+@query
+def q_tag_or_top(spark, sf):
+    m = tagging.unit_metrics(*_user(spark, sf), EVOKED, BASE)
+    m = m.withColumn("classification", scalars.response_class(
+        F.col("mean_latency_ms"), F.col("reliability"), 3 * 3600 * 1000.0, 0.3))
+    return tagging.tagged_or_top(m, 1)
+
+
+@query
+def q_pulses(spark, sf):
+    p = tagging.pulse_table(tb.lasers(spark, sf))
+    return _rounded(p, "onset_s", "offset_s", "sample_rate").withColumns({
+        c: F.round(c, 1) for c in ("onset_samples", "offset_samples")}).drop("t_us")
+
+
+@query
+def q_blocks(spark, sf):
+    p = tagging.pulse_table(tb.lasers(spark, sf))
+    return tagging.pulse_blocks(p, 2e7).select("session_id", "event_idx", "block_id")
+
+
+@query
+def q_spike_units(spark, sf):
+    spikes = tb.raw_spikes(spark, sf)
+    rates = spikes.select("session_id").distinct().withColumn("sample_rate", F.lit(30_000.0))
+    return tagging.spikes_in_ticks(spikes, rates).groupBy("session_id", "unit_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("t_us").alias("sum_us"))
+
+
+# --- population ------------------------------------------------------------------
+
+
+def _pop(spark, sf):
+    pop = tb.population(spark, sf)
+    t = tb.population_trials(spark, sf).withColumn("cond", F.col("outcome"))
+    return pop, t, pop.select("session_id", "unit_id").distinct()
+
+
+def _direction(spark, sf):
+    pop, t, u = _pop(spark, sf)
+    return pop, t, population.mean_direction(
+        population.condition_average(pop, t, u, tb.N_POP_BINS), "Miss", "Hit")
+
+
+@query
+def q_condition_avg(spark, sf):
+    pop, t, u = _pop(spark, sf)
+    return _rounded(population.condition_average(pop, t, u, tb.N_POP_BINS), "avg_rate")
+
+
+@query
+def q_cd_meandiff(spark, sf):
+    return _rounded(_direction(spark, sf)[2], "weight")
+
+
+@query
+def q_project(spark, sf):
+    pop, _, w = _direction(spark, sf)
+    return _rounded(population.project(pop, w), "proj")
+
+
+@query
+def q_trial_scalar(spark, sf):
+    pop, t, w = _direction(spark, sf)
+    s = population.trial_scalar(population.project(pop, w), t, [0, 1, 2, 3])
+    return _rounded(s.select("session_id", "trial_idx", "outcome", "value"), "value")
+
+
+def _grouped(spark, sf):
+    pop, t, w = _direction(spark, sf)
+    t = t.withColumn("grp", trials.outcome_group(F.col("fa_latency")))
+    proj = population.project(pop, w)
+    return proj, t, population.trial_scalar(proj, t, [0, 1, 2, 3])
+
+
+@query
+def q_group_stats(spark, sf):
+    return _rounded(population.group_stats(_grouped(spark, sf)[2]), "mean", "sem")
+
+
+@query
+def q_group_curve(spark, sf):
+    proj, t, _ = _grouped(spark, sf)
+    return _rounded(population.group_curve(proj, t, tb.N_POP_BINS), "mean", "sem")
+
+
+@query
+def q_welch(spark, sf):
+    return _rounded(population.welch_t(_grouped(spark, sf)[2]), "t_stat", "df").drop("p_value")
+
+
+@query
+def q_paired_t(spark, sf):
+    pop, t, u = _pop(spark, sf)
+    r = population.paired_t(pop, t, u, [0, 1, 2], [3, 4, 5, 6])
+    return _rounded(r, "mean_baseline", "mean_response", "t_stat").drop("p_value", "is_responsive")
+
+
+def _labels(spark, sf):
+    return tb.population_trials(spark, sf).select(
+        "session_id", "trial_idx", (F.col("outcome") == "Hit").cast("int").alias("y"))
+
+
+@query
+def q_kfold(spark, sf):
+    return directions.stratified_folds(_labels(spark, sf), 5)
+
+
+@query
+def q_cd_shrinkage(spark, sf):
+    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "shrinkage", 1.0)
+
+
+@query
+def q_cd_ridge(spark, sf):
+    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "ridge", 1.0)
+
+
+@query
+def q_cd_time_resolved(spark, sf):
+    pop = tb.population(spark, sf)
+    folds = directions.stratified_folds(_labels(spark, sf), 5)
+    return directions.held_out_projections(pop, folds, directions.solve_time_resolved(pop, folds))
+
+
+@query
+def q_cd_perm(spark, sf):
+    pop = tb.population(spark, sf)
+    folds = directions.stratified_folds(_labels(spark, sf), 5)
+    return directions.effects(directions.solve_time_resolved(pop, folds, n_permutations=20))
+
+
+@query
+def q_baseline_cd(spark, sf):
+    t = tb.trials(spark, sf)
+    points = tb.trial_points(spark, sf).withColumn("session_id", F.lit("all"))
+    one = t.withColumn("trial_idx", F.col("order_key")).withColumn("session_id", F.lit("all"))
+    w = trials.baseline_windows(one, tb.trial_channels(one), 20_000)
+    vec = trials.baseline_unit_means(points, w, tb.units_of(points), 20_000)
+    fit = w.where(F.col("outcome").isin("Hit", "FA") & (F.col("n_end_bins") > 0)).select(
+        "session_id", "trial_idx", (F.col("outcome") == "Hit").cast("int").alias("y"))
+    cd = directions.fit_direction(vec, fit)
+    return population.project(vec, cd, ["trial_idx"])
+
+
+# --- waveforms -------------------------------------------------------------------
+
+
+def _mean_waves(spark, sf):
+    vec = tb.vectors(spark, sf)
+    st = vec.select("session_id", "unit_id", "template_id")
+    return st, tb.long_waveforms(vec.drop("unit_id"), "template_id")
+
+
+@query
+def q_mean_template(spark, sf):
+    return _rounded(waveforms.mean_templates(*_mean_waves(spark, sf)), "value")
+
+
+@query
+def q_template_summary(spark, sf):
+    st, tm = _mean_waves(spark, sf)
+    s = st.select("session_id").distinct()
+    return _rounded(waveforms.template_summary(s, st.select("session_id", "unit_id").distinct(), st, st, tm),
+                    "mean_amp")
+
+
+def _shapes(spark, sf):
+    vec = tb.vectors(spark, sf).select("session_id", F.col("template_id").alias("unit_id"), "embedding")
+    return waveforms.waveform_shape(tb.long_waveforms(vec, "unit_id"))
+
+
+@query
+def q_waveform_shape(spark, sf):
+    return _rounded(_shapes(spark, sf), "peak_width_us", "peak_valley_us")
+
+
+@query
+def q_wf_class(spark, sf):
+    rate = (F.col("unit_id") % 23) / 2.0
+    return _shapes(spark, sf).select("session_id", "unit_id", scalars.waveform_class(
+        F.col("peak_width_us") * 1.5, F.col("peak_valley_us") * 4, rate).alias("wf_class"))
+
+
+@query
+def q_exemplars(spark, sf):
+    amp = tb.vectors(spark, sf).select("session_id", F.col("template_id").alias("unit_id"), F.aggregate(
+        "embedding", F.lit(0.0), lambda a, v: a + F.abs(v.cast("double"))).alias("amp"))
+    return _rounded(waveforms.exemplars(amp, "amp"), "target")
+
+
+# --- matching --------------------------------------------------------------------
+
+
+def _match_units(spark, sf):
+    return tb.vectors(spark, sf).select(
+        F.col("unit_id").alias("subject"), "session_id", F.col("template_id").alias("unit_id"),
+        F.col("embedding").alias("vec"))
+
+
+@query
+def q_top_matches(spark, sf):
+    return _rounded(matching.top_matches(_match_units(spark, sf), 5), "waveform_corr")
+
+
+@query
+def q_match_diagnostics(spark, sf):
+    return _rounded(matching.match_diagnostics(_match_units(spark, sf)), "prob_min", "prob_max")
+
+
+@query
+def q_match_table(spark, sf):
+    best = matching.top_matches(_match_units(spark, sf), 5)
+    scored = best.select("subject", F.col("session_b").alias("session_a"), F.col("session_a").alias("session_b"),
+                         F.col("unit_b").alias("unit_a"), F.col("unit_a").alias("unit_b"),
+                         F.round("waveform_corr", 6).alias("prob"))
+    return matching.match_table(scored)
+
+
+@query
+def q_pair_similarity(spark, sf):
+    """Matched units: users of the same number in two event types."""
+    points = tb.all_points(spark, sf)
+    u = tb.units_of(points)
+    a = u.where("session_id = 'click'").select(F.col("unit_id").alias("subject"), F.lit("click").alias("session_a"),
+                                               F.col("unit_id").alias("unit_a"))
+    b = u.where("session_id = 'view'").select(F.col("unit_id").alias("subject"), F.lit("view").alias("session_b"),
+                                              F.col("unit_id").alias("unit_b"))
+    pairs = a.join(b, "subject")
+    hour = F.shiftright("t_us", 37).cast("int")
+    waves = points.groupBy("session_id", "unit_id", F.lit(0).alias("channel"), hour.alias("sample")).agg(
+        F.sum("value").alias("value"))
+    rates = units.unit_quality(points).select("session_id", "unit_id", "mean_rate_hz")
+    s = matching.pair_similarity(pairs, waves, units.inter_point_intervals(points), rates)
+    return _rounded(s, "waveform_corr", "isi_ks", "firing_rate_ratio", "composite_score")
+
+
+@query
+def q_session_rollup(spark, sf):
+    proj, t, values = _grouped(spark, sf)
+    stats = population.group_stats(values)
+    sessions = t.select("session_id").distinct().withColumn("session_name", F.concat(
+        F.lit("S_1_0"), F.substring("session_id", 1, 1), F.lit("03202"), F.substring("session_id", 1, 1)))
+    listed = values.where("session_id < '4'").select("session_id", "outcome", "value")
+    out = rollup.session_rollup(sessions, stats, stats, listed, listed)
+    return _rounded(out, "mean_change_hit", "mean_change_miss", "mean_baseline_hit", "mean_baseline_FA_gt3",
+                    "change_diff").withColumn("session_date", F.col("session_date").cast("string"))
+
+
+# --- manifests and probes --------------------------------------------------------
+
+
+@query
+def q_manifest_status(spark, sf):
+    return manifest.folder_status(tb.page_files(spark, sf), "/data", 4)
+
+
+@query
+def q_status_counts(spark, sf):
+    return manifest.status_counts(manifest.folder_status(tb.page_files(spark, sf), "/data", 4))
+
+
+@query
+def q_required_missing(spark, sf):
+    files = tb.page_files(spark, sf)
+    configured = tb.read(spark, sf, "pages").select(F.concat(
+        F.lit("/data/"), F.regexp_extract("url", r"^https?://([^/]+)/", 1), F.lit("/"),
+        F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1), F.lit("/run_"),
+        F.floor(F.col("page_id") / 7).cast("string")).alias("path")).distinct()
+    return manifest.missing_artifacts(manifest.required_artifacts(configured, files))
+
+
+def _metas(spark, sf):
+    return probe.read_meta(tb.part_texts(spark, sf).select("path", F.col("meta_text").alias("text")))
+
+
+def _imro(spark, sf):
+    return probe.read_imro(tb.part_texts(spark, sf).select("path", F.col("imro_text").alias("text")))
+
+
+@query
+def q_meta_map(spark, sf):
+    m = _metas(spark, sf)
+    return m.select("path", "n_channels_meta", "n_channels", r6(F.col("fs")).alias("fs"),
+                    F.try_element_at("meta", F.lit("dup")).alias("dup"),
+                    F.try_element_at("meta", F.lit("fileName")).alias("file_name"), F.size("meta").alias("n_keys"))
+
+
+@query
+def q_imro(spark, sf):
+    return _imro(spark, sf)
+
+
+@query
+def q_electrode_xy(spark, sf):
+    sizes = tb.part_texts(spark, sf).select("path", F.lit(4).alias("n_channels"))
+    return probe.electrode_xy(_imro(spark, sf), sizes).drop("connected")
+
+
+@query
+def q_geom_map(spark, sf):
+    return probe.geometry_map_sites(_metas(spark, sf))
+
+
+@query
+def q_shank_map(spark, sf):
+    return probe.shank_map_sites(_metas(spark, sf))
+
+
+@query
+def q_site_coords(spark, sf):
+    bad = tb.part_texts(spark, sf).select("path", (F.col("size") % 5).cast("int").alias("chan"))
+    return probe.site_coordinates(_metas(spark, sf), bad).select("path", "chan", "site_x", "y", "shank", "connected")
+
+
+@query
+def q_probe_validate(spark, sf):
+    t = tb.part_texts(spark, sf).select("path", "length")
+    rec = _metas(spark, sf).select("path", "n_channels_meta").join(t, "path").withColumn(
+        "n_channels", (F.col("path") % 3 + 2).cast("int"))
+    return probe.validate_probe(_imro(spark, sf), rec)
+
+
+@query
+def q_shanks(spark, sf):
+    c = probe.shank_centers(tb.part_channels(spark, sf))
+    return _rounded(c.join(probe.shank_spacing(c).drop("n_shanks"), "session_id"), "center", "shank_dist")
+
+
+@query
+def q_shank_assign(spark, sf):
+    ch = tb.part_channels(spark, sf)
+    return probe.assign_shanks(ch, probe.shank_centers(ch))
+
+
+# --- ingest ----------------------------------------------------------------------
+
+
+def _records(spark, sf):
+    """Each line as a small nested record."""
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    num = F.lit(None).cast("double")
+    trial = F.struct(
+        F.col("l_returnflag").alias("trialoutcome"), F.create_map(F.lit("RT"), q / 10).alias("reactiontimes"),
+        F.when(n % 2 == 0, q).alias("change_size"), (q + 1).alias("Stim2TF"), num.alias("orientation"),
+        n.cast("double").alias("Stim2Ori"), num.alias("ITI"), F.when(n > 3, q).alias("stimD"),
+        num.alias("change_time"), (q * 2).alias("stimT"), F.array(q).alias("baseline_values"),
+        F.array(q + 5).alias("St1TrialVector"))
+    rises = F.struct(F.array(q, q + 0.5).alias("rise_t"), F.array(q + 0.1).alias("fall_t"),
+                     F.array(F.lit(0.1), F.lit(0.1), F.lit(0.2)).alias("duration"))
+    return tb.read(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("session_id"),
+        F.struct(F.array(trial, trial).alias("trials_data_exp")).alias("behav_data"),
+        F.struct(F.array(q, q + 1.5, q + 2.25).alias("st"), F.array(n, F.lit(None).cast("int"), n + 1).alias("clu"),
+                 F.array(n.cast("string"), F.lit("")).alias("cluster_id_KS_good")).alias("NPX_probes"),
+        F.struct(F.concat(F.lit("A_"), F.col("l_linestatus"), F.lit("_"), n.cast("string")).alias("session_name"),
+                 F.create_map(F.lit("Laser"), rises).alias("channels")).alias("NI_events"))
+
+
+@query
+def q_ingest_trials(spark, sf):
+    t = sess.trials_of(_records(spark, sf))
+    return t.select("session_id", "trial_idx", "outcome", F.col("reactiontimes")["RT"].alias("rt"), "change_size",
+                    "orientation", "iti", "change_time", F.col("baseline_values")[0].alias("baseline0"))
+
+
+@query
+def q_ingest_spikes(spark, sf):
+    return sess.spikes_of(_records(spark, sf)).groupBy("session_id", "unit_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("t_us").alias("sum_us"))
+
+
+@query
+def q_ingest_channels(spark, sf):
+    return sess.channel_events_of(_records(spark, sf)).select(
+        "session_id", "channel", "event_idx", "rise_t", r6(F.col("fall_t")).alias("fall_t"), "duration")
+
+
+@query
+def q_ingest_sessions(spark, sf):
+    return sess.sessions_of(_records(spark, sf)).groupBy("subject", "session_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.get("good_unit_ids", F.lit(0))).alias("sum_good"))
+
+
+@query
+def q_unit_labels(spark, sf):
+    kinds = F.array(*[F.lit(v) for v in ("good", "MUA", "Non-Soma Good", "not good", "GOODUNIT")])
+    t = tb.read(spark, sf, "labels").select(
+        F.col("doc_id").alias("cluster_id"), F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("unit_type"))
+    strict = sess.good_unit_labels(t.select(F.col("cluster_id").alias("unit_id"), F.col("unit_type").alias("label")))
+    loose = sess.good_units_by_type(t)
+    return strict.withColumn("rule", F.lit("label")).union(loose.withColumn("rule", F.lit("type")))
