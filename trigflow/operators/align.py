@@ -209,6 +209,12 @@ def variable_range_join(points: DataFrame, spans: DataFrame, bits: int = 22) ->
     )
 
 
+def count_method(points: DataFrame, lo: int, hi: int) -> str:
+    """``ranks`` when the points of single units crowd inside windows of this span, else ``pairs``."""
+    dense = density(points, lo, hi, ("session_id", "unit_id")) > 8 * PAIRS_PER_PROBE
+    return "ranks" if dense else "pairs"
+
+
 def window_counts(points: DataFrame, triggers: DataFrame, lo: int, hi: int, ids: list[str],
                   units: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """Points of each unit in the window of each trigger: (session, unit, ids, n, first_us).
@@ -220,7 +226,7 @@ def window_counts(points: DataFrame, triggers: DataFrame, lo: int, hi: int, ids:
     """
     by = ["session_id", "unit_id"]
     if method == "auto":
-        method = "ranks" if density(points, lo, hi, tuple(by)) > 8 * PAIRS_PER_PROBE else "pairs"
+        method = count_method(points, lo, hi)
     if method == "pairs":
         pairs = range_join(points.select(*by, "t_us"), triggers.select("session_id", *ids, "t_us")
                            .withColumnsRenamed({c: f"id_{c}" for c in ids}), lo, hi)

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trigflow.operators.population import dense_unit_index, project
 from trigflow.operators.running import kth_smallest, ntile_of, row_rank
 from trigflow.operators.tagging import hash60
+from trigflow.session import cut_lineage
 
-CHUNK_TRIALS = 1024
+CHUNK_CELLS = 4_000_000  # trials x units held at once by a task
 GRAM, PLAIN = -2, -1  # moment kinds below the label sets 0, 1, 2, …
+WORD = 62  # label sets packed into one BIGINT
 
 
 def stratified_folds(labels: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -58,63 +60,83 @@ def with_label_sets(labels: DataFrame, n_permutations: int, seed: int = 0) -> Da
     wanted = n1.withColumn("perm", F.explode(perms)).select("session_id", "perm", F.lit("t").alias("tag"), "k")
     rows = labels.select("session_id", "trial_idx", F.explode(perms).alias("perm")).withColumn(
         "h", draw(F.col("perm")))
-    cut = kth_smallest(rows, ["session_id", "perm"], "h", wanted, F.shiftright("h", 48))
+    cut = kth_smallest(rows, ["session_id", "perm"], "h", wanted, F.shiftright("h", 53))
     cuts = cut.groupBy("session_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("perm", "value"))), lambda s: s["value"]).alias("cuts"))
     permuted = F.transform(perms, lambda p: (draw(p) <= F.get("cuts", p - 1)).cast("int"))
     return labels.join(cuts, "session_id").withColumn("ys", F.concat(F.array("y"), permuted)).drop("cuts")
 
 
-def _chunk_moments(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Moments of one bounded chunk of trials of one (session, bin, fold)."""
-    trial, first = np.unique(pdf["trial_idx"].to_numpy(), return_index=True)
-    row = np.searchsorted(trial, pdf["trial_idx"].to_numpy())
-    units, col = np.unique(pdf["u"].to_numpy(), return_inverse=True)
-    x = np.zeros((len(trial), len(units)))
-    np.add.at(x, (row, col), pdf["rate"].to_numpy())
-    y = np.stack(pdf["ys"].to_numpy()[first]).astype(float)
-    i, j = np.triu_indices(len(units))
-    gram = (x.T @ x)[i, j]
-    sums = y.T @ x
-    sets, at = np.indices(sums.shape)
-    parts = [
-        (np.full(len(gram), GRAM), units[i], units[j], gram),
-        (np.full(len(units), PLAIN), units, np.full(len(units), -1), x.sum(axis=0)),
-        (sets.ravel(), units[at.ravel()], np.full(sums.size, -1), sums.ravel()),
-    ]
-    kind, a, b, v = (np.concatenate(c) for c in zip(*parts))
-    keep = v != 0
-    head = pdf.iloc[0]
-    return pd.DataFrame({
-        "session_id": head["session_id"], "bin": head["bin"], "fold": head["fold"],
-        "kind": kind[keep], "ua": a[keep], "ub": b[keep], "v": v[keep]})
-
-
-def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame) -> DataFrame:
+def _packed(ys: str, n_sets: int):
+    """Label sets of a trial as bits of BIGINT words, to travel with its rows."""
+    def word(lo: int):
+        part = F.slice(ys, lo + 1, min(WORD, n_sets - lo))
+        return F.aggregate(F.reverse(part), F.lit(0).cast("bigint"), lambda acc, y: acc * 2 + y)
+
+    return F.array(*[word(lo) for lo in range(0, n_sets, WORD)])
+
+
+def _chunk_moments(n_sets: int):
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Moments, fold by fold, of one bounded chunk of trials of one (session, bin)."""
+        trial, first, row = np.unique(pdf["trial_idx"].to_numpy(), return_index=True, return_inverse=True)
+        units, col = np.unique(pdf["u"].to_numpy(), return_inverse=True)
+        x = np.zeros((len(trial), len(units)))
+        np.add.at(x, (row, col), pdf["rate"].to_numpy())
+        words = np.stack(pdf["bits"].to_numpy()[first]).astype(np.int64)
+        y = np.concatenate([
+            (words[:, i // WORD, None] >> np.arange(min(WORD, n_sets - i))) & 1 for i in range(0, n_sets, WORD)
+        ], axis=1).astype(float)
+        fold = pdf["fold"].to_numpy()[first]
+        i, j = np.triu_indices(len(units))
+        none = np.full(len(units), -1)
+        out = []
+        for f in np.unique(fold):
+            xf, yf = x[fold == f], y[fold == f]
+            sums = yf.T @ xf
+            sets, at = np.indices(sums.shape)
+            parts = [
+                (np.full(len(i), GRAM), units[i], units[j], (xf.T @ xf)[i, j]),
+                (np.full(len(units), PLAIN), units, none, xf.sum(axis=0)),
+                (sets.ravel(), units[at.ravel()], np.full(sums.size, -1), sums.ravel()),
+            ]
+            kind, a, b, v = (np.concatenate(c) for c in zip(*parts))
+            keep = v != 0
+            out.append(pd.DataFrame({"fold": f, "kind": kind[keep], "ua": a[keep], "ub": b[keep], "v": v[keep]}))
+        head = pdf.iloc[0]
+        return pd.concat(out).assign(session_id=head["session_id"], bin=head["bin"])[
+            ["session_id", "bin", "fold", "kind", "ua", "ub", "v"]]
+
+    return moments
+
+
+def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame, n_sets: int, n_bins: int) -> DataFrame:
     """(session, bin, fold, kind, ua, ub, v), summed over all trials.
 
     Trial counts per fold and label set come from the trial table, since a trial may have
-    no row in the population; they are stored under unit -1.
+    no row in the population; they are stored under unit -1, for every bin.
     """
     session = dict(pop.dtypes)["session_id"]
-    n = labels.groupBy("session_id", "fold").agg(F.count(F.lit(1)).alias("n_fold"))
-    chunks = F.ceil(F.col("n_fold") / CHUNK_TRIALS).cast("int")
+    size = labels.groupBy("session_id").agg(F.count(F.lit(1)).alias("nt")).join(
+        index.groupBy("session_id").agg(F.count(F.lit(1)).alias("nu")), "session_id").select(
+        "session_id", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
+    tagged = labels.select("session_id", "trial_idx", "fold", _packed("ys", n_sets).alias("bits"))
     rows = (
-        pop.join(labels.select("session_id", "trial_idx", "fold", "ys"), ["session_id", "trial_idx"])
-        .join(index, ["session_id", "unit_id"]).join(n, ["session_id", "fold"])
-        .select("session_id", "bin", "fold", F.pmod(F.xxhash64("trial_idx"), chunks).cast("int").alias("chunk"),
-                "trial_idx", "u", F.col("rate").cast("double").alias("rate"), "ys")
+        pop.join(tagged, ["session_id", "trial_idx"]).join(index, ["session_id", "unit_id"]).join(size, "session_id")
+        .select("session_id", "bin", F.pmod(F.xxhash64("trial_idx"), F.col("chunks")).cast("int").alias("chunk"),
+                "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"), "bits")
     )
-    parts = rows.groupBy("session_id", "bin", "fold", "chunk").applyInPandas(
-        _chunk_moments,
+    parts = rows.groupBy("session_id", "bin", "chunk").applyInPandas(
+        _chunk_moments(n_sets),
         f"session_id {session}, bin int, fold int, kind int, ua int, ub int, v double")
     sums = parts.groupBy("session_id", "bin", "fold", "kind", "ua", "ub").agg(F.sum("v").alias("v"))
-    per_set = labels.select("session_id", "fold", F.posexplode("ys").alias("kind", "one")).groupBy(
-        "session_id", "fold", "kind").agg(F.sum("one").cast("double").alias("v"))
-    sizes = n.select("session_id", "fold", F.lit(PLAIN).alias("kind"), F.col("n_fold").cast("double").alias("v"))
-    bins = pop.select("session_id", "bin").distinct()
-    counts = bins.join(per_set.unionByName(sizes), "session_id").select(
-        "session_id", "bin", "fold", "kind", F.lit(-1).alias("ua"), F.lit(-1).alias("ub"), "v")
+    one = F.array(F.lit(1))
+    counts = labels.select(
+        "session_id", "fold", F.posexplode(F.concat(one, "ys")).alias("pos", "y")
+    ).groupBy("session_id", "fold", (F.col("pos") - 1).alias("kind")).agg(F.sum("y").cast("double").alias("v"))
+    counts = counts.select(
+        "session_id", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"), "fold", "kind",
+        F.lit(-1).alias("ua"), F.lit(-1).alias("ub"), "v")
     return sums.unionByName(counts)
 
 
@@ -165,10 +187,11 @@ def directions_from_moments(gram, plain, sums, n, n1, method: str, reg: float) -
     return np.where(both[:, None], w, 0.0)
 
 
-def fit_direction(vectors: DataFrame, labels: DataFrame, method: str = "shrinkage", reg: float = 1.0) -> DataFrame:
+def fit_direction(vectors: DataFrame, labels: DataFrame, method: str = "shrinkage", reg: float = 1.0,
+                  n_bins: int = 1) -> DataFrame:
     """Direction separating label 1 from 0 in (session, trial, unit, rate) vectors, per session.
 
-    ``vectors`` may carry a ``bin``; one direction is then fitted per bin.
+    ``vectors`` may carry a ``bin`` below ``n_bins``; one direction is then fitted per bin.
     """
     pop = vectors if "bin" in vectors.columns else vectors.withColumn("bin", F.lit(0))
     index = dense_unit_index(vectors)
@@ -183,17 +206,18 @@ def fit_direction(vectors: DataFrame, labels: DataFrame, method: str = "shrinkag
         return pd.DataFrame({"session_id": pdf["session_id"].iloc[0], "bin": pdf["bin"].iloc[0],
                              "u": units, "weight": w})
 
-    out = _moments(pop, prepared, index).groupBy("session_id", "bin").applyInPandas(
+    out = _moments(pop, prepared, index, 1, n_bins).groupBy("session_id", "bin").applyInPandas(
         solve, f"session_id {session}, bin int, u int, weight double"
     ).join(index, ["session_id", "u"]).drop("u")
     return out if "bin" in vectors.columns else out.drop("bin")
 
 
-def solve_time_resolved(pop: DataFrame, folds: DataFrame, method: str = "shrinkage", reg: float = 1.0,
-                        n_permutations: int = 0, seed: int = 0) -> DataFrame:
+def solve_time_resolved(pop: DataFrame, folds: DataFrame, n_bins: int, method: str = "shrinkage",
+                        reg: float = 1.0, n_permutations: int = 0, seed: int = 0) -> DataFrame:
     """Cross-validated directions per (session, bin), with effects and permutation p-values.
 
-    ``folds`` are labels with a fold. Rows with ``fold >= 0`` hold the fold's unit vector,
+    ``folds`` are labels with a fold; they and their label sets are checkpointed, being
+    read more than once. Rows with ``fold >= 0`` hold the fold's unit vector,
     ``fold = -1`` the mean over folds (not renormalised), and ``fold = -2`` (one per bin)
     mean0, mean1, effect and p = (#|permuted| >= |effect| + 1) / (permutations + 1).
     """
@@ -230,7 +254,10 @@ def solve_time_resolved(pop: DataFrame, folds: DataFrame, method: str = "shrinka
             ["session_id", "bin", "fold", "u", "weight", "mean0", "mean1", "effect", "p_value"]
         ].astype({"u": "Int32", "p_value": "float64"})
 
-    solved = _moments(pop, with_label_sets(folds, n_permutations, seed), index).groupBy(
+    if n_permutations:
+        folds = cut_lineage(folds)
+    sets_of = cut_lineage(with_label_sets(folds, n_permutations, seed))
+    solved = _moments(pop, sets_of, index, n_permutations + 1, n_bins).groupBy(
         "session_id", "bin").applyInPandas(
         solve, f"session_id {session}, bin int, fold int, u int, weight double, mean0 double, "
                "mean1 double, effect double, p_value double")

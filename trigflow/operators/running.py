@@ -151,29 +151,29 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], v: str, wanted: DataFrame,
     """Exact order statistics.
 
     ``wanted(keys, tag, k)`` asks for the k-th smallest (1-based) ``v`` per key; the
-    result is ``(keys, tag, value)``. Only the one cell that holds the k-th value is
-    sorted. Without a ``cell`` the range of each key is cut into 4096.
+    result is ``(keys, tag, value)``. Counts per cell are combined map-side and only the
+    one cell that holds the k-th value is shuffled and sorted. Without a ``cell`` the range
+    of each key is cut into 4096.
     """
     keys = list(keys)
-    values = collapse(df.where(F.col(v).isNotNull()), [*keys, v])
+    values = df.where(F.col(v).isNotNull()).select(*keys, v)
     if cell is None:
         ends = values.groupBy(*keys).agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
         share = (F.col(v) - F.col("mn")) / F.nullif(F.col("mx") - F.col("mn"), F.lit(0))
-        values = values.join(ends, keys).drop("cell").withColumn(
+        values = values.join(ends, keys).withColumn(
             "cell", F.coalesce(F.floor(share * 4095), F.lit(0))).drop("mn", "mx")
     else:
         values = values.withColumn("cell", cell)
-    totals = values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    totals = collapse(values, [*keys, "cell"])
     up = Window.partitionBy(*keys).orderBy("cell").rowsBetween(UNB, CUR)
     spans = totals.withColumn("upto", F.sum("n").over(up)).select(
         *keys, "cell", (F.col("upto") - F.col("n")).alias("base"), "upto"
     )
     hit = spans.join(wanted, keys).where("k > base and k <= upto").select(*keys, "cell", "tag", "k", "base")
     w = Window.partitionBy(*keys, "cell").orderBy(v).rowsBetween(UNB, CUR)
-    inside = (
-        values.join(hit.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
-        .withColumn("local", F.sum("n").over(w))
-    )
+    inside = collapse(
+        values.join(hit.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi"), [*keys, "cell", v]
+    ).withColumn("local", F.sum("n").over(w))
     return (
         inside.join(hit, [*keys, "cell"])
         .where("base + local >= k and base + local - n < k")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trigflow.functions.scalars import response_class, poisson_upper_tail, waveform_class
 from trigflow.functions.ticks import seconds_to_ticks
-from trigflow.operators.align import trigger_counts, window_counts
+from trigflow.operators.align import count_method, trigger_counts, window_counts
 from trigflow.operators.running import exact_percentiles
 from trigflow.operators.units import session_durations
 
@@ -104,6 +104,8 @@ def pulse_responses(points: DataFrame, pulses: DataFrame, evoked: tuple[int, int
                     baseline: tuple[int, int] = BASELINE_US, method: str = "auto") -> DataFrame:
     """Sparse (session, unit, trigger): evoked and baseline counts, first evoked time."""
     ids = ["trigger_id"]
+    if method == "auto":
+        method = count_method(points, min(evoked[0], baseline[0]), max(evoked[1], baseline[1]))
     ev = window_counts(points, pulses, evoked[0], evoked[1], ids, method=method).select(
         *UNIT, *ids, F.col("n").alias("n_evoked"), "first_us", F.lit(0).cast("bigint").alias("n_baseline"))
     base = window_counts(points, pulses, baseline[0], baseline[1] - 1, ids, method=method).select(
@@ -184,6 +186,8 @@ def permutation_p(points: DataFrame, pulses: DataFrame, units: DataFrame, n_iter
 
     A unit with no evoked point has p = 1, so draws without points never need a row.
     """
+    if method == "auto":
+        method = count_method(points, *evoked)
     onsets = null_onsets(points, pulses, n_iters, evoked)
     observed = window_counts(points, pulses, *evoked, ["trigger_id"], method=method).groupBy(*UNIT).agg(
         F.sum("n").alias("observed"))
@@ -213,6 +217,8 @@ def units_table(points: DataFrame, pulses: DataFrame, units: DataFrame, shapes:
     are NULL for units without a waveform.
     """
     window_s = (evoked[1] - evoked[0]) / 1e6
+    if method == "auto":
+        method = count_method(points, min(evoked[0], baseline[0]), max(evoked[1], baseline[1]))
     m = unit_metrics(points, pulses, units, evoked, baseline, method)
     lam = F.col("baseline_rate_hz") * F.col("n_pulses") * window_s
     p_poisson = F.when(F.col("n_pulses") == 0, 1.0).otherwise(poisson_upper_tail(F.col("total_evoked"), lam))

@@ -334,7 +334,7 @@ SELECT l.*, l.rise + 300 + extra AS fall, sr FROM ({LASER}) l JOIN (
 """
 ORACLE["q_pulses"] = f"""
 SELECT session_id, event_idx, round(rise, 1) AS onset_samples, round(fall, 1) AS offset_samples,
-  round(rise / sr, 6) AS onset_s, round(fall / sr, 6) AS offset_s, 0.01::DOUBLE AS duration_s, round(sr, 6) AS sample_rate
+  round(rise / sr, 7) AS onset_s, round(fall / sr, 7) AS offset_s, 0.01::DOUBLE AS duration_s, sr AS sample_rate
 FROM ({PULSES})
 """
 ORACLE["q_blocks"] = f"""
@@ -469,7 +469,7 @@ WITH ev AS (SELECT event_type AS s, user_id AS u, t_us, value FROM ({EV})),
 a AS (SELECT DISTINCT u FROM ev WHERE s = 'click'), b AS (SELECT DISTINCT u FROM ev WHERE s = 'view'),
 pr AS (SELECT u FROM a JOIN b USING (u)),
 wv AS (SELECT s, u, t_us >> 37 AS h, sum(value) AS v FROM ev GROUP BY ALL),
-co AS (SELECT x.u, corr(x.v, y.v) AS c FROM wv x JOIN wv y ON x.u = y.u AND x.h = y.h AND x.s = 'click' AND y.s = 'view' GROUP BY 1),
+co AS (SELECT u, CASE WHEN NOT isnan(c) THEN c END AS c FROM (SELECT x.u, corr(x.v, y.v) AS c FROM wv x JOIN wv y ON x.u = y.u AND x.h = y.h AND x.s = 'click' AND y.s = 'view' GROUP BY 1)),
 isi AS (SELECT s, u, d FROM (SELECT s, u, t_us - lag(t_us) OVER (PARTITION BY s, u ORDER BY t_us) AS d FROM ev) WHERE d IS NOT NULL),
 st AS (SELECT u, d, s, 1.0::DOUBLE / count(*) OVER (PARTITION BY s, u) AS p FROM isi WHERE s IN ('click', 'view')),
 cs AS (SELECT u, d, sum(CASE WHEN s = 'click' THEN p ELSE -p END) OVER (PARTITION BY u ORDER BY d) AS g,

@@ -13,6 +13,7 @@ from trigflow.operators import (
     align, directions, manifest, matching, population, probe, rollup, tagging, trials, units, waveforms,
 )
 from trigflow.plans import tables as tb
+from trigflow.session import cut_lineage
 from trigflow.sources import sessions as sess
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,8 +297,9 @@ def q_tag_or_top(spark, sf):
 @query
 def q_pulses(spark, sf):
     p = tagging.pulse_table(tb.lasers(spark, sf))
-    return _rounded(p, "onset_s", "offset_s", "sample_rate").withColumns({
-        c: F.round(c, 1) for c in ("onset_samples", "offset_samples")}).drop("t_us")
+    return p.withColumns({
+        **{c: F.round(c, 7) for c in ("onset_s", "offset_s")},
+        **{c: F.round(c, 1) for c in ("onset_samples", "offset_samples")}}).drop("t_us")
 
 
 @query
@@ -395,26 +397,27 @@ def q_kfold(spark, sf):
 
 @query
 def q_cd_shrinkage(spark, sf):
-    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "shrinkage", 1.0)
+    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "shrinkage", 1.0, tb.N_POP_BINS)
 
 
 @query
 def q_cd_ridge(spark, sf):
-    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "ridge", 1.0)
+    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "ridge", 1.0, tb.N_POP_BINS)
 
 
 @query
 def q_cd_time_resolved(spark, sf):
     pop = tb.population(spark, sf)
-    folds = directions.stratified_folds(_labels(spark, sf), 5)
-    return directions.held_out_projections(pop, folds, directions.solve_time_resolved(pop, folds))
+    folds = cut_lineage(directions.stratified_folds(_labels(spark, sf), 5))
+    return directions.held_out_projections(pop, folds, directions.solve_time_resolved(
+        pop, folds, tb.N_POP_BINS))
 
 
 @query
 def q_cd_perm(spark, sf):
     pop = tb.population(spark, sf)
     folds = directions.stratified_folds(_labels(spark, sf), 5)
-    return directions.effects(directions.solve_time_resolved(pop, folds, n_permutations=20))
+    return directions.effects(directions.solve_time_resolved(pop, folds, tb.N_POP_BINS, n_permutations=20))
 
 
 @query
@@ -422,8 +425,8 @@ def q_baseline_cd(spark, sf):
     t = tb.trials(spark, sf)
     points = tb.trial_points(spark, sf).withColumn("session_id", F.lit("all"))
     one = t.withColumn("trial_idx", F.col("order_key")).withColumn("session_id", F.lit("all"))
-    w = trials.baseline_windows(one, tb.trial_channels(one), 20_000)
-    vec = trials.baseline_unit_means(points, w, tb.units_of(points), 20_000)
+    w = cut_lineage(trials.baseline_windows(one, tb.trial_channels(one), 20_000))
+    vec = cut_lineage(trials.baseline_unit_means(points, w, tb.units_of(points), 20_000))
     fit = w.where(F.col("outcome").isin("Hit", "FA") & (F.col("n_end_bins") > 0)).select(
         "session_id", "trial_idx", (F.col("outcome") == "Hit").cast("int").alias("y"))
     cd = directions.fit_direction(vec, fit)
@@ -524,7 +527,8 @@ def q_pair_similarity(spark, sf):
 
 @query
 def q_session_rollup(spark, sf):
-    proj, t, values = _grouped(spark, sf)
+    _, t, values = _grouped(spark, sf)
+    values = cut_lineage(values)
     stats = population.group_stats(values)
     sessions = t.select("session_id").distinct().withColumn("session_name", F.concat(
         F.lit("S_1_0"), F.substring("session_id", 1, 1), F.lit("03202"), F.substring("session_id", 1, 1)))
