@@ -5,6 +5,8 @@ task. Here a key is cut into *cells* of its ordering value. Rows are ordered onl
 inside a cell; what lies before the cell comes from a table of cell totals. Equal
 values are collapsed to one row with a multiplicity first, so a cell of
 ``2**bits`` ticks never holds more than ``2**bits`` distinct rows per key.
+
+Key columns must not be called cell, salt, base, local, rank, n, w, x, k or tag.
 """
 
 from __future__ import annotations

@@ -324,7 +324,7 @@ ORACLE["q_tag_or_top"] = f"""{RESP} SELECT session_id, unit_id FROM (
   WHERE rank <= 1 OR {CLASS} = 'opto'"""
 
 LASER = f"""
-SELECT session_id, trial_idx AS event_idx, (base_us - 788918400000000) * 3 / 100.0::DOUBLE AS rise, cents % 3 AS extra
+SELECT session_id, trial_idx AS event_idx, (base_us - 788918400000000) * 3 / 100000.0::DOUBLE + 0.01234567::DOUBLE AS rise, cents % 3 AS extra
 FROM ({TRIALS})
 """
 PULSES = f"""
@@ -334,14 +334,14 @@ SELECT l.*, l.rise + 300 + extra AS fall, sr FROM ({LASER}) l JOIN (
 """
 ORACLE["q_pulses"] = f"""
 SELECT session_id, event_idx, round(rise, 1) AS onset_samples, round(fall, 1) AS offset_samples,
-  round(rise / sr, 7) AS onset_s, round(fall / sr, 7) AS offset_s, 0.01::DOUBLE AS duration_s, sr AS sample_rate
+  round(rise / sr, 6) AS onset_s, round(fall / sr, 6) AS offset_s, 0.01::DOUBLE AS duration_s, round(sr, 6) AS sample_rate
 FROM ({PULSES})
 """
 ORACLE["q_blocks"] = f"""
 WITH p AS (SELECT session_id, event_idx, rise / sr AS s FROM ({PULSES})),
 g AS (SELECT *, s - lag(s) OVER (PARTITION BY session_id ORDER BY event_idx) AS gap FROM p),
 b AS (SELECT session_id, event_idx AS start FROM (SELECT *, row_number() OVER (
-  PARTITION BY session_id ORDER BY gap DESC, event_idx) AS r FROM g WHERE gap IS NOT NULL) WHERE r = 1 AND gap > 2e7)
+  PARTITION BY session_id ORDER BY gap DESC, event_idx) AS r FROM g WHERE gap IS NOT NULL) WHERE r = 1 AND gap > 2e4)
 SELECT p.session_id, p.event_idx, CAST(coalesce((p.event_idx >= b.start)::INTEGER, 0) AS INTEGER) AS block_id
 FROM p LEFT JOIN b USING (session_id)
 """

@@ -298,14 +298,14 @@ def q_tag_or_top(spark, sf):
 def q_pulses(spark, sf):
     p = tagging.pulse_table(tb.lasers(spark, sf))
     return p.withColumns({
-        **{c: F.round(c, 7) for c in ("onset_s", "offset_s")},
+        **{c: F.round(c, 6) for c in ("onset_s", "offset_s", "sample_rate")},
         **{c: F.round(c, 1) for c in ("onset_samples", "offset_samples")}}).drop("t_us")
 
 
 @query
 def q_blocks(spark, sf):
     p = tagging.pulse_table(tb.lasers(spark, sf))
-    return tagging.pulse_blocks(p, 2e7).select("session_id", "event_idx", "block_id")
+    return tagging.pulse_blocks(p, 2e4).select("session_id", "event_idx", "block_id")
 
 
 @query

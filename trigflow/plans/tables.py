@@ -178,7 +178,7 @@ def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lasers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as laser pulses in 30 kHz sample numbers."""
     t = trials(spark, sf_dir)
-    rise = (F.col("start_us") - 788_918_400_000_000) * 3 / 100
+    rise = (F.col("start_us") - 788_918_400_000_000) * 3 / 100_000 + 0.01234567
     return t.select(
         "session_id", F.col("trial_idx").alias("event_idx"), rise.alias("rise"),
         (rise + 300 + F.col("cents") % 3).alias("fall"), F.lit(0.01).alias("duration"))
