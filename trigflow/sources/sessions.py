@@ -59,7 +59,9 @@ def trials_of(records: DataFrame) -> DataFrame:
 
 def spikes_of(records: DataFrame) -> DataFrame:
     """One row per spike from the parallel time and unit arrays; a missing unit is -1."""
-    z = records.select("session_id", F.explode(F.arrays_zip("NPX_probes.st", "NPX_probes.clu")).alias("z"))
+    clu = F.coalesce("NPX_probes.clu", F.array().cast("array<int>")).alias("clu")
+    z = records.select("session_id", F.col("NPX_probes.st").alias("st"), clu).select(
+        "session_id", F.explode(F.slice(F.arrays_zip("st", "clu"), 1, F.size("st"))).alias("z"))
     return z.select("session_id", F.coalesce("z.clu", F.lit(-1)).alias("unit_id"), F.col("z.st").alias("t"),
                     seconds_to_ticks(F.col("z.st")).alias("t_us"))
 
@@ -71,15 +73,14 @@ def units_of(spikes: DataFrame) -> DataFrame:
 def channel_events_of(records: DataFrame) -> DataFrame:
     """One row per event with rise, fall and duration; a channel without rises has no rows."""
     ch = records.select("session_id", F.explode("NI_events.channels").alias("channel", "c")).where("c is not null")
-    ev = ch.select("session_id", "channel", F.posexplode(
-        F.arrays_zip("c.rise_t", "c.fall_t", "c.duration")).alias("event_idx", "e"))
-    n = ch.select("session_id", "channel", F.size("c.rise_t").alias("n_rise"))
-    return (
-        ev.join(n, ["session_id", "channel"]).where("event_idx < n_rise")
-        .select("session_id", "channel", "event_idx", F.col("e.rise_t").alias("rise_t"),
-                F.col("e.fall_t").alias("fall_t"), F.col("e.duration").alias("duration"),
-                seconds_to_ticks(F.col("e.rise_t")).alias("rise_us"))
-    )
+    none = F.array().cast("array<double>")
+    parts = [F.coalesce(f"c.{name}", none).alias(name) for name in ("rise_t", "fall_t", "duration")]
+    ev = ch.select("session_id", "channel", *parts).select(
+        "session_id", "channel", F.size("rise_t").alias("n_rise"),
+        F.posexplode(F.arrays_zip("rise_t", "fall_t", "duration")).alias("event_idx", "e"))
+    return ev.where("event_idx < n_rise").select(
+        "session_id", "channel", "event_idx", F.col("e.rise_t").alias("rise_t"), F.col("e.fall_t").alias("fall_t"),
+        F.col("e.duration").alias("duration"), seconds_to_ticks(F.col("e.rise_t")).alias("rise_us"))
 
 
 def normalised_tables(records: DataFrame) -> dict[str, DataFrame]:
