@@ -41,12 +41,14 @@ def sample_rates(laser: DataFrame, prefer: float | None = None) -> DataFrame:
         ((F.col("rise") > 10) & short).alias("in_samples"))
 
 
-def pulse_table(laser: DataFrame, prefer: float | None = None, unit: str = "auto") -> DataFrame:
+def pulse_table(laser: DataFrame, prefer: float | None = None, unit: str = "auto",
+                rates: DataFrame | None = None) -> DataFrame:
     """Onsets and offsets in samples and in seconds from raw rise, fall and duration.
 
-    ``unit`` may be forced to ``samples`` or ``seconds``.
+    ``unit`` may be forced to ``samples`` or ``seconds``; ``rates`` are the sample rates
+    where they are already known.
     """
-    t = laser.join(sample_rates(laser, prefer), "session_id")
+    t = laser.join(sample_rates(laser, prefer) if rates is None else rates, "session_id")
     in_samples = {"auto": F.col("in_samples"), "samples": F.lit(True), "seconds": F.lit(False)}[unit]
     sr = F.col("sample_rate")
 
@@ -80,11 +82,11 @@ def pulse_blocks(pulses: DataFrame, gap_threshold_s: float = 2.0) -> DataFrame:
         "block_id", F.coalesce((F.col("event_idx") >= start).cast("int"), F.lit(0))).drop("n", "g")
 
 
-def spikes_in_ticks(spikes: DataFrame, rates: DataFrame) -> DataFrame:
-    """Spike times as ticks; a session whose median time exceeds 1000 holds sample numbers.
+def spike_time_units(spikes: DataFrame) -> DataFrame:
+    """Per session: whether times are sample numbers, that is whether their median exceeds 1000.
 
-    Whether the median exceeds 1000 follows from counts on either side, and from the two
-    values next to 1000 when they split evenly, so nothing is sorted.
+    That follows from counts on either side, and from the two values next to 1000 when
+    they split evenly, so nothing is sorted.
     """
     low = F.col("t") <= 1000
     per = spikes.groupBy("session_id").agg(
@@ -92,7 +94,12 @@ def spikes_in_ticks(spikes: DataFrame, rates: DataFrame) -> DataFrame:
         F.max(F.when(low, F.col("t"))).alias("below"), F.min(F.when(~low, F.col("t"))).alias("above"))
     over = F.when(F.col("n_high") != F.col("n_low"), F.col("n_high") > F.col("n_low")).otherwise(
         (F.col("below") + F.col("above")) / 2 > 1000)
-    per = per.select("session_id", over.alias("in_samples"))
+    return per.select("session_id", over.alias("in_samples"))
+
+
+def spikes_in_ticks(spikes: DataFrame, rates: DataFrame, time_units: DataFrame | None = None) -> DataFrame:
+    """Spike times as ticks, from samples or seconds session by session."""
+    per = spike_time_units(spikes) if time_units is None else time_units
     t = F.when(F.col("in_samples"), F.col("t") / F.col("sample_rate")).otherwise(F.col("t"))
     return (
         spikes.join(per, "session_id").join(rates.select("session_id", "sample_rate"), "session_id", "left")

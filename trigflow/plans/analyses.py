@@ -84,13 +84,14 @@ def response_tagging(spikes: DataFrame, laser: DataFrame, shapes: DataFrame | No
     With ``split_blocks`` every block of pulses has a unit table of its own, told apart by
     ``block_id``.
     """
-    pulses = tagging.pulse_table(laser)
-    points = tagging.spikes_in_ticks(spikes, tagging.sample_rates(laser))
+    rates = cut_lineage(tagging.sample_rates(laser))  # one row per session
+    pulses = tagging.pulse_table(laser, rates=rates)
+    points = tagging.spikes_in_ticks(spikes, rates, cut_lineage(tagging.spike_time_units(spikes)))
     units = points.select("session_id", "unit_id").distinct()
     onsets = pulses.select("session_id", F.col("event_idx").alias("trigger_id"), "t_us")
     out = {"pulses": pulses, "units": tagging.units_table(points, onsets, units, shapes, n_iters, **params)}
     if split_blocks:
-        blocks = tagging.pulse_blocks(pulses, gap_threshold_s)
+        blocks = cut_lineage(tagging.pulse_blocks(pulses, gap_threshold_s))
         out["pulses"] = blocks
         per = [
             tagging.units_table(
