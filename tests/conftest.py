@@ -11,8 +11,10 @@ from trigflow.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+        "spark.ui.showConsoleProgress": "false",
+        # Tiny rows: compiling each plan would cost more than running it. check.py runs compiled plans.
+        "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

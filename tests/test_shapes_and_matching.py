@@ -53,7 +53,7 @@ def test_exemplars(spark):
 
 
 def test_top_matches_equal_all_pairs_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BLOCK_UNITS", 7)
+    monkeypatch.setattr(matching, "BLOCK_VALUES", 84)
     rng = np.random.default_rng(0)
     rows = [("m", s, u, [float(x) for x in rng.normal(size=12)]) for s in range(3) for u in range(20)]
     df = spark.createDataFrame(rows, "subject string, session_id int, unit_id int, vec array<double>")

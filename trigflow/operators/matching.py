@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trigflow.operators.running import running_sums
 
-BLOCK_UNITS = 1024
+BLOCK_VALUES = 4_000_000  # units x vector length held at once for one side of a block pair
 PAIR = ["subject", "session_a", "session_b", "unit_a", "unit_b"]
 
 
@@ -23,8 +23,8 @@ def _standard(vec: str):
 
 def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Units of a subject in blocks of bounded size, copied so that every two blocks meet once."""
-    sized = units.groupBy("subject").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK_UNITS).cast("int")
+    sized = units.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("len"))
+    blocks = F.greatest(F.ceil(F.col("n") * F.col("len") / BLOCK_VALUES), F.lit(1)).cast("int")
     placed = units.join(sized, "subject").select(
         "subject", "session_id", "unit_id", _standard("vec").alias("vec"), blocks.alias("blocks"),
         F.pmod(F.xxhash64("session_id", "unit_id"), blocks).cast("int").alias("block"))

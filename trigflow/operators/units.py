@@ -111,8 +111,8 @@ def histogram(df: DataFrame, value: Column, bins: int = 50, by: tuple[str, ...]
     slot = F.least(F.floor((F.col("v") - F.col("lo")) / width).cast("int"), F.lit(bins - 1))
     if by:
         rows = v.join(ends, list(by))
-    else:  # one row of ends for the whole table
-        rows = v.join(F.broadcast(ends), F.lit(True))
+    else:
+        rows = v.withColumns({c: ends.select(c).scalar() for c in ("lo", "hi")})
     counts = rows.groupBy(*by, slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return frame.join(counts, [*by, "bin"], "left").select(

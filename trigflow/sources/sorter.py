@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File names by array, in order of preference.
@@ -20,17 +20,20 @@ NAMES = {
 SLICE_ROWS = 200_000
 
 
-def chosen_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(folder, array, path): the first existing name of each array per folder; contents unread."""
-    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+def _named(files: DataFrame) -> DataFrame:
+    """Adds folder, array and the rank of the file name among the array's names; other files drop out."""
     rank = F.create_map(*[F.lit(v) for names in NAMES.values() for i, n in enumerate(names) for v in (n, i)])
     kind = F.create_map(*[F.lit(v) for k, names in NAMES.items() for n in names for v in (n, k)])
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    f = listed.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
-                      F.try_element_at(kind, name).alias("array"), F.try_element_at(rank, name).alias("rank"))
-    w = Window.partitionBy("folder", "array").orderBy("rank")
-    return f.where("array is not null").withColumn("r", F.row_number().over(w)).where("r = 1").select(
-        "folder", "array", "path")
+    return files.withColumns({
+        "folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1),
+        "array": F.try_element_at(kind, name), "rank": F.try_element_at(rank, name)}).where("array is not null")
+
+
+def chosen_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(folder, array, rank) of the first existing name of each array per folder; contents unread."""
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    return _named(listed).groupBy("folder", "array").agg(F.min("rank").alias("rank"))
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +44,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shape = a.shape if rec.array == "templates" and a.ndim == 3 else None
             for lo in range(0, flat.size, SLICE_ROWS):
                 pos = np.arange(lo, min(lo + SLICE_ROWS, flat.size))
-                out = pd.DataFrame({"folder": rec.folder, "array": rec.array, "idx": pos,
+                out = pd.DataFrame({"folder": rec.folder, "array": rec.array, "rank": rec.rank, "idx": pos,
                                     "value": flat[pos].astype(float)})
                 if shape:
                     t, ch, s = np.unravel_index(pos, shape)
@@ -52,11 +55,15 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_sorter_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(folder, array, idx, channel, sample, value); each file is decoded by itself, in slices."""
-    chosen = chosen_files(spark, paths)
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return content.join(chosen, "path").select("folder", "array", "content").mapInPandas(
-        _rows, "folder string, array string, idx bigint, channel int, sample int, value double")
+    """(folder, array, idx, channel, sample, value).
+
+    Files are decoded where they are read, in slices, so contents are never shuffled;
+    rows of a name that a preferred one replaces are dropped afterwards.
+    """
+    content = _named(spark.read.format("binaryFile").load(paths).select("path", "content"))
+    rows = content.select("folder", "array", "rank", "content").mapInPandas(
+        _rows, "folder string, array string, rank int, idx bigint, channel int, sample int, value double")
+    return rows.join(chosen_files(spark, paths), ["folder", "array", "rank"], "left_semi").drop("rank")
 
 
 def sorter_tables(arrays: DataFrame) -> dict[str, DataFrame]:
