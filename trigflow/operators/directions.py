@@ -19,7 +19,7 @@ from trigflow.operators.running import kth_smallest, ntile_of, row_rank
 from trigflow.operators.tagging import hash60
 from trigflow.session import cut_lineage
 
-CHUNK_CELLS = 4_000_000  # trials x units held at once by a task
+CHUNK_CELLS = 2_000_000  # trials x units held at once by a task
 GRAM, PLAIN = -2, -1  # moment kinds below the label sets 0, 1, 2, …
 WORD = 62  # label sets packed into one BIGINT
 
@@ -67,13 +67,13 @@ def with_label_sets(labels: DataFrame, n_permutations: int, seed: int = 0) -> Da
     return labels.join(cuts, "session_id").withColumn("ys", F.concat(F.array("y"), permuted)).drop("cuts")
 
 
-def _packed(ys: str, n_sets: int):
-    """Label sets of a trial as bits of BIGINT words, to travel with its rows."""
+def _packed(ys: str, n_sets: int) -> list:
+    """Label sets of a trial as bits of BIGINT columns, to travel with its rows."""
     def word(lo: int):
         part = F.slice(ys, lo + 1, min(WORD, n_sets - lo))
         return F.aggregate(F.reverse(part), F.lit(0).cast("bigint"), lambda acc, y: acc * 2 + y)
 
-    return F.array(*[word(lo) for lo in range(0, n_sets, WORD)])
+    return [word(lo).alias(f"bits{lo // WORD}") for lo in range(0, n_sets, WORD)]
 
 
 def _chunk_moments(n_sets: int):
@@ -83,7 +83,7 @@ def _chunk_moments(n_sets: int):
         units, col = np.unique(pdf["u"].to_numpy(), return_inverse=True)
         x = np.zeros((len(trial), len(units)))
         np.add.at(x, (row, col), pdf["rate"].to_numpy())
-        words = np.stack(pdf["bits"].to_numpy()[first]).astype(np.int64)
+        words = pdf[[c for c in pdf.columns if c.startswith("bits")]].to_numpy(np.int64)[first]
         y = np.concatenate([
             (words[:, i // WORD, None] >> np.arange(min(WORD, n_sets - i))) & 1 for i in range(0, n_sets, WORD)
         ], axis=1).astype(float)
@@ -120,11 +120,13 @@ def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame, n_sets: int, n
     size = labels.groupBy("session_id").agg(F.count(F.lit(1)).alias("nt")).join(
         index.groupBy("session_id").agg(F.count(F.lit(1)).alias("nu")), "session_id").select(
         "session_id", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
-    tagged = labels.select("session_id", "trial_idx", "fold", _packed("ys", n_sets).alias("bits"))
+    words = _packed("ys", n_sets)
+    tagged = labels.select("session_id", "trial_idx", "fold", *words)
     rows = (
         pop.join(tagged, ["session_id", "trial_idx"]).join(index, ["session_id", "unit_id"]).join(size, "session_id")
         .select("session_id", "bin", F.pmod(F.xxhash64("trial_idx"), F.col("chunks")).cast("int").alias("chunk"),
-                "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"), "bits")
+                "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"),
+                *[f"bits{i}" for i in range(len(words))])
     )
     parts = rows.groupBy("session_id", "bin", "chunk").applyInPandas(
         _chunk_moments(n_sets),

@@ -10,6 +10,8 @@ from trigflow.operators.running import row_rank
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The tables' timestamps carry no zone; ticks are counted from the epoch in UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
