@@ -86,7 +86,7 @@ def test_rollup_prefers_trials_and_sorts_undated_last(spark):
     stats = spark.createDataFrame(
         [(s, g, 4, m) for s in ("x", "y", "z") for g, m in (("Hit", 1.0), ("Miss", 0.5), ("FA>3s", 0.2))],
         "session_id string, grp string, n int, mean double")
-    sessions = spark.createDataFrame([("x", "none"), ("y", "BG_260325"), ("z", "25042024"), ("w", "01012020")],
+    sessions = spark.createDataFrame([("x", "none"), ("y", "AB_260325"), ("z", "25042024"), ("w", "01012020")],
                                      "session_id string, session_name string")
     tr = spark.createDataFrame([("y", "Hit", 3.0), ("y", "Hit", 5.0), ("y", "FA", 9.0)],
                                "session_id string, outcome string, value double")

@@ -38,7 +38,7 @@ def record(name, n_trials=24, seed=0):
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("rec")
-    for name in ("BG_031_260325", "BG_031_270325"):
+    for name in ("AB_012_260325", "AB_012_270325"):
         (d / f"{name}.json").write_text(json.dumps(record(name, seed=len(name))))
     src.save_tables(src.normalised_tables(src.read_records(spark, str(d / "*.json"))), str(d / "tables"))
     return src.load_tables(spark, str(d / "tables"))
@@ -46,9 +46,9 @@ def tables(spark, tmp_path_factory):
 
 def test_ingest(tables):
     s = {r.session_id: r for r in tables["sessions"].collect()}
-    assert s["BG_031_260325"].subject == "BG_031" and s["BG_031_260325"].session_name == "260325"
-    assert s["BG_031_260325"].good_unit_ids == [1, 2]
-    t = tables["trials"].where("session_id = 'BG_031_260325' and trial_idx = 2").first()
+    assert s["AB_012_260325"].subject == "AB_012" and s["AB_012_260325"].session_name == "260325"
+    assert s["AB_012_260325"].good_unit_ids == [1, 2]
+    t = tables["trials"].where("session_id = 'AB_012_260325' and trial_idx = 2").first()
     assert (t.outcome, t.change_size, t.change_time, t.reactiontimes) == ("FA", 1.5, 4.0, {"FA": 3.6})
     ev = tables["channel_events"].where("channel = 'Laser'").orderBy("session_id", "event_idx").first()
     assert (ev.rise_t, ev.fall_t, ev.duration, ev.rise_us) == (1.0, 1.01, 0.01, 1_000_000)
@@ -61,7 +61,7 @@ def test_save_and_reload(spark, tables, tmp_path):
     for name, df in tables.items():
         assert back[name].count() == df.count()
         assert set(back[name].columns) == set(df.columns)
-    assert back["sessions"].where("session_id = 'BG_031_260325'").count() == 1
+    assert back["sessions"].where("session_id = 'AB_012_260325'").count() == 1
 
 
 def test_event_response_and_cache(spark, tables, tmp_path):
@@ -81,8 +81,8 @@ def test_choice_analysis(tables):
     eff = got["effects"].collect()
     assert len(eff) == 12 and all(r.p_value == pytest.approx(0.05) for r in eff)
     stats = {(r.session_id, r.grp): r for r in got["change_stats"].collect()}
-    assert stats["BG_031_260325", "Hit"].n == 6
-    assert stats["BG_031_260325", "Hit"].mean > stats["BG_031_260325", "Miss"].mean
+    assert stats["AB_012_260325", "Hit"].n == 6
+    assert stats["AB_012_260325", "Hit"].mean > stats["AB_012_260325", "Miss"].mean
     base = {r.grp for r in got["baseline_stats"].collect()}
     assert base == {"Hit", "Miss", "FA>3s", "Abort"}
     assert got["baseline_tests"].where("group_a = 'Hit' and group_b = 'FA>3s'").first().p_value < 0.01

@@ -44,6 +44,16 @@ SELECT p.session_id, p.unit_id, t.trigger_id, p.t_us - t.t_us AS rel_us
 FROM p JOIN t ON p.session_id = t.session_id AND p.t_us - t.t_us BETWEEN {-6 * H} AND {6 * H}
 """
 
+ORACLE["q_range_pairs"] = f"""
+WITH ev AS ({EV}), p AS ({GLOBAL_PTS}), t AS ({GLOBAL_TRG})
+SELECT 'all' AS session_id, count(*) AS n_pairs FROM p JOIN t ON p.t_us - t.t_us BETWEEN {-H} AND {H}
+"""
+ORACLE["q_pair_counts_by_rank"] = f"""
+WITH ev AS ({EV}), p AS ({GLOBAL_PTS}), t AS ({GLOBAL_TRG})
+SELECT 'all' AS session_id, CAST(least((p.t_us - t.t_us + {H}) // 600000000, 11) AS INTEGER) AS bin, count(*) AS n_pairs
+FROM p JOIN t ON p.t_us - t.t_us BETWEEN {-H} AND {H} GROUP BY ALL
+"""
+
 ORACLE["q_trials_matrix"] = f"""
 WITH ev AS ({EV}), p AS ({USER_PTS}), t AS ({USER_TRG})
 SELECT p.session_id, t.trigger_id, p.unit_id,

@@ -61,6 +61,20 @@ def q_range_join(spark, sf):
     return pairs.select("session_id", "unit_id", "trigger_id", "rel_us")
 
 
+@query
+def q_range_pairs(spark, sf):
+    """How many events lie within an hour of a purchase, counted pair by pair."""
+    pairs = align.range_join(tb.global_points(spark, sf), tb.global_triggers(spark, sf), GLOBAL_GRID.lo, GLOBAL_GRID.hi)
+    return pairs.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query
+def q_pair_counts_by_rank(spark, sf):
+    """The same pairs per bin, by differences of running counts."""
+    counts = align.pair_counts(tb.global_points(spark, sf), tb.global_triggers(spark, sf), GLOBAL_GRID, "ranks")
+    return counts.groupBy("session_id", "bin").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
 @query
 def q_trials_matrix(spark, sf):
     out = align.trials_matrix(tb.user_points(spark, sf), tb.user_triggers(spark, sf), USER_GRID)
@@ -407,7 +421,7 @@ def q_cd_ridge(spark, sf):
 
 @query
 def q_cd_time_resolved(spark, sf):
-    pop = tb.population(spark, sf)
+    pop = cut_lineage(tb.population(spark, sf))
     folds = cut_lineage(directions.stratified_folds(_labels(spark, sf), 5))
     return directions.held_out_projections(pop, folds, directions.solve_time_resolved(
         pop, folds, tb.N_POP_BINS))
@@ -415,7 +429,7 @@ def q_cd_time_resolved(spark, sf):
 
 @query
 def q_cd_perm(spark, sf):
-    pop = tb.population(spark, sf)
+    pop = cut_lineage(tb.population(spark, sf))
     folds = directions.stratified_folds(_labels(spark, sf), 5)
     return directions.effects(directions.solve_time_resolved(pop, folds, tb.N_POP_BINS, n_permutations=20))
 
