@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from trigflow.llm import secrets, urlfilter, warc
+from trigflow.llm import licenses, quality, secrets, urlfilter, warc
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op7_license_scans": licenses.op7_license_scans,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE = {
+    "op2_quality_rules": quality.ORACLE_SQL,
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_url_filters": urlfilter.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
