@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trigflow.llm import licenses, quality, secrets, urlfilter, warc
+from trigflow.llm import licenses, quality, secrets, simhash, urlfilter, warc
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_simhash": simhash.op4_simhash,
     "op7_license_scans": licenses.op7_license_scans,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": urlfilter.op9_url_filters,
