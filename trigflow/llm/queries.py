@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trigflow.llm import licenses, quality, secrets, simhash, toxicity, urlfilter, warc
+from trigflow.llm import licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_simhash": simhash.op4_simhash,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_license_scans": licenses.op7_license_scans,
     "op8_secret_scans": secrets.op8_secret_scans,

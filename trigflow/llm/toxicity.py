@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trigflow.llm.arrow import sliced, texts
 
 #: Bound on the labelled rows that the classifier is fitted on.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 6_000
 GRAMS = (2, 3, 4, 5)
 BITS = 18
 ROUNDS = 60
