@@ -19,7 +19,7 @@ CAPACITY = 2048
 CLOSING_ID = 0
 #: White-space separated strings whose ids a task remembers.
 REMEMBERED = 1_000_000
-BAR = b"|"
+BAR, SPECIAL, MARKS = b"|", b"<|", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces of one length are numbered in this many parts.
 SALTS = 64
 
@@ -40,29 +40,49 @@ class Encoder:
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + 2 * len(new) > REMEMBERED:
             self.known.clear()
             new = list(words)
-        barred = [w for w in new if BAR in w]
-        for word in barred:
-            self.known[word] = np.array(self.encode(word), "<u4").tobytes()
-        # The rest is encoded many at a time, with a bar, one id of its own, between each two.
-        new = [w for w in new if BAR not in w]
-        for at in range(0, len(new), 8192):
-            some = new[at:at + 8192]
-            found = np.array(self.encode(b" | ".join(some)), "<u4")
-            for word, ids in zip(some, np.split(found, np.flatnonzero(found == self.bar))):
-                self.known[word] = (ids[1:] if len(ids) and ids[0] == self.bar else ids).tobytes()
+        whole, split = set(), []
+        for word in new:
+            # Letters and the symbols after them are always apart, so both ends are looked up.
+            head = word.rstrip(MARKS)
+            if len(head) < len(word) and head and SPECIAL not in word and head.decode()[-1].isalpha():
+                split.append((word, head, word[len(head):]))
+            else:
+                whole.add(word)
+        whole.update(x for _, head, tail in split for x in (head, tail) if x not in self.known)
+        self.encode_all([w for w in whole if BAR not in w])
+        for word in whole:
+            if BAR in word:
+                self.known[word] = np.array(self.encode(word), "<u4").tobytes()
+        for word, head, tail in split:
+            self.known[word] = self.known[head] + self.known[tail]
+
+    def encode_all(self, words: list[bytes]) -> None:
+        """Words without a bar, many at a time, with a bar, one id of its own, before each."""
+        for at in range(0, len(words), 4096):
+            some = words[at:at + 4096]
+            found = np.array(self.encode(b"| " + b" | ".join(some)), "<u4")
+            stops = np.r_[np.flatnonzero(found == self.bar), len(found)] * 4
+            raw, bounds = found.tobytes(), stops.tolist()
+            for word, start, stop in zip(some, bounds, bounds[1:]):
+                self.known[word] = raw[start + 4:stop]
 
     def encode(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
     def ids(self, batch: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in batch]
+        split = [self.lowered(t).split() for t in batch]
         self.learn(set().union(*split))
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
+    @staticmethod
+    def lowered(text: bytes) -> bytes:
+        """A-Z lower-cased, as the vocabulary does later, unless a special token or a combining mark might notice."""
+        return text if SPECIAL in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+
 
 #: One encoder for each vocabulary and worker process: tasks that follow find its strings remembered.
 _ENCODERS: dict[str, Encoder] = {}
