@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from trigflow.llm import licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from trigflow.llm import decontaminate, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_simhash": simhash.op4_simhash,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_toxicity": toxicity.op6_toxicity,
