@@ -16,7 +16,7 @@ SEED_WORDS = 3
 RARE_EXPECTED = 0.001
 RARE_WORDS = 1_000
 #: Least share of an item's best score, and least score, for a text to count as a leak.
-MIN_SHARE = 0.5
+MIN_SHARE = 0.45
 MIN_SCORE = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignments computed side by side hold about this many cells a step.
@@ -35,6 +35,8 @@ class Words:
         self.known, self.limit = {}, limit
 
     def hashes(self, text: bytes) -> np.ndarray:
+        if not text.isascii():
+            text = text.decode().lower().encode()
         words = text.translate(NOT_WORD).split()
         known = self.known
         new = set(words).difference(known)
@@ -153,8 +155,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     A text is a candidate for an item if both hold a rare n-gram; the passages around all shared
     seeds are aligned with the item, and the best one is returned if its score is at least
-    ``min_share`` of the item's full score and at least ``min_score``. Words are runs of ASCII
-    letters and digits, lower-cased, and other characters beyond ASCII. NULL and empty texts and
+    ``min_share`` of the item's full score and at least ``min_score``. Words are runs of letters
+    and digits of ASCII and characters beyond it, lower-cased. NULL and empty texts and
     items leak nothing. Rows that repeat an id count as one text holding both.
     """
     items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item")).where("item_id is not null")
