@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -19,69 +20,42 @@ CAPACITY = 2048
 CLOSING_ID = 0
 #: White-space separated strings whose ids a task remembers.
 REMEMBERED = 1_000_000
-BAR, SPECIAL, MARKS = b"|", b"<|", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPECIAL, MARKS = b"<|", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Pieces of one length are numbered in this many parts.
 SALTS = 64
 
 
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, string by string.
+class Encoder(dict):
+    """Token ids of strings as little-endian 32-bit bytes, remembered; and of whole texts, string by string.
 
-    Strings between ASCII white space are encoded on their own and remembered: the vocabulary
-    drops white space and none of its steps looks across it.
+    Strings between ASCII white space are encoded on their own: the vocabulary drops white space
+    and none of its steps looks across it.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        (self.bar,) = self.encode(BAR)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        whole, split = set(), []
-        for word in new:
-            # Letters and the symbols after them are always apart, so both ends are looked up.
-            head = word.rstrip(MARKS)
-            if len(head) < len(word) and head and SPECIAL not in word and head.decode()[-1].isalpha():
-                split.append((word, head, word[len(head):]))
-            else:
-                whole.add(word)
-        whole.update(x for _, head, tail in split for x in (head, tail) if x not in self.known)
-        self.encode_all([w for w in whole if BAR not in w])
-        for word in whole:
-            if BAR in word:
-                self.known[word] = np.array(self.encode(word), "<u4").tobytes()
-        for word, head, tail in split:
-            self.known[word] = self.known[head] + self.known[tail]
-
-    def encode_all(self, words: list[bytes]) -> None:
-        """Words without a bar, many at a time, with a bar, one id of its own, before each."""
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            found = np.array(self.encode(b"| " + b" | ".join(some)), "<u4")
-            stops = np.r_[np.flatnonzero(found == self.bar), len(found)] * 4
-            raw, bounds = found.tobytes(), stops.tolist()
-            for word, start, stop in zip(some, bounds, bounds[1:]):
-                self.known[word] = raw[start + 4:stop]
-
-    def encode(self, text: bytes) -> list[int]:
-        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-
-    def ids(self, batch: list[bytes]) -> list[bytes]:
-        split = [self.lowered(t).split() for t in batch]
-        self.learn(set().union(*split))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    @staticmethod
-    def lowered(text: bytes) -> bytes:
-        """A-Z lower-cased, as the vocabulary does later, unless a special token or a combining mark might notice."""
-        return text if SPECIAL in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        # Letters and the symbols after them are always apart, so both ends are looked up.
+        head = word.rstrip(MARKS)
+        if head and len(head) < len(word) and SPECIAL not in word and head.decode()[-1].isalpha():
+            ids = self[head] + self[word[len(head):]]
+        else:
+            ids = array("I", self.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        # A-Z are lower-cased, as the vocabulary does later, unless a special token or a combining mark might notice.
+        if not (SPECIAL in text or b"\xcc" in text or b"\xcd" in text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 #: One encoder for each vocabulary and worker process: tasks that follow find its strings remembered.
@@ -108,8 +82,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             owners, rows = [], []
-            for i, ids in enumerate(encoder.ids(texts(batch.column(1)))):
-                ids += closing
+            for i, text in enumerate(texts(batch.column(1))):
+                ids = encoder.ids(text) + closing
                 for n, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     owners.append(i)
