@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trigflow.llm import decontaminate, licenses, packing, quality, secrets, simhash, toxicity, urlfilter, warc
+from trigflow.llm import decontaminate, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
+    "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_simhash": simhash.op4_simhash,
