@@ -232,5 +232,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             .groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"))
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose id :func:`find_leaks` does not return. NULL ids stay."""
+    leaks = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.col(id_col) == F.col("_leak"), "left_anti")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -96,6 +96,25 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
+def redact_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None) -> DataFrame:
+    """``docs`` with every secret of ``text_col`` masked; other columns stay, but n_chars follows the text.
+
+    ``ledger`` holds entries of earlier scans, whose contents are not scanned again.
+    """
+    history = versions(docs, id_col, text_col)
+    entries = scan(history, ledger)
+    if ledger is not None:
+        entries = entries.unionByName(ledger.where(F.col("version") == RULE_VERSION).select(*entries.columns))
+    found = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_own", F.sha2(F.col(text_col), 256)).join(found, F.col("_own") == F.col("_blob"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_spans")))
+    out = joined.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col))
+        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = versions(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     spans = F.col("spans")

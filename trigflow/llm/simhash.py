@@ -45,12 +45,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash) of each row; the fingerprint as a signed long."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), batch.column(2)],
+                                          names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(id_col, text_col).mapInArrow(sliced(work, 1), "doc_id long, fp long")
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_hash")).mapInArrow(
+        sliced(work, 1), "doc_id long, fp long, text_hash long")
 
 
 def balls(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +176,12 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row.
+    """(doc_id, fingerprint, component_id, text_hash, root) of each row.
 
     Texts whose fingerprints differ in at most ``bits`` bits are linked; component_id is the
     smallest id reachable. NULL and wordless texts have fingerprint zero and are linked like any
-    other. Rows that repeat an id are rows of their own with, usually, the same component. A NULL
-    id never names a component unless no other id is in it.
+    other. Rows that repeat an id are linked by their own texts. A NULL id names no component
+    unless no other id is in it; ``root``, a fingerprint, tells such components apart.
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -188,9 +190,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = named.join(ids, "root").select("fp", "component_id")
+    table = named.join(ids, "root").select("fp", "component_id", "root")
     return rows.join(table, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component of :func:`near_copies`, all columns as they are: that with the smallest id.
+
+    A NULL id comes last; of rows with the same id one with the smallest hash of the text stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = near_copies(docs, id_col, text_col, bits).groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    mine = docs.withColumn("_own", F.xxhash64(text_col))
+    one = mine.join(kept, mine[id_col].eqNullSafe(kept["_id"]) & (mine["_own"] == kept["_hash"]), "left_semi")
+    return one.dropDuplicates([id_col, "_own"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
