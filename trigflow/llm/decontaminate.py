@@ -28,25 +28,49 @@ MARGIN = 8
 NOT_WORD = bytes(b if b > 127 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 
 
-class Words:
+class Words(dict):
     """Hashes of words, remembered by the task."""
 
-    def __init__(self, limit: int = 500_000):
-        self.known, self.limit = {}, limit
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
     def hashes(self, text: bytes) -> np.ndarray:
         if not text.isascii():
             text = text.decode().lower().encode()
         words = text.translate(NOT_WORD).split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class BitTable:
+    """Which hashes of a set a value may be: of a fixed size, so tasks can hold it whatever the size of the set.
+
+    A larger set lets more other values through; what passes is always joined with the set itself.
+    """
+
+    LOW = (1 << TABLE_BITS) - 1
+
+    def __init__(self, table: DataFrame, column: str):
+        words = table.select(F.col(column).bitwiseAND(self.LOW).alias("h")).groupBy(F.shiftright("h", 6).alias("place")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+        bits = np.zeros((self.LOW + 1) // 64, np.int64)
+        for r in words.collect():  # at most 2^TABLE_BITS / 64 rows
+            bits[r["place"]] = r["bits"]
+        self.shared = table.sparkSession.sparkContext.broadcast(bits)
+
+    def reader(self):
+        """A function for one task: the places of the values that may be in the set."""
+        filled, low = self.shared.value.view(np.uint64), np.uint64(self.LOW)
+
+        def places(values: np.ndarray) -> np.ndarray:
+            h = values & low
+            return np.flatnonzero(filled[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1))
+
+        return places
 
 
 def grams(h: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
@@ -60,15 +84,20 @@ def grams(h: np.ndarray, n: int = SEED_WORDS) -> np.ndarray:
     return out
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts, words as hashes."""
+def word_counts(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts for the words, as hashes, of ``wanted``; a NULL word has the number of all words."""
+    table = BitTable(wanted, "word")
+
     def run(batches):
-        words = Words()
+        words, places = Words(), table.reader()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [words.hashes(t) for t in texts(batch.column(0))]
-            every, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            every = np.concatenate(found or [np.zeros(0, np.uint64)])
+            some, n = np.unique(every[places(every)], return_counts=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*some.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), len(every)], pa.int64())],
+                names=["word", "n"])
 
         yield from sliced(work, 0)(batches)
 
@@ -123,7 +152,7 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int
     return out
 
 
-def seeds(items: DataFrame, counts: DataFrame, id_col: str = "item_id", text_col: str = "text",
+def seeds(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_col: str = "text", text_col: str = "text",
           n: int = SEED_WORDS, expected: float = RARE_EXPECTED) -> DataFrame:
     """(gram, item_id, at) of the rare n-grams of all items.
 
@@ -134,16 +163,17 @@ def seeds(items: DataFrame, counts: DataFrame, id_col: str = "item_id", text_col
     def words(batches):
         table = Words()
         for batch in batches:
-            rows = [(i, t, h) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))) for h in [table.hashes(t)]]
-            flat = [(i, at, int(g), int(w), k) for i, _, h in rows for at, g in enumerate(grams(h, n).view(np.int64))
-                    for k, w in enumerate(h[at:at + n].view(np.int64))]
-            columns = list(zip(*flat)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "at", "gram", "word", "k"])
-
-    each = items.select(id_col, text_col).mapInArrow(words, "item_id long, at long, gram long, word long, k long")
-    total = counts.agg(F.sum("n").alias("total"))  # one row
+            rows = [(i, table.hashes(t)) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)))]
+            flat = [(i, at, int(g), int(w)) for i, h in rows for at, g in enumerate(grams(h, n).view(np.int64))
+                    for w in h[at:at + n].view(np.int64)]
+            columns = list(zip(*flat)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "at", "gram", "word"])
+
+    each = cut_lineage(items.select(id_col, item_col).mapInArrow(words, "item_id long, at long, gram long, word long"))
+    counts = cut_lineage(word_counts(docs, each, text_col))
+    total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     share = each.join(counts, "word", "left").join(F.broadcast(total)).withColumn(
-        "log", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + 1)))
+        "log", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 1)))
     return (share.groupBy("item_id", "at", "gram").agg(F.sum("log").alias("log"))
             .where(F.exp("log") * RARE_WORDS <= expected).select("gram", "item_id", "at"))
 
@@ -161,26 +191,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item")).where("item_id is not null")
     items = items.groupBy("item_id").agg(F.max("item").alias("item"))
-    table = cut_lineage(seeds(items, word_counts(docs, text_col), "item_id", "item"))
-    # A table of bits for the seeds' hashes: its size is fixed; more seeds only let more n-grams through to the join.
-    low = (1 << TABLE_BITS) - 1
-    words = table.select(F.col("gram").bitwiseAND(low).alias("h")).groupBy(F.shiftright("h", 6).alias("place")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    bits = np.zeros((low + 1) // 64, np.int64)
-    for r in words.toLocalIterator():  # at most 2^TABLE_BITS / 64 rows
-        bits[r["place"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    table = cut_lineage(seeds(docs, items, "item_id", "item", text_col))
+    bits = BitTable(table, "gram")
 
     def hits(batches):
-        known, filled = Words(), shared.value.view(np.uint64)
+        known, places = Words(), bits.reader()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out_row, out_gram, out_at = [], [], []
             for i, text in enumerate(texts(batch.column(1))):
                 h = known.hashes(text)
                 g = grams(h)
-                low_bits = g & np.uint64(low)
-                hit = np.flatnonzero(filled[(low_bits >> np.uint64(6)).astype(np.int64)] >> (low_bits & np.uint64(63)) & np.uint64(1))
+                hit = places(g)
                 out_row += [i] * len(hit)
                 out_gram.append(g[hit].view(np.int64))
                 out_at.append(hit)
