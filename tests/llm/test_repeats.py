@@ -41,9 +41,10 @@ def text_of(rnd, n):
     return " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 7))) for _ in range(n))
 
 
-@pytest.mark.parametrize("frequent", [32, 1])
-def test_like_brute_force(make_docs, monkeypatch, frequent):
-    monkeypatch.setattr(repeats, "FREQUENT", frequent)  # 1: every key is refined
+@pytest.mark.parametrize("frequent,many", [(1024, 32), (1, 32), (1024, 1)])
+def test_like_brute_force(make_docs, monkeypatch, frequent, many):
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)  # 1: every key is refined, before or after gathering
+    monkeypatch.setattr(repeats, "MANY", many)
     rnd = random.Random(7)
     common, other = text_of(rnd, 90), text_of(rnd, 60)
     rows = [(i, text_of(rnd, rnd.randint(5, 90))) for i in range(12)]

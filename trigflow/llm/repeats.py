@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ SIZE = 200
 GRAM = 32
 #: Windows of a run; longer runs are cut, which loses nothing as windows are compared one by one.
 RUN = 512
-#: Keys with more runs than this are refined.
-FREQUENT = 32
+#: Keys with more runs than this are refined before texts are gathered.
+FREQUENT = 1024
+#: Keys with more different texts than this are refined where they were gathered, so each suffix array is short.
+MANY = 32
 #: Window starts that share a finer key.
 STRIDE = 8
 #: Bytes of different texts whose suffix arrays are built side by side.
@@ -184,13 +187,36 @@ class Gatherer:
     def close_key(self):
         self.close_text()
         if any(self.single) and (len(self.distinct) > 1 or self.folds):
-            self.groups.append(self.distinct)
-            self.owners.append(self.single)
-            self.bytes += sum(map(len, self.distinct))
+            if len(self.distinct) > MANY:
+                self.refine()
+            else:
+                self.put(self.distinct, self.single)
         self.single, self.distinct, self.folds = [], [], False
         if self.bytes > BATCH:
             self.judge()
 
+    def put(self, distinct, single):
+        self.groups.append(distinct)
+        self.owners.append(single)
+        self.bytes += sum(map(len, distinct))
+
+    def refine(self):
+        """The texts of the key in parts, under finer keys; parts that are equal are marked as they are."""
+        parts: dict = {}
+        for text, owner in zip(self.distinct, self.single):
+            for s, n, key in finer_runs(text, self.key + (1 << 63), self.size):
+                place = owner and (owner[0], owner[1], owner[2] + s, n)
+                parts.setdefault(key, {}).setdefault(text[s:s + n + self.size - 1], []).append(place)
+        for pieces in parts.values():
+            single = []
+            for places in pieces.values():
+                single.append(places[0] if len(places) == 1 else None)
+                if len(places) > 1:
+                    for place in filter(None, places):
+                        self.whole(*place)
+            if any(single) and (len(pieces) > 1 or self.folds):
+                self.put(list(pieces), single)
+
     def judge(self):
         if self.groups:
             for owners, marks in zip(self.owners, repeated_windows(self.groups, self.size)):
@@ -210,7 +236,7 @@ class Gatherer:
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc, ver, spans) of texts with bytes in strings of ``size`` bytes that also start elsewhere.
 
-    ``docs`` has columns doc, ver (together naming a text) and text. Spans are lists of start,
+    ``docs`` has columns doc_id, doc and ver (together naming a text), and text. Spans are lists of start,
     stop, start, stop, … and may touch or overlap.
     """
     def runs(batches):
@@ -223,7 +249,7 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
                      pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(folds)],
                     names=["doc", "ver", "start", "windows", "key", "folds"])
 
-    found = docs.mapInArrow(runs, "doc long, ver long, start int, windows int, key long, folds boolean")
+    found = docs.select("doc", "ver", "text").mapInArrow(runs, "doc long, ver long, start int, windows int, key long, folds boolean")
     often = (found.groupBy("key").agg(F.count("*").alias("n"), F.max("folds").alias("any_folds")).where("n > 1 or any_folds")
              .select("key", (F.col("n") > FREQUENT).alias("frequent")))
     each = (found.join(often, "key").groupBy("doc", "ver")
@@ -233,31 +259,34 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
         seen: set = set()
 
         def rows_of(batch):
-            for doc, ver, text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                            texts(batch.column(2)), batch.column(3).to_pylist()):
-                for run in some:
-                    start, key = run["start"], run["key"] & 0xFFFFFFFFFFFFFFFF
-                    part = text[start:start + run["windows"] + size - 1]
-                    finer = finer_runs(part, key, size) if run["frequent"] else [(0, run["windows"], key)]
-                    for s, n, k in finer:
+            lists = batch.column(4)
+            start_, windows, keys, folds_, frequent_ = (lists.flatten().field(k).to_pylist() for k in range(5))
+            sizes = pa.compute.list_value_length(lists).to_pylist()
+            at = 0
+            for doc, ver, text, size_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(3)), sizes):
+                for i in range(at, at + size_):
+                    start, n, key, folds = start_[i], windows[i], keys[i] & 0xFFFFFFFFFFFFFFFF, folds_[i]
+                    part = text[start:start + n + size - 1]
+                    for s, n, k in finer_runs(part, key, size) if frequent_[i] else ((0, n, key),):
                         piece = part[s:s + n + size - 1]
                         mark = xxhash.xxh3_64_intdigest(piece)
                         new = (k, mark) not in seen  # a task sends each text of a key once
                         if new:
                             seen.add((k, mark))
-                        yield (k - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, run["folds"], not new,
-                               piece if new else None)
-                        if len(seen) > 200_000:
-                            seen.clear()
+                        yield (k - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, folds, not new, piece if new else None)
+                at += size_
+                if len(seen) > 200_000:
+                    seen.clear()
 
         kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
         names = ["key", "mark", "doc", "ver", "start", "windows", "folds", "known", "text"]
         for batch in batches:
-            for piece in slices(batch, 2):
+            for piece in slices(batch, 3):
                 columns = list(zip(*rows_of(piece))) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    gathered = docs.join(each, ["doc", "ver"]).select("doc", "ver", "text", "runs").mapInArrow(
+    # The same columns as in the join that follows, so that one exchange of the texts serves both.
+    gathered = docs.join(each, ["doc", "ver"]).select("doc_id", "doc", "ver", "text", "runs").mapInArrow(
         gather, "key long, mark long, doc long, ver long, start int, windows int, folds boolean, known boolean, text binary")
 
     def judge(batches):
@@ -287,8 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"),
                        F.xxhash64(F.col(id_col).isNull(), text).alias("ver"), text.alias("text"))
-    keyed = rows.select("doc", "ver", "text")
-    spans = (repeated_spans(keyed, size).groupBy("doc", "ver").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = (repeated_spans(rows, size).groupBy("doc", "ver").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
     def cut(batches):
         def one(data: bytes, edges: list[int] | None) -> tuple[int, int, int, str]:
