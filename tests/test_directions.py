@@ -124,3 +124,16 @@ def test_mean_difference_direction_and_projection(spark):
     assert [r.weight for r in w.orderBy("unit_id").collect()] == pytest.approx(list(want))
     proj = {r.trial_idx: r.proj for r in population.project(df, w, ["trial_idx"]).collect()}
     assert [proj[i] for i in range(20)] == pytest.approx(list(pop[:, 0] @ want))
+
+
+def test_a_session_of_one_class_stays_whatever_the_permutations(spark):
+    pop, y = make(4)
+    one = long(spark, pop).unionByName(long(spark, pop).withColumn("session_id", F.lit("only")))
+    tags = labels(spark, y).unionByName(labels(spark, [0] * len(y)).withColumn("session_id", F.lit("only")))
+    folds = d.stratified_folds(tags, 5)
+    for n in (0, 5):
+        got = d.effects(d.solve_time_resolved(one, folds, 3, n_permutations=n)).collect()
+        assert {(r.session_id, r.bin) for r in got} == {(s, b) for s in ("s", "only") for b in range(3)}
+        alone = [r for r in got if r.session_id == "only"]
+        assert all(r.effect is None and r.mean1 is None and r.p_value is None and r.mean0 == 0.0 for r in alone)
+        assert all((r.p_value is None) == (n == 0) for r in got if r.session_id == "s")

@@ -139,7 +139,7 @@ def test_manifest_from_disk(spark, tmp_path):
     assert {k: v[0] for k, v in got.items()} == {
         "one": "Complete", "two": "Complete", "three": "Likely Complete", "session_9": "Likely Complete",
         "four": "Incomplete"}
-    assert got["four"][1] == "partial outputs found"
+    assert got["four"][1] == "spikes" and got["three"][1] == "spikes+raw"
     conf = spark.createDataFrame([(str(tmp_path / "four"),), (str(tmp_path / "gone"),)], "path string")
     checked = {r.path[-4:]: r for r in manifest.required_artifacts(conf, listed).collect()}
     assert checked["four"].exists and checked["four"].has_raw_waveforms and not checked["four"].has_spike_times

@@ -45,38 +45,15 @@ def _window_bits(lo: int, hi: int) -> int:
     return max(1, int(hi - lo).bit_length())
 
 
-def density(df: DataFrame, lo: int, hi: int, keys: tuple[str, ...] = ("session_id",)) -> float:
-    """Rows a typical row shares its key and window-sized bucket with.
-
-    One aggregate returning one row; a burst raises it even when the average over the
-    recording is low.
-    """
-    bucket = F.shiftright("t_us", _window_bits(lo, hi)).alias("bucket")
-    n = F.col("n").cast("double")
-    row = (
-        df.where(F.col("t_us").isNotNull()).groupBy(*keys, bucket)
-        .agg(F.count(F.lit(1)).alias("n")).agg((F.sum(n * n) / F.sum(n)).alias("d")).first()
-    )
-    return row["d"] or 0.0
-
-
-# Pairs are streamed through a hash join and summed map-side, which costs far less per
-# row than the sorted running counts; beyond this many triggers per probe those win.
-PAIRS_PER_PROBE = 16
-
-
 def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
-                method: str = "auto") -> DataFrame:
-    """(session, unit, bin, n_pairs) of points around triggers.
+                method: str = "pairs") -> DataFrame:
+    """(session, unit, bin, n_pairs) of points around triggers, where there are pairs.
 
     ``pairs`` joins and counts: work grows with the matches. ``ranks`` forms no pair:
     with N(x) the number of triggers up to x, a point p has ``N(p - b_k) - N(p - b_(k+1))``
     triggers in bin k, so work grows with points * bins + triggers whatever the density.
-    ``auto`` measures the trigger density and takes the cheaper one. Both are exact.
+    Both give the same rows; pairs are cheaper up to some dozen triggers in a window.
     """
-    if method == "auto":
-        dense = density(triggers, grid.lo, grid.hi) > PAIRS_PER_PROBE * (grid.n_bins + 1)
-        method = "ranks" if dense else "pairs"
     if method == "pairs":
         pairs = range_join(points.select("session_id", "unit_id", "t_us"),
                            triggers.select("session_id", "t_us"), grid.lo, grid.hi)
@@ -95,7 +72,7 @@ def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
     nxt = F.lead("s").over(Window.partitionBy("session_id", "unit_id").orderBy("k"))
     return (
         sums.withColumn("n_pairs", (F.col("s") - nxt).cast("bigint"))
-        .where(F.col("k") < grid.n_bins)
+        .where((F.col("k") < grid.n_bins) & (F.col("n_pairs") > 0))
         .select("session_id", "unit_id", F.col("k").alias("bin"), "n_pairs")
     )
 
@@ -113,7 +90,7 @@ def unit_bin_grid(units: DataFrame, n_bins: int) -> DataFrame:
 
 
 def peth(points: DataFrame, triggers: DataFrame, units: DataFrame, grid: BinGrid,
-         method: str = "auto") -> DataFrame:
+         method: str = "pairs") -> DataFrame:
     """Mean rate per unit and bin over all triggers of the session, zero-filled.
 
     Points of units not listed are counted but leave with the left join to the grid;
@@ -209,24 +186,16 @@ def variable_range_join(points: DataFrame, spans: DataFrame, bits: int = 22) ->
     )
 
 
-def count_method(points: DataFrame, lo: int, hi: int) -> str:
-    """``ranks`` when the points of single units crowd inside windows of this span, else ``pairs``."""
-    dense = density(points, lo, hi, ("session_id", "unit_id")) > 8 * PAIRS_PER_PROBE
-    return "ranks" if dense else "pairs"
-
-
 def window_counts(points: DataFrame, triggers: DataFrame, lo: int, hi: int, ids: list[str],
-                  units: DataFrame | None = None, method: str = "auto") -> DataFrame:
+                  units: DataFrame | None = None, method: str = "pairs") -> DataFrame:
     """Points of each unit in the window of each trigger: (session, unit, ids, n, first_us).
 
     ``first_us`` is the earliest relative time. Windows without points are left out.
     ``pairs`` counts joined pairs. ``ranks`` probes each unit's running point count at
     both window ends, one pair of probes per (unit, trigger) however many points lie
-    between; ``auto`` takes it when points crowd inside single windows.
+    between: for points that crowd inside single windows. Both give the same rows.
     """
     by = ["session_id", "unit_id"]
-    if method == "auto":
-        method = count_method(points, lo, hi)
     if method == "pairs":
         pairs = range_join(points.select(*by, "t_us"), triggers.select("session_id", *ids, "t_us")
                            .withColumnsRenamed({c: f"id_{c}" for c in ids}), lo, hi)

@@ -48,23 +48,24 @@ def with_label_sets(labels: DataFrame, n_permutations: int, seed: int = 0) -> Da
 
     In permutation p a trial is in class 1 when its hash is among the n1 smallest; the
     threshold is an exact order statistic, so no permutation is ever sorted as a whole.
+    Permuted sets of a session without class 1 are all zero.
     """
     if n_permutations == 0:
         return labels.withColumn("ys", F.array("y"))
 
     def draw(p):
-        return F.xxhash64("session_id", "trial_idx", p, F.lit(seed))
+        return hash60(F.col("session_id"), F.col("trial_idx"), p, F.lit(seed))
 
     perms = F.sequence(F.lit(1), F.lit(n_permutations))
     n1 = labels.groupBy("session_id").agg(F.sum("y").alias("k")).where("k > 0")
     wanted = n1.withColumn("perm", F.explode(perms)).select("session_id", "perm", F.lit("t").alias("tag"), "k")
     rows = labels.select("session_id", "trial_idx", F.explode(perms).alias("perm")).withColumn(
         "h", draw(F.col("perm")))
-    cut = kth_smallest(rows, ["session_id", "perm"], "h", wanted, F.shiftright("h", 53))
+    cut = kth_smallest(rows, ["session_id", "perm"], "h", wanted, F.shiftright("h", 49))
     cuts = cut.groupBy("session_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("perm", "value"))), lambda s: s["value"]).alias("cuts"))
-    permuted = F.transform(perms, lambda p: (draw(p) <= F.get("cuts", p - 1)).cast("int"))
-    return labels.join(cuts, "session_id").withColumn("ys", F.concat(F.array("y"), permuted)).drop("cuts")
+    permuted = F.transform(perms, lambda p: F.coalesce(draw(p) <= F.get("cuts", p - 1), F.lit(False)).cast("int"))
+    return labels.join(cuts, "session_id", "left").withColumn("ys", F.concat(F.array("y"), permuted)).drop("cuts")
 
 
 def _packed(ys: str, n_sets: int) -> list:
@@ -221,7 +222,8 @@ def solve_time_resolved(pop: DataFrame, folds: DataFrame, n_bins: int, method: s
     ``folds`` are labels with a fold; they and their label sets are checkpointed, being
     read more than once. Rows with ``fold >= 0`` hold the fold's unit vector,
     ``fold = -1`` the mean over folds (not renormalised), and ``fold = -2`` (one per bin)
-    mean0, mean1, effect and p = (#|permuted| >= |effect| + 1) / (permutations + 1).
+    mean0, mean1, effect and p = (#|permuted| >= |effect| + 1) / (permutations + 1). With one
+    class only there is no effect: the mean of the other class, effect and p are NULL.
     """
     index = dense_unit_index(pop)
     session = dict(pop.dtypes)["session_id"]
@@ -245,16 +247,19 @@ def solve_time_resolved(pop: DataFrame, folds: DataFrame, n_bins: int, method: s
                 used += 1
                 rows.append((k, units, w[0]))
         rows.append((-1, units, total / max(used, 1)))
-        m1, m0 = s1 / n1.sum(0), s0 / (n.sum() - n1.sum(0))
+        k1, k0 = n1.sum(0), n.sum() - n1.sum(0)
+        m1, m0 = (np.where(c > 0, s / np.maximum(c, 1.0), np.nan) for s, c in ((s1, k1), (s0, k0)))
         effect = m1 - m0
+        both = k1[0] > 0 and k0[0] > 0
         reached = int((np.abs(effect[1:]) >= abs(effect[0])).sum())
+        said = [None if np.isnan(v[0]) else float(v[0]) for v in (m0, m1, effect)]
         frame = pd.concat([pd.DataFrame({"fold": f, "u": u, "weight": w}) for f, u, w in rows])
-        stats = pd.DataFrame({"fold": [-2], "mean0": [m0[0]], "mean1": [m1[0]], "effect": [effect[0]],
-                              "p_value": [(reached + 1) / sets if sets > 1 else None]})
+        stats = pd.DataFrame({"fold": [-2], "mean0": [said[0]], "mean1": [said[1]], "effect": [said[2]],
+                              "p_value": [(reached + 1) / sets if sets > 1 and both else None]})
         out = pd.concat([frame, stats])
         return out.assign(session_id=pdf["session_id"].iloc[0], bin=pdf["bin"].iloc[0])[
             ["session_id", "bin", "fold", "u", "weight", "mean0", "mean1", "effect", "p_value"]
-        ].astype({"u": "Int32", "p_value": "float64"})
+        ].astype({"u": "Int32", "mean0": "float64", "mean1": "float64", "effect": "float64", "p_value": "float64"})
 
     if n_permutations:
         folds = cut_lineage(folds)

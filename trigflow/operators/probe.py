@@ -69,11 +69,13 @@ def read_imro(files: DataFrame) -> DataFrame:
 
     Five numbers in brackets make an entry; a text with none is read as runs of five.
     """
-    groups = F.regexp_extract_all("text", F.lit(r"\((\s*\d+\s+\d+\s+\d+\s+\d+\s+\d+)\)"), F.lit(1))
+    bracketed = F.transform(F.regexp_extract_all("text", F.lit(r"\(([^()]*)\)"), F.lit(1)),
+                            lambda g: F.split(F.regexp_replace(g, r"^\s+|\s+$", ""), r"\s+"))
+    groups = F.filter(bracketed, lambda e: (F.size(e) == 5) & F.forall(e, lambda x: x.rlike("^[0-9]+$")))
     nums = F.regexp_extract_all("text", F.lit(r"(\d+)"), F.lit(1))
     runs = F.when(F.size(nums) >= 5, F.transform(
         F.sequence(F.lit(0), F.floor(F.size(nums) / 5).cast("int") - 1), lambda i: F.slice(nums, i * 5 + 1, 5)))
-    entries = F.when(F.size(groups) > 0, F.transform(groups, lambda g: F.split(F.trim(g), r"\s+"))).otherwise(runs)
+    entries = F.when(F.size(groups) > 0, groups).otherwise(runs)
     t = files.select("path", F.posexplode(entries).alias("pos", "e"))
     return t.select("path", "pos", *[
         F.get("e", F.lit(i)).cast("int").alias(n) for i, n in enumerate(("ch", "shank", "bank", "ref", "elec"))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trigflow.functions.scalars import response_class, poisson_upper_tail, waveform_class
 from trigflow.functions.ticks import seconds_to_ticks
-from trigflow.operators.align import count_method, trigger_counts, window_counts
+from trigflow.operators.align import trigger_counts, window_counts
 from trigflow.operators.running import exact_percentiles
 from trigflow.operators.units import session_durations
 
@@ -108,11 +108,9 @@ def spikes_in_ticks(spikes: DataFrame, rates: DataFrame, time_units: DataFrame |
 
 
 def pulse_responses(points: DataFrame, pulses: DataFrame, evoked: tuple[int, int] = EVOKED_US,
-                    baseline: tuple[int, int] = BASELINE_US, method: str = "auto") -> DataFrame:
+                    baseline: tuple[int, int] = BASELINE_US, method: str = "pairs") -> DataFrame:
     """Sparse (session, unit, trigger): evoked and baseline counts, first evoked time."""
     ids = ["trigger_id"]
-    if method == "auto":
-        method = count_method(points, min(evoked[0], baseline[0]), max(evoked[1], baseline[1]))
     ev = window_counts(points, pulses, evoked[0], evoked[1], ids, method=method).select(
         *UNIT, *ids, F.col("n").alias("n_evoked"), "first_us", F.lit(0).cast("bigint").alias("n_baseline"))
     base = window_counts(points, pulses, baseline[0], baseline[1] - 1, ids, method=method).select(
@@ -122,7 +120,7 @@ def pulse_responses(points: DataFrame, pulses: DataFrame, evoked: tuple[int, int
 
 
 def unit_metrics(points: DataFrame, pulses: DataFrame, units: DataFrame, evoked: tuple[int, int] = EVOKED_US,
-                 baseline: tuple[int, int] = BASELINE_US, method: str = "auto") -> DataFrame:
+                 baseline: tuple[int, int] = BASELINE_US, method: str = "pairs") -> DataFrame:
     """Reliability, latency, evoked and baseline statistics per unit; silent pulses count as zero.
 
     A (unit, pulse) gives at most one evoked and one baseline row, so sums over rows are
@@ -153,7 +151,7 @@ def unit_metrics(points: DataFrame, pulses: DataFrame, units: DataFrame, evoked:
 
 
 def latency_percentiles(points: DataFrame, pulses: DataFrame, evoked: tuple[int, int] = EVOKED_US,
-                        method: str = "auto") -> DataFrame:
+                        method: str = "pairs") -> DataFrame:
     """10th and 50th percentile of first-point latencies in ms, linear interpolation."""
     first = window_counts(points, pulses, evoked[0], evoked[1], ["trigger_id"], method=method)
     bits = max(0, int(evoked[1] - evoked[0]).bit_length() - 12)
@@ -188,13 +186,11 @@ def null_onsets(points: DataFrame, pulses: DataFrame, n_iters: int = 300,
 
 
 def permutation_p(points: DataFrame, pulses: DataFrame, units: DataFrame, n_iters: int = 300,
-                  evoked: tuple[int, int] = EVOKED_US, method: str = "auto") -> DataFrame:
+                  evoked: tuple[int, int] = EVOKED_US, method: str = "pairs") -> DataFrame:
     """Share of draws whose evoked count reaches the observed one (no +1).
 
     A unit with no evoked point has p = 1, so draws without points never need a row.
     """
-    if method == "auto":
-        method = count_method(points, *evoked)
     onsets = null_onsets(points, pulses, n_iters, evoked)
     observed = window_counts(points, pulses, *evoked, ["trigger_id"], method=method).groupBy(*UNIT).agg(
         F.sum("n").alias("observed"))
@@ -217,15 +213,13 @@ def permutation_p(points: DataFrame, pulses: DataFrame, units: DataFrame, n_iter
 def units_table(points: DataFrame, pulses: DataFrame, units: DataFrame, shapes: DataFrame | None = None,
                 n_iters: int = 300, max_latency_ms: float = 6.0, min_reliability: float = 0.5,
                 evoked: tuple[int, int] = EVOKED_US, baseline: tuple[int, int] = BASELINE_US,
-                method: str = "auto") -> DataFrame:
+                method: str = "pairs") -> DataFrame:
     """Everything known about a unit's response, one row per unit.
 
     ``shapes(session_id, unit_id, peak_width_us, peak_valley_us)`` is optional; its columns
     are NULL for units without a waveform.
     """
     window_s = (evoked[1] - evoked[0]) / 1e6
-    if method == "auto":
-        method = count_method(points, min(evoked[0], baseline[0]), max(evoked[1], baseline[1]))
     m = unit_metrics(points, pulses, units, evoked, baseline, method)
     lam = F.col("baseline_rate_hz") * F.col("n_pulses") * window_s
     p_poisson = F.when(F.col("n_pulses") == 0, 1.0).otherwise(poisson_upper_tail(F.col("total_evoked"), lam))

@@ -69,12 +69,14 @@ ORACLE["q_psth"] = f"""
 WITH ev AS ({EV}),
 p AS (SELECT event_type AS session_id, user_id AS unit_id, t_us FROM ev),
 t AS (SELECT event_id AS trigger_id, t_us FROM ev WHERE event_type = 'purchase'),
-nt AS (SELECT count(*) AS n FROM t)
-SELECT p.session_id, p.unit_id,
-       CAST(least((p.t_us - t.t_us + {2 * H}) // 60000000, 179) AS INTEGER) AS bin,
-       round(count(*) / (any_value(nt.n) * 60.0::DOUBLE), 9) AS rate_hz, any_value(nt.n) AS n_trials
-FROM p JOIN t ON p.t_us - t.t_us BETWEEN {-2 * H} AND {H}, nt
-GROUP BY ALL
+nt AS (SELECT count(*) AS n FROM t),
+c AS (SELECT p.session_id, p.unit_id, least((p.t_us - t.t_us + 7200000000) // 60000000, 179) AS bin, count(*) AS n
+  FROM p JOIN t ON p.t_us - t.t_us BETWEEN -7200000000 AND 3600000000 GROUP BY ALL),
+g AS (SELECT DISTINCT session_id, unit_id, b.bin FROM p, (SELECT unnest(range(180)) AS bin) b)
+SELECT g.session_id, g.unit_id, CAST(g.bin AS INTEGER) AS bin,
+       CASE WHEN nt.n = 0 THEN 0.0 ELSE round(coalesce(c.n, 0) / (nt.n * 60.0::DOUBLE), 9) END AS rate_hz,
+       greatest(nt.n, 1) AS n_trials
+FROM g LEFT JOIN c USING (session_id, unit_id, bin), nt
 """
 
 
@@ -324,8 +326,14 @@ ORACLE["q_latency_pct"] = f"""{RESP} SELECT session_id, unit_id, round(p10, 6) A
 ORACLE["q_poisson_tail"] = f"{RESP} SELECT session_id, unit_id, round(least(1.0, greatest(0.0, pp)), 6) AS p_poisson FROM po"
 ORACLE["q_perm_evoked"] = f"{RESP} SELECT session_id, unit_id, observed, p_permutation FROM pe"
 ORACLE["q_units_table"] = f"""{RESP} SELECT {METRICS}, round(least(1.0, greatest(0.0, pp)), 6) AS p_poisson,
-  round(p10, 6) AS latency_p10_ms, round(p50, 6) AS latency_p50_ms, p_permutation, {CLASS} AS classification
-  FROM po JOIN pe USING (session_id, unit_id)"""
+  round(p10, 6) AS latency_p10_ms, round(p50, 6) AS latency_p50_ms, p_permutation, {CLASS} AS classification,
+  CASE WHEN k % 3 > 0 THEN k * 90.0::DOUBLE END AS wf_peak_width_us, CASE WHEN k % 3 > 0 THEN k * 120.0::DOUBLE END AS wf_peak_valley_us,
+  CASE WHEN k % 3 > 0 THEN round(fr, 12) END AS wf_mean_fr_hz,
+  CASE WHEN k % 3 > 0 THEN CASE WHEN k * 90 > 150 AND k * 120 > 500 AND fr <= 10 THEN 'SPN'
+    WHEN k * 90 <= 150 AND k * 120 <= 500 AND fr >= 0.1 THEN 'FSI' ELSE 'Other' END END AS wf_class
+  FROM (SELECT *, (session_id * 7 + length(unit_id)) % 9 AS k FROM po) po JOIN pe USING (session_id, unit_id)
+  JOIN (SELECT p.session_id, p.unit_id, count(*) / greatest(1.0, CASE WHEN any_value(z - a) <= 0 THEN 1.0 ELSE any_value(z - a) / 1e6 END) AS fr
+    FROM p JOIN ext USING (session_id) GROUP BY 1, 2) USING (session_id, unit_id)"""
 ORACLE["q_topn_units"] = f"""{RESP} SELECT session_id, unit_id, rank, round(rel, 6) AS reliability FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY rel DESC, unit_id) AS INTEGER) AS rank FROM m)
   WHERE rank <= 2"""
@@ -398,25 +406,95 @@ x AS (SELECT tg.session_id, tg.grp, b.bin, coalesce(pj.proj, 0.0) AS v FROM tg,
   ON pj.session_id = tg.session_id AND pj.trial_idx = tg.trial_idx AND pj.bin = b.bin)
 SELECT session_id, grp, CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) + 0.0 AS mean,
   round(stddev_pop(v) / sqrt(count(*)), 6) AS sem FROM x GROUP BY ALL"""
+#: Two-sided p of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df).
+T_P = """(SELECT CASE WHEN t IS NULL OR df IS NULL THEN NULL ELSE greatest(0.0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi())
+  * atan(abs(t) / sqrt(df)) / 6000 * list_sum([(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * cos(atan(abs(t) / sqrt(df)) * i / 2000.0::DOUBLE) ** (df - 1) for i in range(2001)])) END)"""
 ORACLE["q_welch"] = f"""WITH {POP},
-g AS (SELECT session_id, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM sc GROUP BY ALL)
-SELECT a.session_id, a.grp AS group_a, b.grp AS group_b,
-  CASE WHEN a.grp <> b.grp THEN round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) END AS t_stat,
-  CASE WHEN a.grp <> b.grp THEN round((a.v / a.n + b.v / b.n) ** 2 /
-    ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 6) END AS df
-FROM g a JOIN g b USING (session_id)"""
+g AS (SELECT session_id, grp, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM sc GROUP BY ALL),
+o AS (SELECT a.session_id, a.grp AS group_a, b.grp AS group_b,
+  CASE WHEN a.grp <> b.grp THEN (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) END AS t,
+  CASE WHEN a.grp <> b.grp THEN (a.v / a.n + b.v / b.n) ** 2 /
+    ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) END AS df
+FROM g a JOIN g b USING (session_id))
+SELECT session_id, group_a, group_b, round(t, 6) AS t_stat, round(df, 6) AS df, round({T_P}, 6) AS p_value FROM o"""
 ORACLE["q_paired_t"] = f"""WITH {POP},
 x AS (SELECT un.session_id, un.unit_id, tr.trial_idx, coalesce(b, 0.0) AS b, coalesce(r, 0.0) AS r FROM un JOIN tr USING (session_id)
   LEFT JOIN (SELECT session_id, unit_id, trial_idx, sum(CASE WHEN bin <= 2 THEN rate ELSE 0 END) / 3.0::DOUBLE AS b,
     sum(CASE WHEN bin BETWEEN 3 AND 6 THEN rate ELSE 0 END) / 4.0::DOUBLE AS r FROM pop GROUP BY ALL) USING (session_id, unit_id, trial_idx))
-SELECT session_id, unit_id, count(*) AS n, round(avg(b), 6) AS mean_baseline, round(avg(r), 6) AS mean_response,
-  round(avg(r - b) / (stddev_samp(r - b) / sqrt(count(*))), 6) AS t_stat, (count(*) - 1)::DOUBLE AS df
-FROM x GROUP BY 1, 2"""
+, o AS (SELECT session_id, unit_id, count(*) AS n, avg(b) AS mb, avg(r) AS mr,
+  avg(r - b) / (stddev_samp(r - b) / sqrt(count(*))) AS t, (count(*) - 1)::DOUBLE AS df FROM x GROUP BY 1, 2)
+SELECT session_id, unit_id, n, round(mb, 6) AS mean_baseline, round(mr, 6) AS mean_response, round(t, 6) AS t_stat, df,
+  round({T_P}, 6) AS p_value, {T_P} < 0.01 AS is_responsive FROM o"""
 ORACLE["q_kfold"] = f"""WITH {POP},
 y AS (SELECT session_id, trial_idx, (outcome = 'Hit')::INTEGER AS y FROM tr),
 k AS (SELECT *, ('0x' || md5(session_id || ':' || trial_idx || ':0')[1:15])::BIGINT AS key FROM y)
 SELECT session_id, trial_idx, y, CAST(ntile(5) OVER (PARTITION BY session_id, y ORDER BY key, trial_idx) - 1 AS INTEGER) AS fold FROM k"""
 
+#: Folds of the trials and the true label, as q_kfold has them.
+FOLDS = """fo AS (SELECT *, ntile(5) OVER (PARTITION BY session_id, y ORDER BY key, trial_idx) - 1 AS fold FROM (
+  SELECT session_id, trial_idx, (outcome = 'Hit')::INTEGER AS y, ('0x' || md5(session_id || ':' || trial_idx || ':0')[1:15])::BIGINT AS key FROM tr))"""
+
+
+def _solved(train: str, method: str) -> str:
+    """Common table expressions up to ``wt(session_id, fold, perm, bin, unit_id, w)``: unit directions fitted on ``train``.
+
+    ``train`` has (session_id, fold, perm, trial_idx, y). The systems are solved by elimination, column by column.
+    """
+    left = "(g - pu * pv / n) / (n - 1)" if method == "shrinkage" else "g - pu * pv / n"
+    right = "s1 / n1 - (pl - s1) / (n - n1)" if method == "shrinkage" else "s1 - pl * n1 / n"
+    return f"""
+tn AS ({train}),
+sz AS (SELECT session_id, fold, perm, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS n1 FROM tn GROUP BY ALL),
+rt AS (SELECT session_id, trial_idx, bin, unit_id, rate::DOUBLE AS rate FROM pop),
+gf AS (SELECT tn.session_id, tn.fold, a.bin, a.unit_id AS u, b.unit_id AS v, sum(a.rate * b.rate) AS g
+  FROM (SELECT DISTINCT session_id, fold, trial_idx FROM tn) tn JOIN rt a USING (session_id, trial_idx)
+  JOIN rt b ON b.session_id = a.session_id AND b.trial_idx = a.trial_idx AND b.bin = a.bin GROUP BY ALL),
+sm AS (SELECT tn.session_id, fold, perm, bin, unit_id, sum(rate) AS pl, sum(rate * y) AS s1
+  FROM tn JOIN rt USING (session_id, trial_idx) GROUP BY ALL),
+lf AS (SELECT x.session_id, x.fold, x.perm, x.bin, x.unit_id AS u, list(l + (x.unit_id = z.unit_id)::INTEGER ORDER BY z.unit_id) AS row
+  FROM (SELECT a.session_id, a.fold, a.perm, a.bin, a.unit_id, b.unit_id AS v, a.pl AS pu, b.pl AS pv, n, coalesce(g, 0.0) AS g,
+          {left.replace("g -", "coalesce(g, 0.0) -")} AS l
+        FROM (SELECT *, pl AS pu FROM sm) a JOIN (SELECT *, pl AS pv FROM sm) b USING (session_id, fold, perm, bin) JOIN sz USING (session_id, fold, perm)
+        LEFT JOIN gf ON gf.session_id = a.session_id AND gf.fold = a.fold AND gf.bin = a.bin AND gf.u = a.unit_id AND gf.v = b.unit_id) x,
+    (SELECT DISTINCT unit_id FROM rt) z WHERE z.unit_id = x.v GROUP BY ALL),
+ms AS (SELECT session_id, fold, perm, bin, list(list_append(row, {right}) ORDER BY u) AS m, list(u ORDER BY u) AS us
+  FROM lf JOIN (SELECT * RENAME (unit_id AS u) FROM sm) USING (session_id, fold, perm, bin, u)
+  JOIN sz USING (session_id, fold, perm) WHERE n1 > 0 AND n1 < n GROUP BY ALL),
+el AS (SELECT session_id, fold, perm, bin, us, 1 AS k, m FROM ms UNION ALL
+  SELECT session_id, fold, perm, bin, us, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda x, j:
+    CASE WHEN i = k THEN x / m[k][k] ELSE x - r[k] * m[k][j] / m[k][k] END)) FROM el WHERE k <= len(us)),
+so AS (SELECT session_id, fold, perm, bin, unnest(us) AS unit_id, unnest(list_transform(m, lambda r: r[len(r)])) AS w FROM el WHERE k = len(us) + 1),
+wt AS (SELECT session_id, fold, perm, bin, unit_id, w / CASE WHEN nrm > 0 THEN nrm ELSE 1 END AS w
+  FROM so JOIN (SELECT session_id, fold, perm, bin, sqrt(sum(w * w)) AS nrm FROM so GROUP BY ALL) USING (session_id, fold, perm, bin))"""
+
+
+for _method in ("shrinkage", "ridge"):
+    ORACLE[f"q_cd_{_method}"] = f"""WITH RECURSIVE {POP}, {FOLDS},
+{_solved("SELECT session_id, -1 AS fold, 0 AS perm, trial_idx, y FROM fo", _method)}
+SELECT session_id, CAST(bin AS INTEGER) AS bin, unit_id, round(w, 6) + 0.0 AS weight FROM wt"""
+
+OTHERS = """SELECT fo.session_id, k.fold, {perm} AS perm, trial_idx, {y} AS y FROM {labels} fo JOIN (SELECT DISTINCT session_id, fold FROM fo) k
+  ON k.session_id = fo.session_id AND k.fold <> fo.fold"""
+ORACLE["q_cd_time_resolved"] = f"""WITH RECURSIVE {POP}, {FOLDS},
+{_solved(OTHERS.format(perm="0", y="y", labels="fo"), "shrinkage")}
+SELECT session_id, trial_idx, CAST(bin AS INTEGER) AS bin, round(sum(rate * w), 6) + 0.0 AS proj
+FROM rt JOIN fo USING (session_id, trial_idx) JOIN wt USING (session_id, fold, bin, unit_id) GROUP BY ALL"""
+ORACLE["q_cd_perm"] = f"""WITH RECURSIVE {POP}, {FOLDS},
+dr AS (SELECT session_id, trial_idx, fold, p.perm, sum(y) OVER (PARTITION BY session_id, p.perm) AS k,
+  row_number() OVER (PARTITION BY session_id, p.perm ORDER BY ('0x' || md5(session_id || ':' || trial_idx || ':' || p.perm || ':0')[1:15])::BIGINT) AS rn
+  FROM fo, (SELECT unnest(range(1, 21)) AS perm) p),
+ls AS (SELECT session_id, trial_idx, fold, 0 AS perm, y FROM fo UNION ALL SELECT session_id, trial_idx, fold, perm, (rn <= k)::INTEGER FROM dr),
+{_solved(OTHERS.format(perm="perm", y="y", labels="ls"), "shrinkage")},
+pe AS (SELECT ls.session_id, ls.perm, bin, sum(rate * w * y) AS s1, sum(rate * w * (1 - y)) AS s0
+  FROM ls JOIN rt USING (session_id, trial_idx) JOIN wt USING (session_id, fold, perm, bin, unit_id) GROUP BY ALL),
+ef AS (SELECT session_id, perm, bin, s0 / n0 AS mean0, s1 / n1 AS mean1, s1 / n1 - s0 / n0 AS effect FROM pe JOIN
+  (SELECT session_id, sum(y) AS n1, sum(1 - y) AS n0 FROM fo GROUP BY 1) USING (session_id))
+SELECT e.session_id, CAST(e.bin AS INTEGER) AS bin, round(e.mean0, 6) + 0.0 AS mean0, round(e.mean1, 6) + 0.0 AS mean1,
+  round(e.effect, 6) + 0.0 AS effect, round((count(*) FILTER (abs(o.effect) >= abs(e.effect)) + 1) / 21.0::DOUBLE, 6) AS p_value
+FROM ef e JOIN ef o ON o.session_id = e.session_id AND o.bin = e.bin AND o.perm > 0 WHERE e.perm = 0
+GROUP BY e.session_id, e.bin, e.mean0, e.mean1, e.effect"""
+
 # --- waveforms ------------------------------------------------------------------------
 
 WAVE = """
@@ -476,26 +554,29 @@ ORACLE["q_match_diagnostics"] = f"""WITH {CORR} SELECT subject, 2 AS n_sessions,
 ORACLE["q_match_table"] = f"""WITH {CORR} SELECT subject, session_a, session_b, unit_a, unit_b, round(c, 6) + 0.0 AS prob FROM top"""
 ORACLE["q_pair_similarity"] = f"""
 WITH ev AS (SELECT event_type AS s, user_id AS u, t_us, value FROM ({EV})),
-a AS (SELECT DISTINCT u FROM ev WHERE s = 'click'), b AS (SELECT DISTINCT u FROM ev WHERE s = 'view'),
-pr AS (SELECT u FROM a JOIN b USING (u)),
+su AS (SELECT DISTINCT s, u FROM ev),
+pr AS (SELECT u, a.s AS sa, b.s AS sb FROM su a JOIN su b USING (u) WHERE a.s < b.s),
 wv AS (SELECT s, u, t_us >> 37 AS h, sum(value) AS v FROM ev GROUP BY ALL),
-co AS (SELECT u, CASE WHEN NOT isnan(c) THEN c END AS c FROM (SELECT x.u, corr(x.v, y.v) AS c FROM wv x JOIN wv y ON x.u = y.u AND x.h = y.h AND x.s = 'click' AND y.s = 'view' GROUP BY 1)),
+co AS (SELECT u, sa, sb, CASE WHEN NOT isnan(c) THEN c END AS c FROM (SELECT x.u, x.s AS sa, y.s AS sb, corr(x.v, y.v) AS c
+  FROM wv x JOIN wv y ON x.u = y.u AND x.h = y.h AND x.s < y.s GROUP BY ALL)),
 isi AS (SELECT s, u, d FROM (SELECT s, u, t_us - lag(t_us) OVER (PARTITION BY s, u ORDER BY t_us) AS d FROM ev) WHERE d IS NOT NULL),
-st AS (SELECT u, d, s, 1.0::DOUBLE / count(*) OVER (PARTITION BY s, u) AS p FROM isi WHERE s IN ('click', 'view')),
-cs AS (SELECT u, d, sum(CASE WHEN s = 'click' THEN p ELSE -p END) OVER (PARTITION BY u ORDER BY d) AS g,
-  count(*) FILTER (s = 'click') OVER (PARTITION BY u) AS na, count(*) FILTER (s = 'view') OVER (PARTITION BY u) AS nb FROM st),
-ks AS (SELECT u, max(abs(g)) AS k FROM cs GROUP BY 1),
+pt AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY s, u) AS p FROM isi),
+st AS (SELECT u, sa, sb, d, p AS p FROM pr JOIN pt USING (u) WHERE pt.s = sa UNION ALL
+  SELECT u, sa, sb, d, -p AS p FROM pr JOIN pt USING (u) WHERE pt.s = sb),
+cs AS (SELECT u, sa, sb, d, sum(p) OVER (PARTITION BY u, sa, sb ORDER BY d) AS g FROM st),
+ks AS (SELECT u, sa, sb, max(abs(g)) AS k FROM cs GROUP BY ALL),
 dur AS (SELECT s, (max(t_us) - min(t_us)) / 1e6 AS d FROM ev GROUP BY 1),
 rt AS (SELECT ev.s, ev.u, count(*) / any_value(dur.d) AS r FROM ev JOIN dur USING (s) GROUP BY 1, 2)
-SELECT pr.u AS subject, 'click' AS session_a, 'view' AS session_b, pr.u AS unit_a, pr.u AS unit_b,
+SELECT pr.u AS subject, sa AS session_a, sb AS session_b, pr.u AS unit_a, pr.u AS unit_b,
   round(co.c, 6) + 0.0 AS waveform_corr, round(coalesce(ks.k, 1.0), 6) AS isi_ks,
   round(least(ra.r, rb.r) / greatest(ra.r, rb.r), 6) AS firing_rate_ratio,
   round((coalesce(co.c, 0.0) + 1 - coalesce(ks.k, 1.0) + least(ra.r, rb.r) / greatest(ra.r, rb.r)) / 3, 6) + 0.0 AS composite_score
-FROM pr LEFT JOIN co USING (u) LEFT JOIN ks USING (u) JOIN rt ra ON ra.u = pr.u AND ra.s = 'click' JOIN rt rb ON rb.u = pr.u AND rb.s = 'view'
+FROM pr LEFT JOIN co USING (u, sa, sb) LEFT JOIN ks USING (u, sa, sb)
+  JOIN rt ra ON ra.u = pr.u AND ra.s = sa JOIN rt rb ON rb.u = pr.u AND rb.s = sb
 """
 ORACLE["q_session_rollup"] = f"""WITH {POP},
 gs AS (SELECT session_id, grp, count(*) AS n, avg(value) AS m FROM sc GROUP BY ALL),
-ot AS (SELECT session_id, avg(value) FILTER (outcome = 'Hit') AS h, avg(value) FILTER (outcome = 'Miss') AS m FROM sc WHERE session_id < '4' GROUP BY 1),
+ot AS (SELECT session_id, avg(value) FILTER (outcome = 'Hit') AS h, avg(value) FILTER (outcome = 'Miss') AS m FROM sc GROUP BY 1),
 x AS (SELECT session_id, coalesce(max(n) FILTER (grp = 'Hit'), 0) AS n_hit, coalesce(max(n) FILTER (grp = 'Miss'), 0) AS n_miss,
   max(m) FILTER (grp = 'Hit') AS gh, max(m) FILTER (grp = 'Miss') AS gm, max(m) FILTER (grp = 'FA>3s') AS gf FROM gs GROUP BY 1),
 y AS (SELECT x.*, CASE WHEN ot.session_id IS NOT NULL THEN ot.h ELSE gh END AS h, CASE WHEN ot.session_id IS NOT NULL THEN ot.m ELSE gm END AS mm
@@ -528,9 +609,8 @@ t AS (SELECT o.*, coalesce(pd, false) AS has_phy_dir FROM o LEFT JOIN d USING (f
 SELECT folder AS path, CASE WHEN has_rez OR (has_spike_npy AND has_phy_clusters) THEN 'Complete'
     WHEN (has_spike_npy AND has_bin) OR (has_phy_dir AND has_chanmap) THEN 'Likely Complete' ELSE 'Incomplete' END AS status,
   has_rez, has_spike_npy, has_phy_clusters, has_phy_dir, has_chanmap, has_bin,
-  CASE WHEN has_rez THEN 'found rez.mat' WHEN has_spike_npy AND has_phy_clusters THEN 'spike .npy files + phy cluster file'
-    WHEN has_spike_npy AND has_bin THEN 'spike .npy files + recording binary' WHEN has_phy_dir AND has_chanmap THEN 'phy dir + chanMap'
-    WHEN NOT (has_rez OR has_spike_npy OR has_phy_clusters) THEN 'no sorter outputs detected' ELSE 'partial outputs found' END AS notes
+  concat_ws('+', CASE WHEN has_rez THEN 'rez' END, CASE WHEN has_spike_npy THEN 'spikes' END, CASE WHEN has_phy_clusters THEN 'clusters' END,
+    CASE WHEN has_bin THEN 'raw' END, CASE WHEN has_phy_dir THEN 'curation' END, CASE WHEN has_chanmap THEN 'map' END) AS notes
 FROM t
 """
 ORACLE["q_manifest_status"] = STATUS

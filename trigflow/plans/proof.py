@@ -88,7 +88,7 @@ PSTH_GRID = bin_grid((-2 * HOUR, HOUR), 60.0)
 def q_psth(spark, sf):
     points = tb.all_points(spark, sf)
     triggers = tb.all_triggers(spark, sf)
-    return align.psth(points, triggers, tb.units_of(points), PSTH_GRID).where("rate_hz > 0").select(
+    return align.psth(points, triggers, tb.units_of(points), PSTH_GRID).select(
         "session_id", "unit_id", "bin", F.round("rate_hz", 9).alias("rate_hz"), "n_trials")
 
 
@@ -288,10 +288,15 @@ def q_perm_evoked(spark, sf):
 
 @query
 def q_units_table(spark, sf):
-    t = tagging.units_table(*_user(spark, sf), None, 20, 3 * 3600 * 1000.0, 0.3, EVOKED, BASE)
+    points, pulses, units_ = _user(spark, sf)
+    # Waveforms: two in three units have one, narrow or wide by their numbers.
+    k = F.pmod(F.col("session_id") * 7 + F.length("unit_id"), F.lit(9))
+    shapes = units_.where(k % 3 > 0).select("session_id", "unit_id", (k * 90.0).alias("peak_width_us"),
+                                            (k * 120.0).alias("peak_valley_us"))
+    t = tagging.units_table(points, pulses, units_, shapes, 20, 3 * 3600 * 1000.0, 0.3, EVOKED, BASE)
     t = _rounded(t, *METRIC_COLS, "latency_p10_ms", "latency_p50_ms", "p_poisson", "p_permutation")
-    return t.withColumn("baseline_rate_hz", F.round("baseline_rate_hz", 12)).drop(
-        "wf_peak_width_us", "wf_peak_valley_us", "wf_mean_fr_hz", "wf_class")
+    return t.withColumn("baseline_rate_hz", F.round("baseline_rate_hz", 12)).withColumn(
+        "wf_mean_fr_hz", F.round("wf_mean_fr_hz", 12))
 
 
 @query
@@ -389,14 +394,14 @@ def q_group_curve(spark, sf):
 
 @query
 def q_welch(spark, sf):
-    return _rounded(population.welch_t(_grouped(spark, sf)[2]), "t_stat", "df").drop("p_value")
+    return _rounded(population.welch_t(_grouped(spark, sf)[2]), "t_stat", "df", "p_value")
 
 
 @query
 def q_paired_t(spark, sf):
     pop, t, u = _pop(spark, sf)
     r = population.paired_t(pop, t, u, [0, 1, 2], [3, 4, 5, 6])
-    return _rounded(r, "mean_baseline", "mean_response", "t_stat").drop("p_value", "is_responsive")
+    return _rounded(r, "mean_baseline", "mean_response", "t_stat", "p_value")
 
 
 def _labels(spark, sf):
@@ -411,27 +416,30 @@ def q_kfold(spark, sf):
 
 @query
 def q_cd_shrinkage(spark, sf):
-    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "shrinkage", 1.0, tb.N_POP_BINS)
+    return _rounded(directions.fit_direction(
+        tb.population(spark, sf), _labels(spark, sf), "shrinkage", 1.0, tb.N_POP_BINS), "weight")
 
 
 @query
 def q_cd_ridge(spark, sf):
-    return directions.fit_direction(tb.population(spark, sf), _labels(spark, sf), "ridge", 1.0, tb.N_POP_BINS)
+    return _rounded(directions.fit_direction(
+        tb.population(spark, sf), _labels(spark, sf), "ridge", 1.0, tb.N_POP_BINS), "weight")
 
 
 @query
 def q_cd_time_resolved(spark, sf):
     pop = cut_lineage(tb.population(spark, sf))
     folds = cut_lineage(directions.stratified_folds(_labels(spark, sf), 5))
-    return directions.held_out_projections(pop, folds, directions.solve_time_resolved(
-        pop, folds, tb.N_POP_BINS))
+    return _rounded(directions.held_out_projections(pop, folds, directions.solve_time_resolved(
+        pop, folds, tb.N_POP_BINS)), "proj")
 
 
 @query
 def q_cd_perm(spark, sf):
     pop = cut_lineage(tb.population(spark, sf))
     folds = directions.stratified_folds(_labels(spark, sf), 5)
-    return directions.effects(directions.solve_time_resolved(pop, folds, tb.N_POP_BINS, n_permutations=20))
+    return _rounded(directions.effects(directions.solve_time_resolved(
+        pop, folds, tb.N_POP_BINS, n_permutations=20)), "mean0", "mean1", "effect", "p_value")
 
 
 @query
@@ -523,14 +531,12 @@ def q_match_table(spark, sf):
 
 @query
 def q_pair_similarity(spark, sf):
-    """Matched units: users of the same number in two event types."""
+    """Matched units: users of the same number in each two event types."""
     points = tb.all_points(spark, sf)
     u = tb.units_of(points)
-    a = u.where("session_id = 'click'").select(F.col("unit_id").alias("subject"), F.lit("click").alias("session_a"),
-                                               F.col("unit_id").alias("unit_a"))
-    b = u.where("session_id = 'view'").select(F.col("unit_id").alias("subject"), F.lit("view").alias("session_b"),
-                                              F.col("unit_id").alias("unit_b"))
-    pairs = a.join(b, "subject")
+    a, b = (u.select(F.col("unit_id").alias("subject"), F.col("session_id").alias(f"session_{x}"),
+                     F.col("unit_id").alias(f"unit_{x}")) for x in "ab")
+    pairs = a.join(b, "subject").where("session_a < session_b")
     hour = F.shiftright("t_us", 37).cast("int")
     waves = points.groupBy("session_id", "unit_id", F.lit(0).alias("channel"), hour.alias("sample")).agg(
         F.sum("value").alias("value"))
@@ -546,7 +552,7 @@ def q_session_rollup(spark, sf):
     stats = population.group_stats(values)
     sessions = t.select("session_id").distinct().withColumn("session_name", F.concat(
         F.lit("S_1_0"), F.substring("session_id", 1, 1), F.lit("03202"), F.substring("session_id", 1, 1)))
-    listed = values.where("session_id < '4'").select("session_id", "outcome", "value")
+    listed = values.select("session_id", "outcome", "value")
     out = rollup.session_rollup(sessions, stats, stats, listed, listed)
     return _rounded(out, "mean_change_hit", "mean_change_miss", "mean_baseline_hit", "mean_baseline_FA_gt3",
                     "change_diff").withColumn("session_date", F.col("session_date").cast("string"))
