@@ -53,3 +53,30 @@ def test_heavy_cells_are_few_and_salted_probes_stay_exact(spark, monkeypatch):
         assert r["rank"] == sum(1 for m in range(0, 3000, 7) if m <= r.id)
         later = [m for m in range(0, 3000, 7) if m > r.id]
         assert r.next_x == (later[0] if later else None)
+
+
+def test_an_outlier_does_not_gather_the_rest_in_one_cell(spark):
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in rng.uniform(0, 1, 5000)] + [1e9]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0)] * 7, "k string, v double")
+    wanted = spark.createDataFrame([("a", "mid", 2500), ("a", "last", 5001), ("b", "one", 3)], "k string, tag string, k2 int").withColumnRenamed("k2", "k_")
+    wanted = wanted.select(F.col("k").alias("key"), "tag", F.col("k_").alias("k"))
+    got = {r.tag: r.value for r in running.kth_smallest(df.withColumnRenamed("k", "key"), ["key"], "v", wanted).collect()}
+    assert got == {"mid": sorted(values)[2499], "last": 1e9, "one": 1.0}
+
+
+def test_intervals_of_slow_and_fast_units(spark):
+    from trigflow.operators.units import inter_point_intervals
+
+    rng = np.random.default_rng(3)
+    fast = np.unique(rng.integers(0, 10**9, 3000))
+    slow = np.unique(rng.integers(0, 10**13, 40))
+    df = spark.createDataFrame([("s", u, int(t)) for u, ts in ((1, fast), (2, slow)) for t in ts] + [("s", 3, 5), ("s", 3, 5)],
+                               "session_id string, unit_id int, t_us bigint")
+    want = {}
+    for u, ts in ((1, fast), (2, slow), (3, np.array([5, 5]))):
+        for d in np.diff(ts).tolist():
+            want[u, d] = want.get((u, d), 0) + 1
+    for per_cell in (4096, 50):
+        got = {(r.unit_id, r.isi_us): r.n for r in inter_point_intervals(df, per_cell).collect()}
+        assert got == want

@@ -103,3 +103,18 @@ def test_histogram_edges(spark):
     assert got == [2, 1, 1, 0, 0, 0, 0, 0, 0, 1]
     one = units.histogram(spark.createDataFrame([(3.0,), (3.0,)], "v double"), F.col("v"), 4).orderBy("bin").collect()
     assert (one[0].left_edge, one[-1].right_edge) == (2.5, 3.5) and [r.n for r in one] == [0, 0, 2, 0]
+
+
+def test_tiles_are_bounded_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([("m", int(s), int(u), [float(x) for x in rng.normal(size=4)]) for s in range(3) for u in range(15)],
+                               "subject string, session_id int, unit_id int, vec array<double>")
+    want = sorted(map(tuple, matching.top_matches(df, 3).collect()))
+    seen = []
+    monkeypatch.setattr(matching, "TILE_VALUES", 90)
+    for rows, corr, _ in matching._tiles(df.toPandas(), df.toPandas()):
+        seen.append(corr.size)
+    assert max(seen) <= 90
+    got = sorted(map(tuple, matching.top_matches(df, 3).collect()))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert matching.match_diagnostics(df).first().n_pairs == 675

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trigflow.operators.running import running_sums
 
 BLOCK_VALUES = 4_000_000  # units x vector length held at once for one side of a block pair
+TILE_VALUES = 2_000_000  # correlations held at once, however many units the blocks have
 PAIR = ["subject", "session_a", "session_b", "unit_a", "unit_b"]
 
 
@@ -36,11 +37,20 @@ def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a, b.toDF(*b.columns)
 
 
-def _scores(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Correlations of two blocks and which entries pair an earlier with a later session."""
-    corr = np.stack(a["vec"].to_numpy()).astype(float) @ np.stack(b["vec"].to_numpy()).astype(float).T
-    ok = a["session_id"].to_numpy()[:, None] < b["session_id"].to_numpy()[None, :]
-    return corr, ok & np.isfinite(corr)
+def _tiles(left: pd.DataFrame, right: pd.DataFrame):
+    """(rows of left, correlations, finite) of one bounded tile after another; both are sorted by session."""
+    a = np.stack(left["vec"].to_numpy()).astype(float)
+    b = np.stack(right["vec"].to_numpy()).astype(float)
+    step = max(1, TILE_VALUES // len(b))
+    for at in range(0, len(a), step):
+        corr = a[at:at + step] @ b.T
+        yield slice(at, at + step), corr, np.isfinite(corr)
+
+
+def _runs(sessions: np.ndarray) -> list[tuple]:
+    """(session, from, to) of each run of a sorted column."""
+    names, starts = np.unique(sessions, return_index=True)
+    return list(zip(names, starts.tolist(), np.r_[starts[1:], len(sessions)].tolist()))
 
 
 def top_matches(units: DataFrame, k: int = 5) -> DataFrame:
@@ -60,19 +70,18 @@ def top_matches(units: DataFrame, k: int = 5) -> DataFrame:
             return pd.DataFrame({c: [] for c in cols})
         left = left.sort_values(["session_id", "unit_id"])
         right = right.sort_values(["session_id", "unit_id"])
-        corr, ok = _scores(left, right)
-        found = []
-        sa, sb = left["session_id"].to_numpy(), right["session_id"].to_numpy()
-        for x in np.unique(sa):
-            for y in np.unique(sb[sb > x]):
-                rows, cols_at = np.flatnonzero(sa == x), np.flatnonzero(sb == y)
-                part = np.where(ok[np.ix_(rows, cols_at)], corr[np.ix_(rows, cols_at)], -np.inf).ravel()
-                # A little more than k would do, but rounding may hide ties: keep all near the k-th.
-                cut = -np.inf if part.size <= k else np.partition(part, part.size - k)[part.size - k] - 1e-9
-                for at in np.flatnonzero((part >= cut) & np.isfinite(part)):
-                    i, j = rows[at // len(cols_at)], cols_at[at % len(cols_at)]
-                    found.append((left["subject"].iloc[0], x, y, left["unit_id"].iloc[i],
-                                  right["unit_id"].iloc[j], corr[i, j]))
+        ua, ub, subject = left["unit_id"].to_numpy(), right["unit_id"].to_numpy(), left["subject"].iloc[0]
+        later, found = _runs(right["session_id"].to_numpy()), []
+        for rows, corr, finite in _tiles(left, right):
+            corr = np.where(finite, corr, -np.inf)
+            for x, r0, r1 in _runs(left["session_id"].to_numpy()[rows]):
+                for y, c0, c1 in (run for run in later if run[0] > x):
+                    part = corr[r0:r1, c0:c1].ravel()
+                    # A little more than k would do, but rounding may hide ties: keep all near the k-th.
+                    cut = -np.inf if part.size <= k else np.partition(part, part.size - k)[part.size - k] - 1e-9
+                    at = np.flatnonzero((part >= cut) & (part > -np.inf))
+                    i, j = rows.start + r0 + at // (c1 - c0), c0 + at % (c1 - c0)
+                    found += [(subject, x, y, p, q, v) for p, q, v in zip(ua[i], ub[j], part[at])]
         return pd.DataFrame(found, columns=cols)
 
     cand = a.groupBy("subject", "ba", "bb").cogroup(b.groupBy("subject", "ba", "bb")).applyInPandas(
@@ -90,10 +99,15 @@ def match_diagnostics(units: DataFrame) -> DataFrame:
     def extent(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in ("subject", "lo", "hi", "pairs")})
-        corr, ok = _scores(left, right)
-        got = corr[ok]
-        return pd.DataFrame({"subject": [left["subject"].iloc[0]], "lo": [got.min() if got.size else None],
-                             "hi": [got.max() if got.size else None], "pairs": [int(ok.sum())]})
+        left, right = left.sort_values("session_id"), right.sort_values("session_id")
+        sa, sb = left["session_id"].to_numpy(), right["session_id"].to_numpy()
+        lo, hi, pairs = np.inf, -np.inf, 0
+        for rows, corr, finite in _tiles(left, right):
+            ok = finite & (sa[rows, None] < sb[None, :])
+            pairs += int(ok.sum())
+            lo, hi = min(lo, corr.min(where=ok, initial=np.inf)), max(hi, corr.max(where=ok, initial=-np.inf))
+        return pd.DataFrame({"subject": [left["subject"].iloc[0]], "lo": [lo if pairs else None],
+                             "hi": [hi if pairs else None], "pairs": [pairs]})
 
     ext = a.groupBy("subject", "ba", "bb").cogroup(b.groupBy("subject", "ba", "bb")).applyInPandas(
         extent, f"subject {subj}, lo double, hi double, pairs bigint")

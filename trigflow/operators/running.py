@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # A (key, cell) with more than this share of all rows is split by a salt. At most
 # 1 / HEAVY_SHARE cells can exceed it, which bounds the broadcast table.
 HEAVY_SHARE = 1.0 / 256
+QUANTILES, SLICES = 32, 128  # cells of an order statistic: parts of a key, slices of a part
 HEAVY_MIN_ROWS = 200_000
 
 UNB, CUR = Window.unboundedPreceding, Window.currentRow
@@ -154,16 +155,20 @@ def kth_smallest(df: DataFrame, keys: Sequence[str], v: str, wanted: DataFrame,
 
     ``wanted(keys, tag, k)`` asks for the k-th smallest (1-based) ``v`` per key; the
     result is ``(keys, tag, value)``. Counts per cell are combined map-side and only the
-    one cell that holds the k-th value is shuffled and sorted. Without a ``cell`` the range
-    of each key is cut into 4096.
+    one cell that holds the k-th value is shuffled and sorted. Without a ``cell`` the values
+    of each key are cut at approximate quantiles and each part again into equal slices, so an
+    outlier does not gather the rest in one cell; cells bear on the work only, not on the result.
     """
     keys = list(keys)
     values = df.where(F.col(v).isNotNull()).select(*keys, v)
     if cell is None:
-        ends = values.groupBy(*keys).agg(F.min(v).alias("mn"), F.max(v).alias("mx"))
-        share = (F.col(v) - F.col("mn")) / F.nullif(F.col("mx") - F.col("mn"), F.lit(0))
-        values = values.join(ends, keys).withColumn(
-            "cell", F.coalesce(F.floor(share * 4095), F.lit(0))).drop("mn", "mx")
+        probs = [i / QUANTILES for i in range(QUANTILES + 1)]
+        ends = values.groupBy(*keys).agg(F.percentile_approx(v, probs, 1000).alias("cuts"))
+        part = F.size(F.filter("cuts", lambda c: c <= F.col(v)))
+        lo, hi = (F.get("cuts", F.col("part") + i) for i in (-1, 0))
+        share = F.least(F.greatest((F.col(v) - lo) / F.nullif(hi - lo, F.lit(0)), F.lit(0.0)), F.lit(0.999))
+        values = values.join(ends, keys).withColumn("part", part).withColumn(
+            "cell", F.col("part") * SLICES + F.coalesce(F.floor(share * SLICES), F.lit(0))).drop("cuts", "part")
     else:
         values = values.withColumn("cell", cell)
     totals = collapse(values, [*keys, "cell"])

@@ -17,15 +17,19 @@ def session_durations(points: DataFrame) -> DataFrame:
     )
 
 
-def inter_point_intervals(points: DataFrame, bits: int = 20) -> DataFrame:
+def inter_point_intervals(points: DataFrame, per_cell: int = 4096) -> DataFrame:
     """Intervals between successive points of a unit as (session, unit, isi_us, n).
 
-    Copies of one time give zero intervals. Times are ordered inside cells of about a
-    second; the interval across cells comes from the cells' first and last times, so no
-    unit is ever sorted in one task.
+    Copies of one time give zero intervals. A unit's recording is cut into as many equal
+    cells as make ``per_cell`` points each on average; times are ordered inside cells, and
+    the interval across cells comes from the cells' first and last times. So neither a fast
+    unit's points nor a slow unit's cells are sorted in one task.
     """
     by = ["session_id", "unit_id"]
-    times = collapse(points, [*by, "t_us"]).withColumn("cell", F.shiftright("t_us", bits))
+    shape = points.groupBy(*by).agg(F.min("t_us").alias("_lo"), F.max("t_us").alias("_hi"), F.count("t_us").alias("_n"))
+    share = (F.col("t_us") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    times = collapse(points, [*by, "t_us"]).join(shape, by).withColumn(
+        "cell", F.floor(share * F.ceil(F.col("_n") / per_cell))).drop("_lo", "_hi", "_n")
     prev = F.lag("t_us").over(Window.partitionBy(*by, "cell").orderBy("t_us"))
     inside = times.withColumn("prev", prev).select(*by, F.explode(F.array(
         F.struct((F.col("t_us") - F.col("prev")).alias("isi_us"), F.lit(1).cast("bigint").alias("n")),
