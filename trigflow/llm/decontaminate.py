@@ -171,9 +171,8 @@ def seeds(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_col:
 
     each = cut_lineage(items.select(id_col, item_col).mapInArrow(words, "item_id long, at long, gram long, word long"))
     counts = cut_lineage(word_counts(docs, each, text_col))
-    total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
-    share = each.join(counts, "word", "left").join(F.broadcast(total)).withColumn(
-        "log", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + 1)))
+    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    share = each.join(counts, "word", "left").withColumn("log", F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(total + 1)))
     return (share.groupBy("item_id", "at", "gram").agg(F.sum("log").alias("log"))
             .where(F.exp("log") * RARE_WORDS <= expected).select("gram", "item_id", "at"))
 
