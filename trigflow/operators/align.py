@@ -171,18 +171,22 @@ def smooth_bins(curves: DataFrame, sigma: float, n_bins: int, value: str = "rate
     )
 
 
-def variable_range_join(points: DataFrame, spans: DataFrame, bits: int = 22) -> DataFrame:
+def variable_range_join(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Points inside per-row spans ``lo_us <= t <= hi_us`` of the same session.
 
-    Spans are cut into buckets of ``2**bits`` ticks (4 s), as many as they cover.
+    A span is cut into buckets of the largest of a few widths that fits its length, seventeen
+    at most, and a point is put into one bucket of each width that spans of its session use.
     """
-    pts = points.select("session_id", "unit_id", "t_us").withColumn("bucket", F.shiftright("t_us", bits))
-    cut = spans.where("lo_us <= hi_us").withColumn(
-        "bucket", F.explode(F.sequence(F.shiftright("lo_us", bits), F.shiftright("hi_us", bits))))
+    length = F.length(F.conv((F.col("hi_us") - F.col("lo_us")).cast("string"), 10, 16))  # in steps of sixteen
+    cut = spans.where("lo_us <= hi_us").withColumn("level", F.greatest(4 * length - 4, F.lit(20)).cast("int"))
+    widths = cut.select("session_id", "level").distinct()
+    pts = points.select("session_id", "unit_id", "t_us").join(widths, "session_id").withColumn(
+        "bucket", F.expr("shiftright(t_us, level)"))
+    cut = cut.withColumn("bucket", F.explode(F.expr("sequence(shiftright(lo_us, level), shiftright(hi_us, level))")))
     return (
-        pts.join(cut, ["session_id", "bucket"])
+        pts.join(cut, ["session_id", "level", "bucket"])
         .where((F.col("t_us") >= F.col("lo_us")) & (F.col("t_us") <= F.col("hi_us")))
-        .drop("bucket")
+        .drop("bucket", "level")
     )
 
 

@@ -10,6 +10,7 @@ from trigflow.functions.ticks import seconds_to_ticks
 from trigflow.operators.align import trigger_counts, window_counts
 from trigflow.operators.running import exact_percentiles
 from trigflow.operators.units import session_durations
+from trigflow.session import cut_lineage
 
 UNIT = ["session_id", "unit_id"]
 EVOKED_US = (0, 10_000)  # closed
@@ -126,7 +127,11 @@ def unit_metrics(points: DataFrame, pulses: DataFrame, units: DataFrame, evoked:
     A (unit, pulse) gives at most one evoked and one baseline row, so sums over rows are
     sums over pulses.
     """
-    r = pulse_responses(points, pulses, evoked, baseline, method).groupBy(*UNIT).agg(
+    return _metrics(pulse_responses(points, pulses, evoked, baseline, method), pulses, units, baseline)
+
+
+def _metrics(responses: DataFrame, pulses: DataFrame, units: DataFrame, baseline: tuple[int, int]) -> DataFrame:
+    r = responses.groupBy(*UNIT).agg(
         F.count_if(F.col("n_evoked") > 0).alias("hits"), F.avg("first_us").alias("lat"),
         F.sum("n_evoked").alias("ev"), F.sum(F.col("n_evoked") * F.col("n_evoked")).alias("ev2"),
         F.sum("n_baseline").alias("bl"))
@@ -153,7 +158,10 @@ def unit_metrics(points: DataFrame, pulses: DataFrame, units: DataFrame, evoked:
 def latency_percentiles(points: DataFrame, pulses: DataFrame, evoked: tuple[int, int] = EVOKED_US,
                         method: str = "pairs") -> DataFrame:
     """10th and 50th percentile of first-point latencies in ms, linear interpolation."""
-    first = window_counts(points, pulses, evoked[0], evoked[1], ["trigger_id"], method=method)
+    return _percentiles(window_counts(points, pulses, evoked[0], evoked[1], ["trigger_id"], method=method), evoked)
+
+
+def _percentiles(first: DataFrame, evoked: tuple[int, int]) -> DataFrame:
     bits = max(0, int(evoked[1] - evoked[0]).bit_length() - 12)
     p = exact_percentiles(first, UNIT, "first_us", {"p10": 0.1, "p50": 0.5}, F.shiftright("first_us", bits))
     return p.select(*UNIT, (F.col("p10") / 1000.0).alias("latency_p10_ms"),
@@ -191,11 +199,17 @@ def permutation_p(points: DataFrame, pulses: DataFrame, units: DataFrame, n_iter
 
     A unit with no evoked point has p = 1, so draws without points never need a row.
     """
-    onsets = null_onsets(points, pulses, n_iters, evoked)
     observed = window_counts(points, pulses, *evoked, ["trigger_id"], method=method).groupBy(*UNIT).agg(
         F.sum("n").alias("observed"))
-    drawn = window_counts(points, onsets, *evoked, ["iter", "trigger_id"], method=method).groupBy(
-        *UNIT, "iter").agg(F.sum("n").alias("drawn"))
+    return _reached(observed, points, pulses, units, n_iters, evoked, method)
+
+
+def _reached(observed: DataFrame, points: DataFrame, pulses: DataFrame, units: DataFrame, n_iters: int,
+             evoked: tuple[int, int], method: str) -> DataFrame:
+    # Pairs of a draw are counted together, whichever of its onsets they belong to.
+    onsets = null_onsets(points, pulses, n_iters, evoked).drop("trigger_id")
+    drawn = window_counts(points, onsets, *evoked, ["iter"], method=method).groupBy(*UNIT, "iter").agg(
+        F.sum("n").alias("drawn"))
     reached = drawn.join(observed, UNIT).where("drawn >= observed").groupBy(*UNIT).agg(
         F.count(F.lit(1)).alias("reached"))
     margin = max(100_000, evoked[1] - evoked[0])
@@ -220,13 +234,16 @@ def units_table(points: DataFrame, pulses: DataFrame, units: DataFrame, shapes:
     are NULL for units without a waveform.
     """
     window_s = (evoked[1] - evoked[0]) / 1e6
-    m = unit_metrics(points, pulses, units, evoked, baseline, method)
+    # One result feeds metrics, percentiles and the observed counts.
+    responses = cut_lineage(pulse_responses(points, pulses, evoked, baseline, method))
+    m = _metrics(responses, pulses, units, baseline)
+    observed = responses.where("n_evoked > 0").groupBy(*UNIT).agg(F.sum("n_evoked").alias("observed"))
     lam = F.col("baseline_rate_hz") * F.col("n_pulses") * window_s
     p_poisson = F.when(F.col("n_pulses") == 0, 1.0).otherwise(poisson_upper_tail(F.col("total_evoked"), lam))
     t = (
         m.withColumn("p_poisson", p_poisson)
-        .join(latency_percentiles(points, pulses, evoked, method), UNIT, "left")
-        .join(permutation_p(points, pulses, units, n_iters, evoked, method).drop("observed"), UNIT, "left")
+        .join(_percentiles(responses.where("first_us is not null"), evoked), UNIT, "left")
+        .join(_reached(observed, points, pulses, units, n_iters, evoked, method).drop("observed"), UNIT, "left")
         .withColumn("classification",
                     response_class(F.col("mean_latency_ms"), F.col("reliability"), max_latency_ms, min_reliability))
     )

@@ -90,19 +90,22 @@ def normalised_tables(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def save_tables(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
-    """Parquet per table, partitioned by session; spikes are sorted by unit and time in each file."""
+    """Parquet per table, dealt into ranges of sessions and sorted by session in each file.
+
+    There is no folder per session: a filter on sessions reaches the row groups' statistics, and
+    the number of files follows the size of the table. Spikes are ranged by time too, so a large
+    session is written by many tasks.
+    """
+    order = {"spikes": ["session_id", "t_us", "unit_id"], "trials": ["session_id", "trial_idx"], "units": ["session_id", "unit_id"],
+             "channel_events": ["session_id", "channel", "event_idx"]}
     for name, df in tables.items():
-        if name == "spikes":
-            # Hash on a time slice as well, so a large session is written by many tasks.
-            df = df.repartition("session_id", F.shiftright("t_us", 28)).sortWithinPartitions(
-                "session_id", "unit_id", "t_us")
-        df.write.mode(mode).partitionBy("session_id").parquet(f"{root}/{name}")
+        by = order.get(name, ["session_id"])
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode(mode).parquet(f"{root}/{name}")
 
 
 def load_tables(spark: SparkSession, root: str, names: Sequence[str] = (
         "sessions", "trials", "spikes", "units", "channel_events")) -> dict[str, DataFrame]:
-    return {n: spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(
-        f"{root}/{n}").withColumn("session_id", F.col("session_id").cast("string")) for n in names}
+    return {n: spark.read.parquet(f"{root}/{n}").withColumn("session_id", F.col("session_id").cast("string")) for n in names}
 
 
 def good_unit_labels(labels: DataFrame) -> DataFrame:

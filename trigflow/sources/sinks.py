@@ -23,6 +23,7 @@ def write_response_cache(peth: DataFrame, root: str, event: str, grid: BinGrid,
     (
         out.withColumns({"event_name": F.lit(event), "window_lo_s": F.lit(grid.lo / 1e6),
                          "window_hi_s": F.lit(grid.hi / 1e6), "bin_size_s": F.lit(grid.bin_seconds)})
+        .repartition("session_id").sortWithinPartitions("session_id", "unit_id", "bin")  # a session's rows are one file
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy("session_id", "event_name").parquet(root)
     )
