@@ -41,7 +41,7 @@ def text_of(rnd, n):
     return " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 7))) for _ in range(n))
 
 
-@pytest.mark.parametrize("frequent,many", [(1024, 32), (1, 32), (1024, 1)])
+@pytest.mark.parametrize("frequent,many", [(1024, 32), (1, 32), (1024, 1), (1, 1)])
 def test_like_brute_force(make_docs, monkeypatch, frequent, many):
     monkeypatch.setattr(repeats, "FREQUENT", frequent)  # 1: every key is refined, before or after gathering
     monkeypatch.setattr(repeats, "MANY", many)
@@ -49,6 +49,7 @@ def test_like_brute_force(make_docs, monkeypatch, frequent, many):
     common, other = text_of(rnd, 90), text_of(rnd, 60)
     rows = [(i, text_of(rnd, rnd.randint(5, 90))) for i in range(12)]
     rows += [(20 + i, text_of(rnd, 9) + common + text_of(rnd, 9)) for i in range(9)]
+    rows += [(60 + i, text_of(rnd, 4) + common + rnd.choice("xy") + text_of(rnd, 9)) for i in range(9)]
     rows += [(40, other + " " + other), (41, "ab" * 700), (42, "a" * 199), (43, "a" * 200), (44, "a" * 201), (45, common),
              (46, common), (47, None), (48, ""), (None, common[:250]), (49, other), (49, other), (50, "\x00" * 500)]
     got = [tuple(r) for r in repeats.remove_repeats(make_docs(rows)).collect()]

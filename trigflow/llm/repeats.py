@@ -160,10 +160,10 @@ class Gatherer:
         self.key = self.mark = self.text = None
         self.single, self.distinct, self.folds = [], [], False
 
-    def add(self, key, mark, doc, ver, start, windows, text, folds):
+    def add(self, key, mark, doc, ver, start, windows, text, folds, refined):
         if key != self.key:
             self.close_key()
-            self.key = key
+            self.key, self.refined = key, refined
         if mark != self.mark:
             self.close_text()
             self.mark, self.text, self.first, self.folds_here = mark, text, (doc, ver, start, windows), folds
@@ -187,10 +187,12 @@ class Gatherer:
     def close_key(self):
         self.close_text()
         if any(self.single) and (len(self.distinct) > 1 or self.folds):
-            if len(self.distinct) > MANY:
-                self.refine()
-            else:
+            if len(self.distinct) <= MANY:
                 self.put(self.distinct, self.single)
+            elif self.refined:
+                self.split_windows(self.distinct, self.single)
+            else:
+                self.refine()
         self.single, self.distinct, self.folds = [], [], False
         if self.bytes > BATCH:
             self.judge()
@@ -215,7 +217,19 @@ class Gatherer:
                     for place in filter(None, places):
                         self.whole(*place)
             if any(single) and (len(pieces) > 1 or self.folds):
-                self.put(list(pieces), single)
+                (self.put if len(pieces) <= MANY else self.split_windows)(list(pieces), single)
+
+    def split_windows(self, distinct, single):
+        """The last refinement, where many texts differ in their few outer bytes only: keys are whole windows."""
+        parts: dict = {}
+        for text, owner in zip(distinct, single):
+            for k in range(len(text) - self.size + 1):
+                parts.setdefault(text[k:k + self.size], []).append((owner, k))
+        for places in parts.values():
+            if len(places) > 1 or places[0][0] is None:
+                for owner, k in places:
+                    if owner:
+                        self.whole(owner[0], owner[1], owner[2] + k, 1)
 
     def judge(self):
         if self.groups:
@@ -273,13 +287,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
                         new = (k, mark) not in seen  # a task sends each text of a key once
                         if new:
                             seen.add((k, mark))
-                        yield (k - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, folds, not new, piece if new else None)
+                        yield (k - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, folds, not new, piece if new else None,
+                               frequent_[i])
                 at += size_
                 if len(seen) > 200_000:
                     seen.clear()
 
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
-        names = ["key", "mark", "doc", "ver", "start", "windows", "folds", "known", "text"]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary(), pa.bool_()]
+        names = ["key", "mark", "doc", "ver", "start", "windows", "folds", "known", "text", "refined"]
         for batch in batches:
             for piece in slices(batch, 3):
                 columns = list(zip(*rows_of(piece))) or [()] * len(names)
@@ -287,14 +302,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     # The same columns as in the join that follows, so that one exchange of the texts serves both.
     gathered = docs.join(each, ["doc", "ver"]).select("doc_id", "doc", "ver", "text", "runs").mapInArrow(
-        gather, "key long, mark long, doc long, ver long, start int, windows int, folds boolean, known boolean, text binary")
+        gather, "key long, mark long, doc long, ver long, start int, windows int, folds boolean, known boolean, text binary, refined boolean")
 
     def judge(batches):
         g = Gatherer(size)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, mark, doc, ver, start, windows, folds, _, text = row
-                g.add(key, mark, doc, ver, start, windows, text, folds)
+                key, mark, doc, ver, start, windows, folds, _, text, refined = row
+                g.add(key, mark, doc, ver, start, windows, text, folds, refined)
             yield g.take()
         g.close_key()
         g.judge()
