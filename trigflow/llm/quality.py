@@ -15,7 +15,7 @@ from trigflow.llm.arrow import sliced, texts
 #: Repeats of this many words count as repeated substance.
 MIN_REPEAT = 10
 #: Most words, as a fraction, that repeats may cover.
-MAX_COVERED = 0.3
+MAX_COVERED = 0.45
 #: Longest repeat that a text may hold, in words.
 MAX_LONGEST = 200
 MIN_WORDS = 50
