@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,82 +90,79 @@ def _chunk_moments(n_sets: int):
         y = np.concatenate([
             (words[:, i // WORD, None] >> np.arange(min(WORD, n_sets - i))) & 1 for i in range(0, n_sets, WORD)
         ], axis=1).astype(float)
-        fold = pdf["fold"].to_numpy()[first]
-        i, j = np.triu_indices(len(units))
-        none = np.full(len(units), -1)
-        out = []
+        fold, nu = pdf["fold"].to_numpy()[first], int(pdf["nu"].iloc[0])
+        rows = []
         for f in np.unique(fold):
             xf, yf = x[fold == f], y[fold == f]
-            sums = yf.T @ xf
-            sets, at = np.indices(sums.shape)
-            parts = [
-                (np.full(len(i), GRAM), units[i], units[j], (xf.T @ xf)[i, j]),
-                (np.full(len(units), PLAIN), units, none, xf.sum(axis=0)),
-                (sets.ravel(), units[at.ravel()], np.full(sums.size, -1), sums.ravel()),
-            ]
-            kind, a, b, v = (np.concatenate(c) for c in zip(*parts))
-            keep = v != 0
-            out.append(pd.DataFrame({"fold": f, "kind": kind[keep], "ua": a[keep], "ub": b[keep], "v": v[keep]}))
+            wide = np.zeros((len(units) + 1 + n_sets, nu))
+            wide[:, units] = np.concatenate([xf.T @ xf, xf.sum(axis=0)[None], yf.T @ xf])
+            kinds = [*[(GRAM, u) for u in units], (PLAIN, 0), *[(s, 0) for s in range(n_sets)]]
+            rows += [(f, kind, at, v) for (kind, at), v in zip(kinds, wide)]
+        out = pd.DataFrame(rows, columns=["fold", "kind", "at", "values"])
         head = pdf.iloc[0]
-        return pd.concat(out).assign(session_id=head["session_id"], bin=head["bin"])[
-            ["session_id", "bin", "fold", "kind", "ua", "ub", "v"]]
+        return out.assign(session_id=head["session_id"], bin=head["bin"])[
+            ["session_id", "bin", "fold", "kind", "at", "values"]]
 
     return moments
 
 
 def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame, n_sets: int, n_bins: int) -> DataFrame:
-    """(session, bin, fold, kind, ua, ub, v), summed over all trials.
+    """(session, bin, fold, kind, at, values), summed over all trials.
 
-    Trial counts per fold and label set come from the trial table, since a trial may have
-    no row in the population; they are stored under unit -1, for every bin.
+    ``values`` runs over the session's units: a row of the Gram matrix for each unit ``at``, the
+    sums over all trials, and those over class 1 of each label set. Vectors are added by Spark,
+    map-side first, so a chunk sends folds × units × units doubles at most. Trial counts per fold
+    and label set come from the trial table, since a trial may have no row in the population;
+    they are stored at -1, for every bin.
     """
     session = dict(pop.dtypes)["session_id"]
     size = labels.groupBy("session_id").agg(F.count(F.lit(1)).alias("nt")).join(
         index.groupBy("session_id").agg(F.count(F.lit(1)).alias("nu")), "session_id").select(
-        "session_id", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
+        "session_id", "nu", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
     words = _packed("ys", n_sets)
     tagged = labels.select("session_id", "trial_idx", "fold", *words)
     rows = (
         pop.join(tagged, ["session_id", "trial_idx"]).join(index, ["session_id", "unit_id"]).join(size, "session_id")
         .select("session_id", "bin", F.pmod(F.xxhash64("trial_idx"), F.col("chunks")).cast("int").alias("chunk"),
-                "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"),
+                "nu", "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"),
                 *[f"bits{i}" for i in range(len(words))])
     )
     parts = rows.groupBy("session_id", "bin", "chunk").applyInPandas(
         _chunk_moments(n_sets),
-        f"session_id {session}, bin int, fold int, kind int, ua int, ub int, v double")
-    sums = parts.groupBy("session_id", "bin", "fold", "kind", "ua", "ub").agg(F.sum("v").alias("v"))
+        f"session_id {session}, bin int, fold int, kind int, at int, values array<double>")
+    sums = parts.groupBy("session_id", "bin", "fold", "kind", "at").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("values"))
     one = F.array(F.lit(1))
     counts = labels.select(
         "session_id", "fold", F.posexplode(F.concat(one, "ys")).alias("pos", "y")
     ).groupBy("session_id", "fold", (F.col("pos") - 1).alias("kind")).agg(F.sum("y").cast("double").alias("v"))
     counts = counts.select(
         "session_id", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"), "fold", "kind",
-        F.lit(-1).alias("ua"), F.lit(-1).alias("ub"), "v")
+        F.lit(-1).alias("at"), F.array("v").alias("values"))
     return sums.unionByName(counts)
 
 
 def _arrays(pdf: pd.DataFrame):
     """Moments of one (session, bin) as dense arrays over folds, label sets and units."""
-    fold, kind, ua, ub, v = (pdf[c].to_numpy() for c in ("fold", "kind", "ua", "ub", "v"))
-    units = np.unique(ua[ua >= 0])
-    nf, nu, ns = int(fold.max()) + 1, len(units), int(kind.max()) + 1
-    at = np.searchsorted(units, ua)
-    bt = np.searchsorted(units, ub)
+    fold, kind, at, values = (pdf[c].to_numpy() for c in ("fold", "kind", "at", "values"))
+    nf, ns = int(fold.max()) + 1, int(kind.max()) + 1
+    nu = max((len(v) for v, k in zip(values, kind) if k == GRAM), default=0)
     gram, plain, sums = np.zeros((nf, nu, nu)), np.zeros((nf, nu)), np.zeros((nf, ns, nu))
     n, n1 = np.zeros(nf), np.zeros((nf, ns))
-    m = kind == GRAM
-    gram[fold[m], at[m], bt[m]] = v[m]
-    gram[fold[m], bt[m], at[m]] = v[m]
-    m = (kind == PLAIN) & (ua >= 0)
-    plain[fold[m], at[m]] = v[m]
-    m = (kind >= 0) & (ua >= 0)
-    sums[fold[m], kind[m], at[m]] = v[m]
-    m = (kind == PLAIN) & (ua < 0)
-    n[fold[m]] = v[m]
-    m = (kind >= 0) & (ua < 0)
-    n1[fold[m], kind[m]] = v[m]
-    return units, gram, plain, sums, n, n1
+    for f, k, u, v in zip(fold, kind, at, values):
+        if u < 0:
+            if k == PLAIN:
+                n[f] = v[0]
+            else:
+                n1[f, k] = v[0]
+        elif k == GRAM:
+            gram[f, u] = v
+        elif k == PLAIN:
+            plain[f] = v
+        else:
+            sums[f, k] = v
+    units = np.flatnonzero(gram.sum(axis=0).diagonal() > 0)  # units with a point in this bin
+    return units, gram[:, units][:, :, units], plain[:, units], sums[:, :, units], n, n1
 
 
 def directions_from_moments(gram, plain, sums, n, n1, method: str, reg: float) -> np.ndarray:
