@@ -270,7 +270,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
             .agg(F.collect_set(F.struct("start", "windows", "key", "folds", "frequent")).alias("runs")))  # fewer than bytes
 
     def gather(batches):
-        seen: set = set()
+        # A task sends the bytes of a text of a key once, and a copy to show that there is one. More copies
+        # are sure to be repeated as they are, so they are dealt out evenly instead of going to the key's task.
+        seen: dict = {}
 
         def rows_of(batch):
             lists = batch.column(4)
@@ -284,17 +286,18 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     for s, n, k in finer_runs(part, key, size) if frequent_[i] else ((0, n, key),):
                         piece = part[s:s + n + size - 1]
                         mark = xxhash.xxh3_64_intdigest(piece)
-                        new = (k, mark) not in seen  # a task sends each text of a key once
-                        if new:
-                            seen.add((k, mark))
-                        yield (k - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, folds, not new, piece if new else None,
-                               frequent_[i])
+                        times = seen.get((k, mark), 0)
+                        seen[k, mark] = times + 1
+                        sure = times > 1
+                        where = xxhash.xxh3_64_intdigest(b"%d %d %d" % (doc, ver, start + s)) if sure else k
+                        yield (where - (1 << 63), mark - (1 << 63), doc, ver, start + s, n, folds, times > 0,
+                               None if times else piece, frequent_[i], sure)
                 at += size_
                 if len(seen) > 200_000:
                     seen.clear()
 
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary(), pa.bool_()]
-        names = ["key", "mark", "doc", "ver", "start", "windows", "folds", "known", "text", "refined"]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()] + [pa.bool_()] * 2
+        names = ["key", "mark", "doc", "ver", "start", "windows", "folds", "known", "text", "refined", "sure"]
         for batch in batches:
             for piece in slices(batch, 3):
                 columns = list(zip(*rows_of(piece))) or [()] * len(names)
@@ -302,14 +305,17 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     # The same columns as in the join that follows, so that one exchange of the texts serves both.
     gathered = docs.join(each, ["doc", "ver"]).select("doc_id", "doc", "ver", "text", "runs").mapInArrow(
-        gather, "key long, mark long, doc long, ver long, start int, windows int, folds boolean, known boolean, text binary, refined boolean")
+        gather, "key long, mark long, doc long, ver long, start int, windows int, folds boolean, known boolean, text binary, refined boolean, sure boolean")
 
     def judge(batches):
         g = Gatherer(size)
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, mark, doc, ver, start, windows, folds, _, text, refined = row
-                g.add(key, mark, doc, ver, start, windows, text, folds, refined)
+                key, mark, doc, ver, start, windows, folds, _, text, refined, sure = row
+                if sure:
+                    g.whole(doc, ver, start, windows)
+                else:
+                    g.add(key, mark, doc, ver, start, windows, text, folds, refined)
             yield g.take()
         g.close_key()
         g.judge()
