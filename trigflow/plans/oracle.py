@@ -495,6 +495,19 @@ SELECT e.session_id, CAST(e.bin AS INTEGER) AS bin, round(e.mean0, 6) + 0.0 AS m
 FROM ef e JOIN ef o ON o.session_id = e.session_id AND o.bin = e.bin AND o.perm > 0 WHERE e.perm = 0
 GROUP BY e.session_id, e.bin, e.mean0, e.mean1, e.effect"""
 
+ORACLE["q_baseline_cd"] = f"""WITH RECURSIVE a AS (SELECT order_key AS trial_idx, outcome, base_us,
+  (CASE WHEN outcome IN ('FA', 'abort') THEN event_us - 1000000 ELSE change_us END) - base_us - 1000000 AS usable
+  FROM ({TIMED}) WHERE order_key < (SELECT count(*) FROM orders)),
+w AS (SELECT *, least(greatest(CAST(floor(usable / 20000.0::DOUBLE) AS BIGINT), 1), greatest(CAST(ceil(
+  (SELECT max(usable) FROM a) / 20000.0::DOUBLE) AS BIGINT), 1)) AS n_end_bins FROM a WHERE usable IS NOT NULL),
+p AS ({TRIAL_POINTS}),
+c AS (SELECT w.trial_idx, p.unit_id, count(*) AS n FROM w JOIN p
+  ON p.t_us >= w.base_us + 1000000 AND p.t_us < w.base_us + 1000000 + w.n_end_bins * 20000 GROUP BY ALL),
+pop AS (SELECT 'all' AS session_id, w.trial_idx, 0 AS bin, u.unit_id, coalesce(c.n, 0) / (w.n_end_bins * 0.02::DOUBLE) AS rate
+  FROM w, (SELECT DISTINCT unit_id FROM p) u LEFT JOIN c ON c.trial_idx = w.trial_idx AND c.unit_id = u.unit_id),
+{_solved("SELECT 'all' AS session_id, -1 AS fold, 0 AS perm, trial_idx, (outcome = 'Hit')::INTEGER AS y FROM w WHERE outcome IN ('Hit', 'FA')", "shrinkage")}
+SELECT session_id, trial_idx, round(sum(rate * w), 6) + 0.0 AS proj FROM rt JOIN wt USING (session_id, bin, unit_id) GROUP BY ALL"""
+
 # --- waveforms ------------------------------------------------------------------------
 
 WAVE = """

@@ -452,7 +452,7 @@ def q_baseline_cd(spark, sf):
     fit = w.where(F.col("outcome").isin("Hit", "FA") & (F.col("n_end_bins") > 0)).select(
         "session_id", "trial_idx", (F.col("outcome") == "Hit").cast("int").alias("y"))
     cd = directions.fit_direction(vec, fit)
-    return population.project(vec, cd, ["trial_idx"])
+    return _rounded(population.project(vec, cd, ["trial_idx"]), "proj")
 
 
 # --- waveforms -------------------------------------------------------------------
