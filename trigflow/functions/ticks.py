@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +71,14 @@ class BinGrid:
         return F.get(F.array(*[F.lit(c) for c in self.centers]), bin_col)
 
 
+def _first_tick(edge: float) -> int:
+    """The first tick whose time in seconds, as a float, is not below ``edge``."""
+    tick = math.floor(edge * TICKS_PER_SECOND) - 1
+    while tick / TICKS_PER_SECOND < edge:
+        tick += 1
+    return tick
+
+
 def bin_grid(window: tuple[float, float], bin_size: float, edges: str = "ticks") -> BinGrid:
     """Edges ``w0, w0+b, …`` up to the first one at or beyond ``w1``.
 
@@ -92,8 +99,8 @@ def bin_grid(window: tuple[float, float], bin_size: float, edges: str = "ticks")
     n_edges = math.ceil((window[1] + bin_size - window[0]) / bin_size)
     step = (window[0] + bin_size) - window[0]
     raw = [window[0] + k * step for k in range(n_edges)]
-    scaled = [Fraction(e) * TICKS_PER_SECOND for e in raw]
-    last = min(math.floor(scaled[-1]), w1)
-    bounds = [math.ceil(s) for s in scaled[:-1]] + [last + 1]
+    first = [_first_tick(e) for e in raw]
+    last = min(first[-1] if first[-1] / TICKS_PER_SECOND == raw[-1] else first[-1] - 1, w1)
+    bounds = [*first[:-1], last + 1]
     centers = [(raw[k] + raw[k + 1]) / 2.0 for k in range(n_edges - 1)]
     return BinGrid(tuple(bounds), tuple(centers), bin_size, False)

@@ -739,3 +739,30 @@ ORACLE["q_unit_labels"] = """
 SELECT CAST(doc_id AS INTEGER) AS unit_id, 'label' AS rule FROM labels WHERE doc_id % 5 IN (0, 2, 4)
 UNION ALL SELECT CAST(doc_id AS INTEGER), 'type' FROM labels WHERE doc_id % 5 IN (0, 2, 3, 4)
 """
+
+# --- branches beside the main ones ------------------------------------------------------
+
+ORACLE["q_trial_scalar_all_bins"] = f"""WITH {POP} SELECT tg.session_id, tg.trial_idx, outcome,
+  round(coalesce(s.s, 0.0) / 12.0::DOUBLE, 6) + 0.0 AS value FROM tg LEFT JOIN
+  (SELECT session_id, trial_idx, sum(proj) AS s FROM pj GROUP BY 1, 2) s USING (session_id, trial_idx)"""
+ORACLE["q_good_units_listed"] = f"""WITH u AS (SELECT DISTINCT session_id, unit_id FROM ({TRIAL_POINTS}))
+SELECT *, 'list' AS rule FROM u WHERE (session_id + unit_id) % 3 = 0 UNION ALL SELECT *, 'off' AS rule FROM u"""
+ORACLE["q_peth_float_edges"] = f"""WITH ev AS ({EV}), x AS (SELECT user_id AS session_id, event_type AS unit_id, event_id, (t_us >> 30) * 100000 AS t_us FROM ev),
+p AS (SELECT * FROM x WHERE unit_id <> 'purchase'), t AS (SELECT * FROM x WHERE unit_id = 'purchase'),
+nt AS (SELECT session_id, count(*) AS n FROM t GROUP BY 1),
+e AS (SELECT k, -0.3::DOUBLE + k * ((-0.3::DOUBLE + 0.1::DOUBLE) - (-0.3::DOUBLE)) AS a FROM (SELECT unnest(range(16)) AS k)),
+b AS (SELECT k AS bin, a, lead(a) OVER (ORDER BY k) AS z, k = 14 AS last FROM e QUALIFY z IS NOT NULL),
+d AS (SELECT p.session_id, p.unit_id, (p.t_us - t.t_us) / 1e6 AS d FROM p JOIN t USING (session_id) WHERE p.t_us - t.t_us BETWEEN -1000000 AND 2000000),
+c AS (SELECT session_id, unit_id, bin, count(*) AS n FROM d JOIN b ON d >= a AND (d < z OR (last AND d <= z AND d <= 1.2)) GROUP BY ALL),
+g AS (SELECT DISTINCT session_id, unit_id, b.bin, (a + z) / 2 AS m FROM p, b)
+SELECT g.session_id, g.unit_id, CAST(g.bin AS INTEGER) AS bin, round(m, 6) + 0.0 AS bin_center,
+  CASE WHEN nt.n IS NULL THEN 0.0 ELSE round(coalesce(c.n, 0) / (nt.n * 0.1::DOUBLE), 9) END AS rate_hz, CAST(coalesce(nt.n, 0) AS BIGINT) AS n_trials
+FROM g LEFT JOIN c USING (session_id, unit_id, bin) LEFT JOIN nt USING (session_id)"""
+ORACLE["q_template_summary_partial"] = """WITH v AS (SELECT CAST(vec_id % 2 AS INTEGER) AS session_id, label AS unit_id, vec_id // 2 AS template_id,
+    list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS amp FROM embeddings),
+u AS (SELECT DISTINCT session_id, unit_id FROM v), c AS (SELECT session_id, unit_id, count(*) AS n FROM v GROUP BY ALL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY unit_id) - 1 AS template_id FROM u)
+SELECT session_id, unit_id, 0 AS n_spikes, NULL::DOUBLE AS mean_amp, true AS present, 'unclustered' AS branch FROM u
+UNION ALL SELECT v.session_id, coalesce(ix.unit_id, -1), 0, round(amp, 6), true, 'templates' FROM v LEFT JOIN ix USING (session_id, template_id)
+UNION ALL SELECT session_id, unit_id, n, NULL, true, 'spikes' FROM c
+UNION ALL SELECT session_id, unit_id, 0, NULL, false, 'nothing' FROM u"""

@@ -54,6 +54,21 @@ def q_peth_by_unit(spark, sf):
                       F.round("rate_hz", 9).alias("rate_hz"), "n_trials")
 
 
+#: Repeated float steps of a tenth miss some of the exact edges.
+FLOAT_GRID = bin_grid((-0.3, 1.2), 0.1, "float")
+
+
+@query
+def q_peth_float_edges(spark, sf):
+    """Times on a grid of tenths of a second, so that points lie on the edges."""
+    tenth = F.shiftright("t_us", 30) * 100_000
+    points = tb.user_points(spark, sf).withColumn("t_us", tenth)
+    triggers = tb.user_triggers(spark, sf).withColumn("t_us", tenth)
+    out = align.peth(points, triggers, tb.units_of(points), FLOAT_GRID)
+    return out.select("session_id", "unit_id", "bin", r6(F.col("bin_center")).alias("bin_center"),
+                      F.round("rate_hz", 9).alias("rate_hz"), "n_trials")
+
+
 @query
 def q_range_join(spark, sf):
     pairs = align.range_join(tb.user_points(spark, sf), tb.user_triggers(spark, sf),
@@ -105,6 +120,16 @@ def q_good_units(spark, sf):
     return align.good_units(units, tb.customer_sessions(spark, sf))
 
 
+@query
+def q_good_units_listed(spark, sf):
+    """An explicit list, and no restriction at all."""
+    units = tb.units_of(tb.trial_points(spark, sf))
+    sessions = tb.customer_sessions(spark, sf)
+    listed = units.where("(session_id + unit_id) % 3 = 0")
+    named = align.good_units(units, sessions, listed).withColumn("rule", F.lit("list"))
+    return named.union(align.good_units(units, sessions, use_good_only=False).withColumn("rule", F.lit("off")))
+
+
 @query
 def q_good_chain(spark, sf):
     units = tb.units_of(tb.trial_points(spark, sf))
@@ -370,7 +395,16 @@ def q_project(spark, sf):
 @query
 def q_trial_scalar(spark, sf):
     pop, t, w = _direction(spark, sf)
-    s = population.trial_scalar(population.project(pop, w), t, [0, 1, 2, 3])
+    bins = population.selected_bins(bin_grid((-4.0, 8.0), 1.0))  # months 0 to 3 lie before the event
+    s = population.trial_scalar(population.project(pop, w), t, bins)
+    return _rounded(s.select("session_id", "trial_idx", "outcome", "value"), "value")
+
+
+@query
+def q_trial_scalar_all_bins(spark, sf):
+    """No bin lies before the event, so all count."""
+    pop, t, w = _direction(spark, sf)
+    s = population.trial_scalar(population.project(pop, w), t, population.selected_bins(bin_grid((0.0, 12.0), 1.0)))
     return _rounded(s.select("session_id", "trial_idx", "outcome", "value"), "value")
 
 
@@ -477,6 +511,20 @@ def q_template_summary(spark, sf):
                     "mean_amp")
 
 
+@query
+def q_template_summary_partial(spark, sf):
+    """The same where parts of the sorter output are missing, one branch after another."""
+    st, tm = _mean_waves(spark, sf)
+    s, u = st.select("session_id").distinct(), st.select("session_id", "unit_id").distinct()
+    tm = tm.withColumn("template_id", F.floor(F.col("template_id") / 2).cast("int"))  # numbered from 0 in each session
+    parts = {"unclustered": (None, st, tm), "templates": (None, None, tm), "spikes": (st, None, None), "nothing": (None, None, None)}
+    out = None
+    for name, (spikes, spike_templates, templates) in parts.items():
+        one = waveforms.template_summary(s, u, spikes, spike_templates, templates).withColumn("branch", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out, "mean_amp")
+
+
 def _shapes(spark, sf):
     vec = tb.vectors(spark, sf).select("session_id", F.col("template_id").alias("unit_id"), "embedding")
     return waveforms.waveform_shape(tb.long_waveforms(vec, "unit_id"))
