@@ -170,3 +170,20 @@ def pair_similarity(pairs: DataFrame, waveforms: DataFrame, intervals: DataFrame
     return out.select(*PAIR, "waveform_corr", ks.alias("isi_ks"), ratio.alias("firing_rate_ratio")).withColumn(
         "composite_score", (F.coalesce("waveform_corr", F.lit(0.0)) + 1 - F.col("isi_ks")
                             + F.coalesce("firing_rate_ratio", F.lit(0.0))) / 3)
+
+
+def top_composite(units: DataFrame, waveforms: DataFrame, intervals: DataFrame, rates: DataFrame, k: int = 5,
+                  candidates: int = 50) -> DataFrame:
+    """The k pairs of every two sessions with the highest composite score, among the best correlated ones.
+
+    ``candidates`` pairs per two sessions come from :func:`top_matches` and are scored in full, so
+    no table of all pairs exists. The score is at most (correlation + 2) / 3: a row is ``proven``
+    if no pair with a lower correlation than the last candidate's could rank before it.
+    """
+    near = top_matches(units, candidates)
+    by = ["subject", "session_a", "session_b"]
+    last = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("waveform_corr").alias("_least"))
+    scored = pair_similarity(near.select(*PAIR), waveforms, intervals, rates).join(last, by)
+    w = Window.partitionBy(*by).orderBy(F.round("composite_score", 9).desc(), "unit_a", "unit_b")
+    proven = (F.col("_n") < candidates) | (F.col("composite_score") >= (F.col("_least") + 2) / 3)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("proven", proven).drop("_n", "_least")

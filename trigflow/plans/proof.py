@@ -563,6 +563,20 @@ def q_top_matches(spark, sf):
     return _rounded(matching.top_matches(_match_units(spark, sf), 5), "waveform_corr")
 
 
+@query
+def q_top_composite(spark, sf):
+    """Intervals and rates of a unit are read off its vector's values."""
+    units_ = _match_units(spark, sf)
+    vec = tb.vectors(spark, sf).select("session_id", F.col("template_id").alias("unit_id"), "embedding")
+    size = F.abs(F.col("v").cast("double"))
+    values = vec.select("session_id", "unit_id", F.explode("embedding").alias("v"))
+    intervals = values.groupBy("session_id", "unit_id", F.round(size * 20).cast("bigint").alias("isi_us")).agg(
+        F.count(F.lit(1)).alias("n"))
+    rates = values.groupBy("session_id", "unit_id").agg(F.sum(size).alias("mean_rate_hz"))
+    s = matching.top_composite(units_, tb.long_waveforms(vec, "unit_id"), intervals, rates, 5, 20)
+    return _rounded(s, "waveform_corr", "isi_ks", "firing_rate_ratio", "composite_score")
+
+
 @query
 def q_match_diagnostics(spark, sf):
     return _rounded(matching.match_diagnostics(_match_units(spark, sf)), "prob_min", "prob_max")
