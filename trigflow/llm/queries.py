@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_suffix_array_dedup": repeats.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_url_filters": urlfilter.ORACLE_SQL,

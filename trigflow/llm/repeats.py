@@ -364,3 +364,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every window of every text, as hexadecimal digits, compared by MD5.
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * SIZE})) AS g
+      FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - {SIZE - 1})) AS i FROM t WHERE length(h) >= {2 * SIZE})),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1),
+f AS (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{2 * SIZE}) + {SIZE})::INTEGER AS new FROM r),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f),
+x AS (SELECT doc_id, k, min(i) AS a, max(i) + {SIZE} AS z FROM s GROUP BY ALL),
+y AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM x),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS stop,
+        string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM y JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * stop + 1), h))) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id)
+"""
