@@ -173,3 +173,9 @@ def test_shanks(spark):
     assert assign == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3}
     assert probe.shank_spacing(forced).first().shank_dist == 250.0
     assert c.where("session_id = 'r'").count() == 0
+
+
+def test_units_are_handed_out_by_id(spark):
+    rows = [("b", 2, 0), ("a", 10, 1), ("a", 2, 0), ("a", 10, 0)]
+    got = sinks.ordered_units(spark.createDataFrame(rows, "session_id string, unit_id int, block_id int")).collect()
+    assert [tuple(r) for r in got] == sorted(rows)

@@ -37,3 +37,8 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", overwrite: bool = F
     """CSV or JSON report; an existing one is left alone unless ``overwrite``."""
     writer = df.write.mode("overwrite" if overwrite else "ignore")
     writer.option("header", "true").csv(path) if fmt == "csv" else writer.json(path)
+
+
+def ordered_units(table: DataFrame) -> DataFrame:
+    """A unit table in the order in which it is handed out: by session, then unit id, then block where there is one."""
+    return table.orderBy(*[c for c in ("session_id", "unit_id", "block_id") if c in table.columns])
