@@ -5,6 +5,18 @@ from pyspark.sql import functions as F
 from trigflow.operators import running
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """This module runs compiled plans, as users do."""
+    names = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_exact_percentiles_follow_linear_interpolation(spark):
     rng = np.random.default_rng(0)
     data = {"a": rng.integers(0, 10_000, 501), "b": rng.integers(0, 7, 40), "c": np.array([5])}

@@ -782,3 +782,12 @@ SELECT subject, session_a, session_b, unit_a, unit_b, round(c, 6) + 0.0 AS wavef
   round(comp, 6) + 0.0 AS composite_score, n < 20 OR comp >= (lc + 2) / 3 AS proven,
   CAST(row_number() OVER (PARTITION BY subject, session_a, session_b ORDER BY round(comp, 9) DESC, unit_a, unit_b) AS INTEGER) AS rank
 FROM sc QUALIFY rank <= 5"""
+_EVEN = CENTERS.replace("((p_partkey % 4) * 250 + (p_size % 3) * 16)::DOUBLE", """CASE WHEN right(p_brand, 1)::INTEGER % 2 = 0
+  THEN (p_partkey % 7 * 20)::DOUBLE ELSE ((p_partkey % 4) * 250 + (p_size % 3) * 16)::DOUBLE END""")
+ORACLE["q_shanks_expected"] = f"""WITH {_EVEN},
+qs AS (SELECT session_id, quantile_cont(x, [0, 1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE, 1]) AS q FROM xs
+  WHERE session_id IN (SELECT session_id FROM ce WHERE n_shanks = 1) GROUP BY 1),
+pt AS (SELECT session_id, s AS shank, q[s + 1] AS a, q[s + 2] AS b FROM qs, (SELECT unnest(range(3)) AS s))
+SELECT session_id, shank, round(center, 6) AS center, n_shanks FROM ce WHERE n_shanks > 1
+UNION ALL SELECT session_id, CAST(shank AS INTEGER), round(coalesce(avg(x) FILTER (x >= a AND x <= b), any_value((a + b) / 2)), 6), 3
+FROM pt JOIN xs USING (session_id) GROUP BY session_id, shank"""

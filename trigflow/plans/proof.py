@@ -700,6 +700,14 @@ def q_shanks(spark, sf):
     return _rounded(c.join(probe.shank_spacing(c).drop("n_shanks"), "session_id"), "center", "shank_dist")
 
 
+@query
+def q_shanks_expected(spark, sf):
+    """Every second probe is evenly pitched, so no gap tells its shanks apart: three are expected."""
+    even = F.substring("session_id", -1, 1).cast("int") % 2 == 0
+    ch = tb.part_channels(spark, sf).withColumn("x", F.when(even, (F.col("chan") % 7 * 20).cast("double")).otherwise(F.col("x")))
+    return _rounded(probe.shank_centers(ch, 3), "center")
+
+
 @query
 def q_shank_assign(spark, sf):
     ch = tb.part_channels(spark, sf)
