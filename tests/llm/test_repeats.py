@@ -56,5 +56,14 @@ def test_like_brute_force(make_docs, monkeypatch, frequent, many):
     assert Counter(got) == Counter(brute(rows, repeats.SIZE))
 
 
+def test_long_texts_are_read_in_parts(make_docs, monkeypatch):
+    monkeypatch.setattr(repeats, "BUFFER", 700)
+    rnd = random.Random(11)
+    common = text_of(rnd, 120)
+    rows = [(1, text_of(rnd, 700) + common + text_of(rnd, 400)), (2, common), (3, "xyz" * 1500), (4, text_of(rnd, 900))]
+    got = [tuple(r) for r in repeats.remove_repeats(make_docs(rows)).collect()]
+    assert Counter(got) == Counter(brute(rows, repeats.SIZE))
+
+
 def test_empty_table(make_docs):
     assert repeats.remove_repeats(make_docs([])).count() == 0

@@ -90,6 +90,26 @@ def window_runs(batch: list[bytes], size: int = SIZE, gram: int = GRAM):
     return owner[begin], start[begin], n, values[begin], extra[owner[begin]] | (n > width)
 
 
+def pieces_of(data: list[bytes], size: int = SIZE):
+    """(rows, offsets, parts): all windows of the texts in groups of parts of about BUFFER bytes.
+
+    Parts of a long text overlap, so each window is in one; runs of windows may be cut anywhere.
+    """
+    group, held = [], 0
+    for i, text in enumerate(data):
+        for at in range(0, max(1, len(text) - size + 1), BUFFER):
+            part = text[at:at + BUFFER + size - 1]
+            group.append((i, at, part))
+            held += len(part)
+            if held >= BUFFER:
+                rows, offsets, parts = zip(*group)
+                yield np.array(rows), np.array(offsets), list(parts)
+                group, held = [], 0
+    if group:
+        rows, offsets, parts = zip(*group)
+        yield np.array(rows), np.array(offsets), list(parts)
+
+
 def finer_runs(text: bytes, key: int, size: int = SIZE, gram: int = GRAM):
     """(start, windows, key) of parts of a run's text, keyed by all but a few bytes of their windows.
 
@@ -255,11 +275,11 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """
     def runs(batches):
         for batch in batches:
-            for piece in slices(batch, 2, BUFFER):
-                owner, start, n, key, folds = window_runs(texts(piece.column(2)), size)
-                rows = pa.array(owner, pa.int64())
+            for row, offset, parts in pieces_of(texts(batch.column(2)), size):
+                owner, start, n, key, folds = window_runs(parts, size)
+                rows, start = pa.array(row[owner], pa.int64()), start + offset[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(start.astype(np.int32)),
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)),
                      pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(folds)],
                     names=["doc", "ver", "start", "windows", "key", "folds"])
 
