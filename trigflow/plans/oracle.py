@@ -564,7 +564,6 @@ top AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject, session_a, sessi
 ORACLE["q_top_matches"] = f"""WITH {CORR} SELECT subject, session_a, session_b, unit_a, unit_b, round(c, 6) + 0.0 AS waveform_corr, rank FROM top"""
 ORACLE["q_match_diagnostics"] = f"""WITH {CORR} SELECT subject, 2 AS n_sessions, round(min(c), 6) AS prob_min, round(max(c), 6) AS prob_max,
   count(*) AS n_pairs FROM pr GROUP BY 1"""
-ORACLE["q_match_table"] = f"""WITH {CORR} SELECT subject, session_a, session_b, unit_a, unit_b, round(c, 6) + 0.0 AS prob FROM top"""
 ORACLE["q_pair_similarity"] = f"""
 WITH ev AS (SELECT event_type AS s, user_id AS u, t_us, value FROM ({EV})),
 su AS (SELECT DISTINCT s, u FROM ev),
@@ -587,6 +586,8 @@ SELECT pr.u AS subject, sa AS session_a, sb AS session_b, pr.u AS unit_a, pr.u A
 FROM pr LEFT JOIN co USING (u, sa, sb) LEFT JOIN ks USING (u, sa, sb)
   JOIN rt ra ON ra.u = pr.u AND ra.s = sa JOIN rt rb ON rb.u = pr.u AND rb.s = sb
 """
+ORACLE["q_match_table"] = f"""SELECT subject, session_a, session_b, unit_a, unit_b, composite_score AS prob
+FROM ({ORACLE["q_pair_similarity"]})"""
 ORACLE["q_session_rollup"] = f"""WITH {POP},
 gs AS (SELECT session_id, grp, count(*) AS n, avg(value) AS m FROM sc GROUP BY ALL),
 ot AS (SELECT session_id, avg(value) FILTER (outcome = 'Hit') AS h, avg(value) FILTER (outcome = 'Miss') AS m FROM sc GROUP BY 1),

@@ -582,15 +582,6 @@ def q_match_diagnostics(spark, sf):
     return _rounded(matching.match_diagnostics(_match_units(spark, sf)), "prob_min", "prob_max")
 
 
-@query
-def q_match_table(spark, sf):
-    best = matching.top_matches(_match_units(spark, sf), 5)
-    scored = best.select("subject", F.col("session_b").alias("session_a"), F.col("session_a").alias("session_b"),
-                         F.col("unit_b").alias("unit_a"), F.col("unit_a").alias("unit_b"),
-                         F.round("waveform_corr", 6).alias("prob"))
-    return matching.match_table(scored)
-
-
 @query
 def q_pair_similarity(spark, sf):
     """Matched units: users of the same number in each two event types."""
@@ -607,6 +598,17 @@ def q_pair_similarity(spark, sf):
     return _rounded(s, "waveform_corr", "isi_ks", "firing_rate_ratio", "composite_score")
 
 
+@query
+def q_match_table(spark, sf):
+    """All scored pairs, every second one given with the later session first."""
+    s = q_pair_similarity(spark, sf)
+    flip = F.col("subject") % 2 == 0
+    sides = {c: F.when(flip, F.col(o)).otherwise(F.col(c)) for c, o in (
+        ("session_a", "session_b"), ("session_b", "session_a"), ("unit_a", "unit_b"), ("unit_b", "unit_a"))}
+    return matching.match_table(s.select("subject", "session_a", "session_b", "unit_a", "unit_b",
+                                         F.col("composite_score").alias("prob")).withColumns(sides))
+
+
 @query
 def q_session_rollup(spark, sf):
     _, t, values = _grouped(spark, sf)
