@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trigflow.operators.running import running_sums
+from trigflow.session import cut_lineage
 
 BLOCK_VALUES = 4_000_000  # units x vector length held at once for one side of a block pair
 TILE_VALUES = 2_000_000  # correlations held at once, however many units the blocks have
@@ -22,18 +23,18 @@ def _standard(vec: str):
     return F.transform(centred, lambda v: v / F.nullif(norm, F.lit(0.0)))
 
 
-def _block_pairs(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Units of a subject in blocks of bounded size, copied so that every two blocks meet once."""
+def _block_pairs(units: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """Units of a subject, with ``extra`` columns, in blocks of bounded size, copied so that every two blocks meet once."""
     sized = units.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("len"))
     blocks = F.greatest(F.ceil(F.col("n") * F.col("len") / BLOCK_VALUES), F.lit(1)).cast("int")
     placed = units.join(sized, "subject").select(
-        "subject", "session_id", "unit_id", _standard("vec").alias("vec"), blocks.alias("blocks"),
+        "subject", "session_id", "unit_id", *extra, _standard("vec").alias("vec"), blocks.alias("blocks"),
         F.pmod(F.xxhash64("session_id", "unit_id"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = placed.withColumn("other", other).select(
-        "subject", F.col("block").alias("ba"), F.col("other").alias("bb"), "session_id", "unit_id", "vec")
+        "subject", F.col("block").alias("ba"), F.col("other").alias("bb"), "session_id", "unit_id", "vec", *extra)
     b = placed.withColumn("other", other).select(
-        "subject", F.col("other").alias("ba"), F.col("block").alias("bb"), "session_id", "unit_id", "vec")
+        "subject", F.col("other").alias("ba"), F.col("block").alias("bb"), "session_id", "unit_id", "vec", *extra)
     return a, b.toDF(*b.columns)
 
 
@@ -159,7 +160,8 @@ def pair_similarity(pairs: DataFrame, waveforms: DataFrame, intervals: DataFrame
     grid = {"channel": "channel", "sample": "sample"}
     a = pairs.select(*PAIR).join(of(waveforms, "a", {**grid, "value": "va"}), ["session_a", "unit_a"])
     corr = a.join(of(waveforms, "b", {**grid, "value": "vb"}), ["session_b", "unit_b", *grid]).groupBy(*PAIR).agg(
-        F.corr("va", "vb").alias("waveform_corr"))
+        F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop(F.when(F.col("vb").isNotNull(), F.col("va")))
+                     * F.stddev_pop(F.when(F.col("va").isNotNull(), F.col("vb")))).alias("waveform_corr"))  # NULL if flat
     out = (
         pairs.select(*PAIR).join(corr, PAIR, "left").join(interval_distance(pairs, intervals), PAIR, "left")
         .join(of(rates, "a", {"mean_rate_hz": "ra"}), ["session_a", "unit_a"], "left")
@@ -172,18 +174,61 @@ def pair_similarity(pairs: DataFrame, waveforms: DataFrame, intervals: DataFrame
                             + F.coalesce("firing_rate_ratio", F.lit(0.0))) / 3)
 
 
+def _pairs_within_reach(units: DataFrame, rates: DataFrame, floors: DataFrame) -> DataFrame:
+    """Unit pairs whose score may reach ``floors(subject, session_a, session_b, floor)``, whatever their intervals.
+
+    Correlation and rate ratio are computed in the tiles; a session pair without a floor gives all its pairs.
+    An undefined correlation counts as zero, as in the score, and a ratio that is not sure as one.
+    """
+    types = dict(units.dtypes)
+    s, u, subj = types["session_id"], types["unit_id"], types["subject"]
+    reach = floors.groupBy("subject", F.col("session_a").alias("session_id")).agg(
+        F.collect_list(F.struct("session_b", "floor")).alias("r")).select(
+        "subject", "session_id", F.col("r.session_b").alias("later"), F.col("r.floor").alias("floors"))
+    rate = rates.select("session_id", "unit_id", F.col("mean_rate_hz").cast("double").alias("rate"))
+    a, b = _block_pairs(units.join(rate, ["session_id", "unit_id"], "left").join(reach, ["subject", "session_id"], "left"),
+                        "rate", "later", "floors")
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in PAIR})
+        left, right = left.sort_values(["session_id", "unit_id"]), right.sort_values(["session_id", "unit_id"])
+        ua, ub, subject = left["unit_id"].to_numpy(), right["unit_id"].to_numpy(), left["subject"].iloc[0]
+        ra, rb = left["rate"].to_numpy(float), right["rate"].to_numpy(float)
+        of = {x: {} if y is None else dict(zip(y, f)) for x, y, f in zip(left["session_id"], left["later"], left["floors"])}
+        later, found = _runs(right["session_id"].to_numpy()), []
+        for rows, corr, finite in _tiles(left, right):
+            most = np.maximum(ra[rows, None], rb)
+            ratio = np.divide(np.minimum(ra[rows, None], rb), most, out=np.ones(most.shape), where=most > 0)
+            bound = (np.where(finite, corr, 0.0) + 1 + ratio) / 3
+            for x, r0, r1 in _runs(left["session_id"].to_numpy()[rows]):
+                for y, c0, c1 in (run for run in later if run[0] > x):
+                    i, j = np.nonzero(bound[r0:r1, c0:c1] >= of[x].get(y, -np.inf) - 1e-6)
+                    found.append(pd.DataFrame({"subject": subject, "session_a": x, "session_b": y,
+                                               "unit_a": ua[rows.start + r0 + i], "unit_b": ub[c0 + j]}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in PAIR})
+
+    return a.groupBy("subject", "ba", "bb").cogroup(b.groupBy("subject", "ba", "bb")).applyInPandas(
+        near, f"subject {subj}, session_a {s}, session_b {s}, unit_a {u}, unit_b {u}")
+
+
 def top_composite(units: DataFrame, waveforms: DataFrame, intervals: DataFrame, rates: DataFrame, k: int = 5,
                   candidates: int = 50) -> DataFrame:
-    """The k pairs of every two sessions with the highest composite score, among the best correlated ones.
+    """The k pairs of every two sessions with the highest composite score, of all pairs.
 
-    ``candidates`` pairs per two sessions come from :func:`top_matches` and are scored in full, so
-    no table of all pairs exists. The score is at most (correlation + 2) / 3: a row is ``proven``
-    if no pair with a lower correlation than the last candidate's could rank before it.
+    ``candidates`` pairs per two sessions come from :func:`top_matches` and are scored in full. Their
+    k-th score is a floor: every pair whose correlation and rate ratio may reach it is scored too, so
+    the k best are exact and pairs out of reach never become rows. A row is ``proven`` if the
+    candidates alone had sufficed: the score is at most (correlation + 2) / 3, and no pair with a
+    lower correlation than the last candidate's could rank before it.
     """
-    near = top_matches(units, candidates)
     by = ["subject", "session_a", "session_b"]
-    last = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("waveform_corr").alias("_least"))
-    scored = pair_similarity(near.select(*PAIR), waveforms, intervals, rates).join(last, by)
     w = Window.partitionBy(*by).orderBy(F.round("composite_score", 9).desc(), "unit_a", "unit_b")
-    proven = (F.col("_n") < candidates) | (F.col("composite_score") >= (F.col("_least") + 2) / 3)
+    near = cut_lineage(top_matches(units, candidates))
+    last = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("waveform_corr").alias("_least"))
+    floors = cut_lineage(pair_similarity(near.select(*PAIR), waveforms, intervals, rates).withColumn(
+        "rank", F.row_number().over(w)).where(F.col("rank") == k).select(*by, F.col("composite_score").alias("floor")))
+    pairs = cut_lineage(_pairs_within_reach(units, rates, floors))
+    scored = pair_similarity(pairs, waveforms, intervals, rates).join(last, by, "left")
+    proven = (F.coalesce("_n", F.lit(0)) < candidates) | (F.col("composite_score") >= (F.col("_least") + 2) / 3)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("proven", proven).drop("_n", "_least")
