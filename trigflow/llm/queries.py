@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trigflow.llm import decontaminate, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc
+from trigflow.llm import decontaminate, kdshards, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    "op12_kd_sharding": kdshards.op12_kd_sharding,
 }
 
 ORACLE = {
@@ -23,4 +24,5 @@ ORACLE = {
     "op8_secret_scans": secrets.ORACLE_SQL,
     "op9_url_filters": urlfilter.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op12_kd_sharding": kdshards.ORACLE_SQL,
 }
