@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from trigflow.llm import decontaminate, kdshards, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc
+from trigflow.llm import (
+    decontaminate, kdshards, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc, whitening,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_url_filters": urlfilter.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    "op11_whitening": whitening.op11_whitening,
     "op12_kd_sharding": kdshards.op12_kd_sharding,
 }
 
