@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from trigflow.llm import (
-    decontaminate, kdshards, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc, whitening,
+    crosstoken, decontaminate, kdshards, licenses, packing, quality, repeats, secrets, simhash, toxicity, urlfilter, warc,
+    whitening,
 )
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_whitening": whitening.op11_whitening,
     "op12_kd_sharding": kdshards.op12_kd_sharding,
+    "op13_crosstoken": crosstoken.op13_crosstoken,
 }
 
 ORACLE = {
