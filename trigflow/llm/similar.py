@@ -1,4 +1,8 @@
-"""Near copies by the similarity of their word shingles: MinHash bands find candidates, the full sets confirm them."""
+"""Near copies by the similarity of their word shingles.
+
+SimHash fingerprints within four bits and MinHash bands find candidates; packed signatures sort out
+those that only share a passage before a pair leaves its task; the full sets confirm the rest.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigflow.llm.arrow import sliced, texts
+from trigflow.llm.columns import perhaps_in, unused
 from trigflow.llm.graph import components
+from trigflow.llm.simhash import fingerprint_links
 from trigflow.session import cut_lineage
 
 WORDS = 5
@@ -19,14 +25,18 @@ WORDS = 5
 LEAST = (4, 5)
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS, 5 in 10^9; a closer one with less.
 BANDS, ROWS = 48, 5
+#: Signatures hold two bits of each of the BANDS * ROWS minima. Those of a pair at 0.8 agree in 204 of 240 on average,
+#: and in fewer than AGREE with probability 1.2 in 10^9; at a similarity of 0.4 one pair in 10^6 agrees as much.
+AGREE = 168
 #: Keys with more members are first searched along a few chains, then only between what is still apart.
 SMALL_GROUP = 48
-#: Shingles whose minima are taken at once, and pairs that leave a task at once.
-BLOCK, PAIRS = 1 << 12, 1 << 16
+#: Shingles whose minima are taken at once, pairs that leave a task at once, and pairs that share a sent set.
+BLOCK, PAIRS, STAR = 1 << 12, 1 << 16, 256
 
 _DRAWN = np.random.default_rng(20)
 FACTORS = _DRAWN.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 MIXERS = _DRAWN.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_PAIRS_OF_BITS = np.uint64(0x5555555555555555)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -43,17 +53,38 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """A key of each band: its minima under ROWS orders, and the number of the band."""
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The least shingle under each of BANDS * ROWS orders."""
     low = (grams >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), BLOCK):
         least = np.minimum(least, (FACTORS * low[at:at + BLOCK]).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key of each band: its minima under ROWS orders, and the number of the band."""
     key = ((least.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * MIXERS).sum(axis=1, dtype=np.uint64)
     key ^= key >> np.uint64(31)
     return (key * np.uint64(0x9E3779B97F4A7C15) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def signature(least: np.ndarray) -> bytes:
+    """Two bits of each minimum, in eight 64-bit words."""
+    two = ((least ^ (least >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(30)
+    packed = (two.astype(np.uint8).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    return packed.tobytes().ljust(64, b"\0")
+
+
+def print_of(grams: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), BLOCK):
+        part = grams[at:at + BLOCK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<i8")[0])
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have a similarity of LEAST or more."""
     both = np.concatenate([a, b])
@@ -63,47 +94,57 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, node, n, keys) of each row: equal sets of shingles are one node."""
+    """(doc_id, text_hash, node, n, fp, sig, keys) of each row: equal sets of shingles are one node."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in texts(batch.column(1))]
         node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        keys = [band_keys(s) if len(s) else [] for s in sets]
+        least = [minima(s) for s in sets]
         return pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int32()),
-             pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "n", "keys"])
+             pa.array([print_of(s) for s in sets], pa.int64()), pa.array([signature(x) for x in least], pa.binary()),
+             pa.array([band_keys(x) if len(s) else [] for x, s in zip(least, sets)], pa.list_(pa.int64()))],
+            names=["doc_id", "text_hash", "node", "n", "fp", "sig", "keys"])
+
+    return docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col)).toDF("doc_id", "text", "text_hash").mapInArrow(
+        sliced(work, 1), "doc_id long, text_hash long, node long, n int, fp long, sig binary, keys array<long>")
 
-    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("_hash")).mapInArrow(
-        sliced(work, 1), "doc_id long, text_hash long, node long, n int, keys array<long>")
 
+def fitting(i: np.ndarray, j: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) of a group have different labels, sizes that allow LEAST, and signatures that agree."""
+    least, most = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
+    fit = (label[i] != label[j]) & (least * LEAST[1] >= most * LEAST[0])
+    at = np.flatnonzero(fit)
+    x = sig[i[at]] ^ sig[j[at]]
+    apart = np.bitwise_count((x | (x >> np.uint64(1))) & _PAIRS_OF_BITS).sum(axis=1, dtype=np.int64)
+    fit[at] = apart <= BANDS * ROWS - AGREE
+    return fit
 
-def pairs_of_group(node: np.ndarray, n: np.ndarray, label: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def pairs_of_group(node: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray,
+                   way: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a key's members, sorted by their number of shingles, that may be alike and have different labels.
 
-    Without ``whole`` a large group gives only pairs with the next two and with its middle member.
+    ``chains``: all pairs of a small group; of a large one pairs with the next two and with its middle member.
+    ``labels``: for each member one pair with each other label. ``all``: all pairs.
     """
-    def fits(i, j):
-        least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        return (label[i] != label[j]) & (least.astype(np.int64) * LEAST[1] >= most.astype(np.int64) * LEAST[0])
-
-    if whole or len(node) <= SMALL_GROUP:
-        for i in range(len(node) - 1):
-            reach = int(np.searchsorted(n, n[i] * LEAST[1] // LEAST[0], side="right"))
-            j = np.arange(i + 1, max(i + 1, reach))
-            j = j[fits(np.full(len(j), i), j)]
-            if len(j):
-                yield np.full(len(j), node[i]), node[j]
+    if way == "chains" and len(node) > SMALL_GROUP:
+        k = np.arange(len(node))
+        for i, j in ((k[:-1], k[1:]), (k[:-2], k[2:]), (k, np.full(len(k), len(k) // 2))):
+            fit = fitting(i, j, n, label, sig)
+            yield node[i[fit]], node[j[fit]]
         return
-    for lag in (1, 2):
-        i = np.arange(len(node) - lag)
-        i = i[fits(i, i + lag)]
-        yield node[i], node[i + lag]
-    i, middle = np.arange(len(node)), np.full(len(node), len(node) // 2)
-    i = i[fits(i, middle)]
-    yield node[i], np.full(len(i), node[len(node) // 2])
-
-
-def candidates(members: DataFrame, whole: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes with a key in common. ``members(key, node, n, label)``."""
+    for i in range(len(node) - 1):
+        reach = int(np.searchsorted(n, n[i] * LEAST[1] // LEAST[0], side="right"))
+        j = np.arange(i + 1, max(i + 1, reach))
+        j = j[fitting(np.full(len(j), i), j, n, label, sig)]
+        if way == "labels":
+            j = j[np.unique(label[j], return_index=True)[1]]
+        if len(j):
+            yield np.full(len(j), node[i]), node[j]
+
+
+def candidates(members: DataFrame, way: str) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes with a key in common. ``members(key, node, n, label, sig)``."""
     def work(batches):
         held: list[np.ndarray] = []
         left, right, count = [], [], 0
@@ -121,7 +162,7 @@ def candidates(members: DataFrame, whole: bool) -> DataFrame:
             starts, stops = np.r_[0, edge], np.r_[edge, len(columns[0])]
             many = stops - starts > 1
             for s, e in zip(starts[many].tolist(), stops[many].tolist()):
-                for a, b in pairs_of_group(*(c[s:e] for c in columns[1:]), whole):
+                for a, b in pairs_of_group(*(c[s:e] for c in columns[1:]), way):
                     left.append(a)
                     right.append(b)
                     count += len(a)
@@ -129,7 +170,8 @@ def candidates(members: DataFrame, whole: bool) -> DataFrame:
                         yield take()
 
         for batch in batches:
-            new = [c.to_numpy() for c in batch.columns]
+            new = [c.to_numpy() for c in batch.columns[:4]]
+            new.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, 8))
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             if len(held[0]) > 1 << 16 and held[0][0] != held[0][-1]:
                 cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
@@ -139,30 +181,110 @@ def candidates(members: DataFrame, whole: bool) -> DataFrame:
             yield from groups(held)
         yield take()
 
-    return (members.select("key", "node", "n", "label").repartition("key").sortWithinPartitions("key", "n", "node")
+    return (members.select("key", "node", "n", "label", "sig").repartition("key").sortWithinPartitions("key", "n", "node")
             .mapInArrow(work, "a long, b long").distinct())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are alike; ``firsts(node, doc_id, text_hash)`` names a row of each node."""
+def named_sets(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, grams) of ``nodes(node)``, from one row each as ``firsts(node, doc_id, text_hash)`` names it.
+
+    Only rows that may be named are shuffled, as sets of shingles.
+    """
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([shingles(t).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["node", "grams"])
+            [batch.column(0), batch.column(2), pa.array([shingles(t).tobytes() for t in texts(batch.column(1))], pa.binary())],
+            names=["doc_id", "text_hash", "grams"])
+
+    named = nodes.join(firsts, "node").select("node", "doc_id", "text_hash")
+    own = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).toDF("doc_id", "text", "text_hash")
+    some = perhaps_in(own, row_key("doc_id", "text_hash"), named.select(row_key("doc_id", "text_hash").alias("key")), "hit")
+    sets = some.where("hit").drop("hit").mapInArrow(sliced(sets_of, 1), "doc_id long, text_hash long, grams binary").alias("s")
+    named = named.alias("m")
+    return cut_lineage(
+        sets.join(named, F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_hash") == F.col("m.text_hash")))
+        .select("m.node", "s.grams").dropDuplicates(["node"]))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike.
 
+    Pairs with the same ``a`` form stars of some hundred: the set of ``a`` is sent once a star, that of ``b`` once a pair.
+    """
     def work(batches):
+        star, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ga, gb = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            keep = pa.array([alike(x, y) for x, y in zip(ga, gb)], pa.bool_())
-            yield batch.select([0, 1]).filter(keep)
+            keep = []
+            for a, part, b, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = np.frombuffer(grams, np.uint64)
+                if b is None:
+                    star, centre = (a, part), mine
+                elif star == (a, part):
+                    keep.append(alike(centre, mine))
+                else:
+                    raise ValueError("a star without its centre")
+                if b is None:
+                    keep.append(False)
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = named_sets(nodes, docs, firsts, id_col, text_col)
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
+    rays = pairs.join(sizes, "a").select("a", part, "b")
+    rows = rays.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "grams").unionAll(
+        rays.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select(
+            "a", "part", F.lit(None).cast("long").alias("b"), "grams"))
+    return cut_lineage(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+                       .mapInArrow(work, "a long, b long"))
+
+
+def row_key(doc_id: str, text_hash: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.col(doc_id).isNull(), F.col(text_hash))
+
+
+def near_groups(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) of all nodes that have a near copy, from the :func:`sketches` of ``docs``."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    firsts = cut_lineage(rows.groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sig").alias("sig"))
+                         .select("node", "first.doc_id", "first.text_hash", "n", "fp", "sig"))
+    named = firsts.select("node", "doc_id", "text_hash")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return confirmed(pairs, docs, named, id_col, text_col)
+
+    # Fingerprints: one node stands for each, others with the same one are linked to it.
+    of_print = firsts.where("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    equal = firsts.where("n > 0").select("fp", F.col("node").alias("b")).join(of_print, "fp").where("node <> b").select(
+        F.col("node").alias("a"), "b")
+    close = fingerprint_links(of_print).join(of_print.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(
+        of_print.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b").select(
+        F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    links = confirm(cut_lineage(equal.unionAll(close).distinct()))
+    roots = cut_lineage(components(links))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(firsts, "node").select(
-        "node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.select(F.col(id_col).alias("_mine"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_own"))
-    sets = cut_lineage(own.join(named, own["_mine"].eqNullSafe(named["_id"]) & (own["_own"] == named["_hash"]))
-                       .select("node", "_text").mapInArrow(sliced(sets_of, 1), "node long, grams binary").dropDuplicates(["node"]))
-    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
-    return cut_lineage(wide.mapInArrow(work, "a long, b long"))
+    def labelled(table: DataFrame) -> DataFrame:
+        return table.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+    def apart(table: DataFrame) -> DataFrame:
+        open_keys = table.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        return table.join(open_keys.select("key"), "key", "left_semi")
+
+    keys = labelled(rows.select("node", "keys").dropDuplicates(["node"])).select("node", "label", F.explode("keys").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    members = cut_lineage(keys.join(sizes.where("lo < hi").select("key", "size"), "key")
+                          .join(firsts.select("node", "n", "sig"), "node"))
+    tried = links
+    for way in ("chains", "labels", "all"):
+        found = candidates(members, way)
+        found = cut_lineage(found if way == "chains" else found.join(tried, ["a", "b"], "left_anti"))
+        if not found.isEmpty():
+            links = links.unionAll(confirm(found))
+            roots = cut_lineage(components(links))
+        tried = tried.unionAll(found)
+        if way != "all":
+            members = members.where(F.col("size") > SMALL_GROUP) if way == "chains" else members
+            members = cut_lineage(apart(labelled(members)))
+    return roots
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,23 +292,25 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts that share 80% of their five-word shingles are linked, and a group is all that links join.
     NULL and wordless texts are one group. A NULL id comes last; of rows with the same id one with
-    the smallest hash of the text stays.
+    the smallest hash of the text stays, and of rows with the same id and text one of them. An empty
+    table stays empty, texts are read whole, and further columns may have any name.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     rows = cut_lineage(sketches(docs, id_col, text_col))
-    firsts = rows.groupBy("node").agg(first).select("node", "first.doc_id", "first.text_hash")
-    keys = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    members = cut_lineage(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
-    links = confirmed(cut_lineage(candidates(members.withColumn("label", F.col("node")), False)), docs, firsts, id_col, text_col)
-    roots = cut_lineage(components(links))
-    large = members.where(F.col("size") > SMALL_GROUP).join(roots, "node", "left").withColumn(
-        "label", F.coalesce("root", "node"))
-    apart = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = cut_lineage(candidates(large.join(apart, "key", "left_semi"), True))
-    if not rest.isEmpty():
-        roots = cut_lineage(components(links.unionAll(confirmed(rest, docs, firsts, id_col, text_col))))
-    kept = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    mine = docs.withColumn("_own", F.xxhash64(text_col))
-    one = mine.join(kept, mine[id_col].eqNullSafe(kept["_id"]) & (mine["_own"] == kept["_hash"]), "left_semi")
-    return one.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    roots = near_groups(rows, docs, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    placed = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "text_hash")
+    ids = placed.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = ids.groupBy("root").agg(F.min(order).alias("first"))
+    judged = cut_lineage(ids.join(first, "root").select(
+        "doc_id", "text_hash", "times", (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash") == F.col("first")).alias("stays")))
+    # Rows that neither go nor repeat are passed on where they lie; the rest meets its verdict by key.
+    text_hash, hit, key_id, key_hash = unused(docs, "text_hash", "hit", "key_id", "key_hash")
+    own = docs.withColumn(text_hash, F.xxhash64(text_col))
+    number = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.col(id_col).isNull(), F.col(text_hash))
+    special = judged.where("NOT stays OR times > 1").select(row_key("doc_id", "text_hash").alias("key"))
+    own = perhaps_in(own, number, special, hit)
+    kept = judged.where("stays").select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash))
+    met = own.where(F.col(hit)).join(
+        kept, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(text_hash) == F.col(key_hash)), "left_semi")
+    return own.where(~F.col(hit)).select(*docs.columns).unionAll(
+        met.dropDuplicates([id_col, text_hash]).select(*docs.columns))
