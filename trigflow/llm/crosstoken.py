@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from trigflow.llm.arrow import slices, texts
 from trigflow.session import scratch_path
 
-#: Strings whose alignment a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+#: Strings after which a worker begins to forget, the longest it remembers, and how many are aligned at once.
+REMEMBERED, LONGEST, AT_ONCE = 150_000, 64, 50_000
 #: Bytes of text whose links are stored as one row.
 SLICE_BYTES = 8 << 20
 ID_BITS = 32
@@ -26,6 +27,8 @@ ID_BITS = 32
 #: these (none is white space by any definition): strings between such places are encoded on their own.
 CUT = re.compile("(?<=[!-~¡-ɏ])(?= )")
 UNSURE = re.compile("[^!-~¡-ɏ] |^ | $")
+#: Strings whose letters and digits are told apart in the same way by any version of Unicode.
+PLAIN = re.compile("[!-~¡-ɏ]+")
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -36,11 +39,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Aligner(dict):
+class Aligner:
     """What is known of each string between cuts: its groups, links and token numbers; None where bytes differ."""
 
     def __init__(self, path_a: str, path_b: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -54,47 +56,117 @@ class Aligner(dict):
         self.bytes_a = [bytes(letters.get(c, 0) for c in e) for e in entries]
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.tables = [(np.array([len(x) for x in t]), t) for t in (self.bytes_a, self.bytes_b)]
+        # Ids as text with what follows them: within a group, at its end, and for B at the end of a string.
+        ends = [(t, end) for t, some in ((self.bytes_a, ",|"), (self.bytes_b, ",;\n")) for end in some]
+        self.said = [f"{i}{end}" for t, end in ends for i in range(len(t))]
+        self.fast = self.ranked(path_a)
+        self.known, self.before = {}, {}  # strings met of late, and those before them
+
+    def ranked(self, path: str):
+        """An encoder of ASCII and Latin strings that gives the same ids sooner, if the vocabulary's ids rank its merges."""
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if sorted(model["vocab"].get(m, -1) for m in merged) != [model["vocab"].get(m) for m in merged]:
+            return self.slow
+        import public_tokenizers
+        import tiktoken
 
-    def aligned(self, part: str) -> tuple[bytes, bytes, int] | None:
-        """Groups as text, links as packed id pairs, and both token numbers of `` `` + ``part``."""
-        a, b = self.a.encode(" " + part, add_special_tokens=False).ids, self.b.encode(part)
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
+        letters = byte_letters()
+        known = {*letters, *merged}
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t in known}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def slow(self, text: str) -> list[int]:
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def both(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Token ids of `` `` + each string by both vocabularies."""
+        return [(self.fast if PLAIN.fullmatch(p) else self.slow)(" " + p) for p in parts], self.b.encode(parts, num_threads=1)
+
+    def same(self, part: str, a: list[int], b: list[int]) -> bool:
         whole = (" " + part).encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-            return None
-        said, links, i, j, at, k, end = [], [], 0, 0, 0, 0, 0
-        for n, p in enumerate(parts_a, 1):  # no token is empty, so one of each side ends at an offset
-            at += len(p)
-            while end < at:
-                end += len(parts_b[k])
-                k += 1
-            if end == at:
-                said.append(f"{','.join(map(str, a[i:n]))}|{','.join(map(str, b[j:k]))}")
-                links.append((a[n - 1] << ID_BITS) | b[k - 1])
-                i, j = n, k
-        return ";".join(said).encode(), pack(f"<{len(links)}q", *links), (len(a) << ID_BITS) | len(b)
-
-    def __missing__(self, part: str) -> tuple[bytes, bytes, int] | None:
-        found = self.aligned(part)
-        if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = found
-        return found
-
-    def text(self, text: str) -> tuple[bytes, bytes, int] | None:
-        """As :meth:`aligned`, put together from the strings between cuts."""
-        if UNSURE.search(text):
-            parts = [p[1:] for p in CUT.split(" " + text)]
-            if len(parts) > 1 and not parts[-1].strip(" "):  # spaces at the end stay with what is before them
-                last = parts.pop()
-                parts[-1] += " " + last
-        else:
-            parts = text.split(" ")
-        found = list(map(self.__getitem__, parts))
-        if None in found:
-            return None
-        return b";".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found])
+        return b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+
+    def all_same(self, parts: list[str], n_a: np.ndarray, ids_a: np.ndarray, n_b: np.ndarray, ids_b: np.ndarray) -> bool:
+        """Whether no string has tokens whose bytes differ from its own."""
+        whole = [(" " + p).encode() for p in parts]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        for n, ids, size, table in ((n_a, ids_a, *self.tables[0]), (n_b, ids_b, *self.tables[1])):
+            upto = np.r_[0, np.cumsum(size[ids])]
+            stops = np.cumsum(n)
+            if (upto[stops] - upto[stops - n] != sizes).any() or b"".join(map(table.__getitem__, ids.tolist())) != b"".join(whole):
+                return False
+        return True
+
+    def aligned(self, parts: list[str]) -> list[tuple[bytes, bytes, int] | None]:
+        """Of each string: groups as text, links as packed id pairs, and both token numbers."""
+        if not parts:
+            return []
+        a, b = self.both(parts)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        if not self.all_same(parts, n_a, ids_a, n_b, ids_b):
+            good = [self.same(*x) for x in zip(parts, a, b)]
+            found = iter(self.aligned([p for p, ok in zip(parts, good) if ok]))
+            return [next(found) if ok else None for ok in good]
+        # All strings one after the other: no token is empty, so one of each side ends at an offset.
+        ends_a, ends_b = np.cumsum(self.tables[0][0][ids_a]), np.cumsum(self.tables[1][0][ids_b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        at_a, at_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        links = (ids_a[at_a] << ID_BITS) | ids_b[at_b]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_b = np.zeros(len(ids_b), np.int64)
+        last_b[at_b] = 1
+        last_b[np.cumsum(n_b) - 1] = 2
+        last_a = np.zeros(len(ids_a), np.int64)
+        last_a[at_a] = 1
+        # Within a group the ids of A come first: each id moves on by those of the other side before it.
+        code = np.empty(len(ids_a) + len(ids_b), np.int64)
+        code[np.arange(len(ids_a)) + np.r_[0, at_b + 1][group_a]] = last_a * len(self.bytes_a) + ids_a
+        code[np.arange(len(ids_b)) + at_a[group_b] + 1] = 2 * len(self.bytes_a) + last_b * len(self.bytes_b) + ids_b
+        said = "".join(map(self.said.__getitem__, code.tolist())).encode().split(b"\n")
+        stops = np.searchsorted(common, ends_a[np.cumsum(n_a) - 1], side="right")
+        packed, both = links.astype("<i8").tobytes(), ((n_a << ID_BITS) | n_b).tolist()
+        starts = np.r_[0, stops[:-1]]
+        return [(g, packed[8 * i:8 * j], n) for g, i, j, n in zip(said, starts.tolist(), stops.tolist(), both)]
+
+    def learn(self, parts: list[str]) -> None:
+        """From now on all of ``parts`` are known; those not met for long are forgotten."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        missing = [p for p in parts if p not in self.known]
+        again = [p for p in missing if p in self.before]
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        missing = [p for p in missing if p not in self.known]
+        for at in range(0, len(missing), AT_ONCE):
+            some = missing[at:at + AT_ONCE]
+            self.known.update(zip(some, self.aligned(some)))
+
+    def texts(self, some: list[str]) -> list[tuple[bytes, bytes, int] | None]:
+        """As :meth:`aligned` of whole texts, put together from the strings between cuts."""
+        cut = [parts_of(t) for t in some]
+        self.learn(list(set(chain.from_iterable(cut))))
+        out = []
+        for parts in cut:
+            found = list(map(self.known.__getitem__, parts))
+            out.append(None if None in found else (
+                b";".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found])))
+        for long in [p for p in self.known if len(p) > LONGEST]:
+            del self.known[long]
+        return out
+
+
+def parts_of(text: str) -> list[str]:
+    """The strings between cuts, each without the space it begins with; `` `` + text is what is cut."""
+    if not UNSURE.search(text):
+        return text.split(" ")
+    parts = [p[1:] for p in CUT.split(" " + text)]
+    if len(parts) > 1 and not parts[-1].strip(" "):  # spaces at the end stay with what is before them
+        last = parts.pop()
+        parts[-1] += " " + last
+    return parts
 
 
 #: One aligner for each pair of vocabularies and worker process.
@@ -118,8 +190,8 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 def _linked(batch: pa.RecordBatch, aligner: Aligner) -> pa.RecordBatch | None:
     """One row for a slice of distinct texts: measures of each, their links by number of the slice's pair, and pair counts."""
     keys, sums, links, times = [], [], [], []
-    for text, key, n in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-        found = aligner.text(text.decode(errors="replace"))
+    aligned = aligner.texts([t.decode(errors="replace") for t in texts(batch.column(0))])
+    for found, key, n in zip(aligned, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
         if found is None:
             continue
         groups, pairs, both = found
