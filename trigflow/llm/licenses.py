@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import ahocorasick
 import pyarrow as pa
@@ -89,7 +90,7 @@ def evaluate(expression: str) -> tuple[set[str], float]:
         if token in BINDS:
             (right, b), (left, a) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((left, a if next(iter(right)).endswith("exception") or "exception" in next(iter(right)) else a / 2))
+                stack.append((left, a if any("exception" in x for x in right) else a / 2))
             else:
                 stack.append((left | right, min(a, b) if token == "and" else max(a, b)))
         else:
@@ -97,6 +98,11 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return stack[0]
 
 
+#: What may stand around an expression on its line.
+AROUND = " \t\r*/#->\"'"
+TOKEN, IDENTIFIER = re.compile(r"[()]|[^\s()]+"), re.compile(r"[a-z0-9][a-z0-9.+-]*")
+
+
 def automaton(patterns) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for pattern in patterns:
@@ -118,39 +124,48 @@ class Scanner:
         words = text.translate(TO_WORDS).split()
         line = " " + b" ".join(words).decode() + " "
         places, base, labels, n_more = [], set(), set(), 0
+        at = blanks = 0
         for end, pattern in self.words.iter(line):
+            blanks += line.count(" ", at, end + 1)  # ends only rise, so each blank is counted once
+            at = end + 1
             label, is_base = self.phrases[pattern]
             labels.add(label)
             if is_base:
                 base.add(label)
-                places.append(line.count(" ", 0, end - len(pattern) + 1))
+                places.append(blanks - pattern.count(" "))
             else:
                 n_more += 1
         score = 1.0 - 0.5 ** min(len(places) + n_more, 50)
         if b"license" in words:
             lower = text.translate(TO_LOWER).decode()
+            line_end = -1
             for end, _ in self.tags.iter(lower):
-                stop = lower.find("\n", end)
-                rest = lower[end + 1:stop if stop >= 0 else len(lower)].strip(" \t\r*/#->\"'")
-                named, sure = evaluate(expression_at_start(rest))
+                if end >= line_end:
+                    line_end = lower.find("\n", end)
+                    line_end = line_end if line_end >= 0 else len(lower)
+                    last = len(lower[end + 1:line_end].rstrip(AROUND)) + end + 1
+                named, sure = evaluate(expression_at_start(lower, end + 1, max(last, end + 1)))
                 labels |= named
                 score = max(score, sure)
         return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)),
                 ",".join(sorted(labels)), score)
 
 
-def expression_at_start(rest: str) -> str:
-    """The longest run of tokens that can belong to a licence expression, so prose after a tag is left out."""
-    tokens = re.findall(r"[()]|[^\s()]+", rest)
+def expression_at_start(text: str, start: int = 0, stop: int = sys.maxsize) -> str:
+    """The longest run of tokens from ``start`` that can belong to a licence expression, so prose after a tag is left out."""
+    stop = min(stop, len(text))
+    while start < stop and text[start] in AROUND:
+        start += 1
     out, operand_next, depth = [], True, 0
-    for token in tokens:
+    for match in TOKEN.finditer(text, start, stop):  # read only as far as the expression goes
+        token = match.group()
         if token == "(" and operand_next:
             depth += 1
         elif token == ")" and not operand_next and depth:
             depth -= 1
         elif token in BINDS and not operand_next:
             operand_next = True
-        elif operand_next and token not in BINDS and re.fullmatch(r"[a-z0-9][a-z0-9.+-]*", token):
+        elif operand_next and token not in BINDS and IDENTIFIER.fullmatch(token):
             operand_next = False
         else:
             break
@@ -162,7 +177,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: words, places of base phrases, base labels, all labels and a score from 0 to 1.
 
     NULL and empty texts have no words, no places (first and last word NULL), empty labels and
-    score 0. Repeated rows are scanned one by one. Labels from tags are the identifiers of the
+    score 0. Repeated rows are scanned one by one, texts of any length whole; an empty table gives no rows. Labels from tags are the identifiers of the
     expression, lower-cased, without a closing ``+``.
     """
     def run(batches):

@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Fitted in one task on at most ``rows`` labelled rows that are not held out, chosen by a hash
     of the id. An id with several labels counts with its largest; NULL labels are void; the
-    text of a repeated id is its smallest.
+    text of a repeated id is its smallest. Without such rows every score is 0.5.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = (known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
@@ -115,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         data = ratio.tobytes() + weights.tobytes() + np.float64(bias).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
 
-    return bytes(sample.select("_id", "_text", "_label").coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    fitted = sample.select("_id", "_text", "_label").coalesce(1).mapInArrow(run, "model binary").first()
+    return bytes(fitted["model"]) if fitted else bytes((8 << BITS) + 8)  # without a row to learn from
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text",

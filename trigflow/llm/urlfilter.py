@@ -32,6 +32,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def short_key(digest: Column) -> Column:
+    """The first 32 bits of a hexadecimal digest as a number."""
+    return F.conv(F.substring(digest, 1, SHORT_DIGITS), 16, 10).cast("long")
+
+
 def base_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BASE_RULES, "verdict string, host string, path string")
 
@@ -44,16 +49,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     with the rule's path. The longest expression wins; of two rules with the same expression
     the one that blocks. Pages without a fitting rule get ``default`` and a NULL rule.
 
-    NULL URLs have an empty host and path and fit no rule; rules with a NULL host or path are
-    void. Repeated rows are judged row by row; empty tables give empty results.
+    NULL URLs have an empty host and path and fit no rule; a rule with an empty path fits every
+    path of its host, the empty one included; rules with a NULL host or path are void. Repeated rows are judged row by row; empty tables give empty results.
     """
     rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
         F.concat("host", "path").alias("rule"),
         F.length(F.concat("host", "path")).alias("rank"),
         F.length("path").alias("cut"),
+        F.size(F.split("host", r"\.", -1)).alias("labels"),
         (F.col("verdict") == "block").cast("int").alias("blocks"),
         F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("full"),
-    ).withColumn("short", F.substring("full", 1, SHORT_DIGITS))
+    ).withColumn("short", short_key(F.col("full")))
     # Path lengths that some rule has: distinct integers, no more than the longest rule's path.
     cuts = sorted(r[0] for r in rules.select("cut").distinct().collect())
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
@@ -67,14 +73,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     prefixes = F.transform(
         F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<int>"), lambda c: c <= F.length("path")),
         lambda c: F.substring(F.col("path"), F.lit(1), c))
-    digests = F.flatten(F.transform(hosts, lambda h: F.transform(
-        prefixes, lambda p: F.sha2(F.concat(h, F.lit("\n"), p), 256))))
-    # Rows without a URL fit nothing; equal URLs are judged once.
-    probes = (parts.where("host <> '' and path <> ''").select("_url", "host", "path").distinct()
-              .select("_url", F.explode(digests).alias("digest"))
-              .withColumn("key", F.substring("digest", 1, SHORT_DIGITS)))
-    table = F.broadcast(rules) if few else rules
-    hits = probes.join(table, (F.col("key") == F.col("short")) & (F.col("digest") == F.col("full")))
+    keys = F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(
+        prefixes, lambda p: short_key(F.sha2(F.concat(h, F.lit("\n"), p), 256))))))
+    # Rows without a host fit nothing; equal URLs are judged once. Only short prefixes are exploded and
+    # joined; the full digest of the expression that a hit stands for confirms it afterwards.
+    probes = (parts.where("host <> ''").select("_url", "host", "path").distinct()
+              .select("_url", "host", "path", F.explode(keys).alias("short")))
+    met = probes.join(F.broadcast(rules) if few else rules, "short")
+    expression = F.concat(F.expr("substring_index(host, '.', -labels)"), F.lit("\n"), F.substring(F.col("path"), F.lit(1), F.col("cut")))
+    hits = met.where(F.sha2(expression, 256) == F.col("full"))
     best = hits.groupBy("_url").agg(F.max(F.struct("rank", "blocks", "rule")).alias("best"))
     verdict = F.when(F.col("best").isNull(), default).when(F.col("best.blocks") == 1, "block").otherwise("allow")
     return parts.join(best, "_url", "left").select(
