@@ -113,10 +113,59 @@ def test_leaks(spark, make_docs):
              (52, "again"), (None, items[0][1])]
     table = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(make_docs(rows), table).collect()}
-    assert set(got) == {(50, 0), (51, 1), (52, 2), (53, 3), (53, 4)}
+    assert set(got) == {(50, 0), (51, 1), (52, 2), (53, 3), (53, 4), (None, 0)}
     assert got[50, 0].share == 1.0 and 0.8 < got[51, 1].share < 1
     assert got[50, 0].last_word == 69
-    left = {r.doc_id for r in decontaminate.drop_leaks(make_docs(rows), table).collect()}
-    assert left == {*range(20), 54, 55, 56, None}
+    left = [(r.doc_id, r.text) for r in decontaminate.drop_leaks(make_docs(rows), table).collect()]
+    assert {i for i, _ in left} == {*range(20), 52, 54, 55, 56} and (52, "again") in left and len(left) == 24
     assert decontaminate.find_leaks(make_docs([]), table).count() == 0
     assert decontaminate.find_leaks(make_docs(rows), table.limit(0)).count() == 0
+
+
+def plain_leaks(rows, items):
+    """Pairs by aligning every text with every item that has three words."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\uffff]+", (t or "").lower())
+    out = set()
+    for doc, text in rows:
+        for item_id, item in items:
+            a, b = words(item), words(text)
+            if len(a) < 3:
+                continue
+            s, full = plain_score(a, b), 2 * len(a)
+            if s >= min(16, full) and (s >= 0.45 * full or s >= 60):
+                out.add((doc, item_id))
+    return out
+
+
+def test_leaks_like_brute_force(spark, make_docs):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    # Two texts under one id, a NULL id, one text under two ids, a short item and a long one.
+    items = [(1, fill(20)), (1, fill(20)), (None, fill(20)), (3, "short item here"), (4, fill(200))]
+    items.append((5, items[0][1]))
+    alone = [(i, t) for i, (_, t) in enumerate(items[:3])]  # a corpus of nothing but copies
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make_docs(alone), table).collect()}
+    assert got == plain_leaks(alone, items) == {(0, 1), (0, 5), (1, 1), (2, None)}
+    excerpt = " ".join(items[4][1].split()[90:140])
+    rows = [(10 + i, fill(30)) for i in range(10)] + [(30, fill(5) + " " + excerpt + " " + fill(5)), (31, fill(9) + " Short item, here!"),
+            (None, fill(3) + " " + items[1][1]), (32, fill(4) + " " + items[2][1]), (32, fill(4)), (32, None)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make_docs(rows), table).collect()}
+    assert got == plain_leaks(rows, items) == {(30, 4), (31, 3), (None, 1), (32, None)}
+
+
+def test_items_of_one_template(spark, make_docs):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    head = " ".join(word() for _ in range(12))
+    items = [(k, head + " " + " ".join(word() for _ in range(12))) for k in range(40)]
+    rows = [(k, " ".join(word() for _ in range(20)) + " " + items[k][1]) for k in range(5)] + [(9, head)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    seeds = decontaminate.seeds(make_docs(rows), spark.createDataFrame(
+        [(k, decontaminate.Words().hashes(t.encode()).tobytes()) for k, t in items], "item long, words binary")).collect()
+    assert not [s for s in seeds if s["at"] < 10]  # the head leads to no item
+    best = {r.doc_id: r.item_id for r in decontaminate.find_leaks(make_docs(rows), table).collect() if r.share == 1}
+    assert best == {k: k for k in range(5)}
+    text = " ".join(word() for _ in range(60_000)) + " " + items[7][1]
+    assert [r.item_id for r in decontaminate.find_leaks(make_docs([(1, text)]), table).collect() if r.share == 1] == [7]

@@ -6,9 +6,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trigflow.llm.arrow import sliced, texts
+from trigflow.llm.arrow import sliced, slices, texts
+from trigflow.llm.columns import perhaps_in, unused
 from trigflow.session import cut_lineage
 
 SEED_WORDS = 3
@@ -18,6 +20,10 @@ RARE_WORDS = 1_000
 #: Least share of an item's best score, and least score, for a text to count as a leak.
 MIN_SHARE = 0.45
 MIN_SCORE = 16
+#: A score that makes a leak whatever the item's length: 30 words in a row, or more with edits.
+SURE_SCORE = 60
+#: The rarest seeds of an item are kept whatever the corpus; n-grams of more items than TEMPLATE are no seeds beside them.
+SURE, TEMPLATE = 3, 32
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignments computed side by side hold about this many cells a step.
 CELLS = 1 << 18
@@ -152,45 +158,54 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int
     return out
 
 
-def seeds(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_col: str = "text", text_col: str = "text",
-          n: int = SEED_WORDS, expected: float = RARE_EXPECTED) -> DataFrame:
-    """(gram, item_id, at) of the rare n-grams of all items.
+def seeds(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = SEED_WORDS,
+          expected: float = RARE_EXPECTED) -> DataFrame:
+    """(gram, item, at, size) of the seeds of ``items(item, words)``: rare n-grams, and the SURE rarest of each item.
 
     Rare means that words of these frequencies, drawn at random, would bring the n-gram to a text
     of RARE_WORDS words at most ``expected`` times. How often a leak repeats an n-gram does not
-    matter, so the seeds of a passage that stands in a third of all texts stay.
+    matter, so the seeds of a passage that stands in a third of all texts stay. An n-gram of more than
+    TEMPLATE items says little about which item is met: it counts only where it is among the rarest
+    of an item that has nothing better.
     """
     def words(batches):
-        table = Words()
         for batch in batches:
-            rows = [(i, table.hashes(t)) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)))]
-            flat = [(i, at, int(g), int(w)) for i, h in rows for at, g in enumerate(grams(h, n).view(np.int64))
+            rows = [(i, np.frombuffer(h, np.uint64)) for i, h in zip(*(c.to_pylist() for c in batch.columns))]
+            flat = [(i, at, int(g), int(w), len(h)) for i, h in rows for at, g in enumerate(grams(h, n).view(np.int64))
                     for w in h[at:at + n].view(np.int64)]
-            columns = list(zip(*flat)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "at", "gram", "word"])
+            columns = list(zip(*flat)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "at", "gram", "word", "size"])
 
-    each = cut_lineage(items.select(id_col, item_col).mapInArrow(words, "item_id long, at long, gram long, word long"))
+    each = cut_lineage(items.select("item", "words").mapInArrow(words, "item long, at long, gram long, word long, size long"))
     counts = cut_lineage(word_counts(docs, each, text_col))
     total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
     share = each.join(counts, "word", "left").withColumn("log", F.log((F.coalesce("n", F.lit(0)) + 1) / F.lit(total + 1)))
-    return (share.groupBy("item_id", "at", "gram").agg(F.sum("log").alias("log"))
-            .where(F.exp("log") * RARE_WORDS <= expected).select("gram", "item_id", "at"))
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text", min_share: float = MIN_SHARE,
-               min_score: int = MIN_SCORE) -> DataFrame:
-    """(doc_id, item_id, score, share, last_word): texts that hold copies, also edited ones, of items.
-
-    A text is a candidate for an item if both hold a rare n-gram; the passages around all shared
-    seeds are aligned with the item, and the best one is returned if its score is at least
-    ``min_share`` of the item's full score and at least ``min_score``. Words are runs of letters
-    and digits of ASCII and characters beyond it, lower-cased. NULL and empty texts and
-    items leak nothing. Rows that repeat an id count as one text holding both.
-    """
-    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item")).where("item_id is not null")
-    items = items.groupBy("item_id").agg(F.max("item").alias("item"))
-    table = cut_lineage(seeds(docs, items, "item_id", "item", text_col))
+    each = share.groupBy("item", "at", "gram", "size").agg(F.sum("log").alias("log"))
+    held = each.groupBy("gram").agg(F.count_distinct("item").alias("items"))
+    common = F.col("items") > TEMPLATE
+    order = W.partitionBy("item").orderBy(common, "log", "at")  # no longer than the item
+    ranked = each.join(held, "gram").withColumn("place", F.row_number().over(order))
+    return ranked.where((F.col("place") <= SURE) | (~common & (F.exp("log") * RARE_WORDS <= expected))).select(
+        "gram", "item", "at", "size")
+
+
+def leaks_of_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str,
+                  min_share: float, min_score: int) -> DataFrame:
+    """(doc_id, text_hash, item_id, score, share, last_word) of each distinct row and item: as :func:`find_leaks`."""
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = Words()
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([known.hashes(t).tobytes() for t in texts(batch.column(1))], pa.binary())],
+            names=["item", "words"])
+
+    # An item is its text, whatever its ids; a document its id and text.
+    items = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text <> ''")
+    named = items.select(F.xxhash64("text").alias("item"), "item_id").distinct()
+    items = cut_lineage(items.select(F.xxhash64("text").alias("item"), "text").dropDuplicates(["item"]).mapInArrow(
+        sliced(split, 1), "item long, words binary"))
+    docs = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).toDF("doc_id", "text", "text_hash")
+    docs = docs.withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_hash"))
+    table = cut_lineage(seeds(docs, items))
     bits = BitTable(table, "gram")
 
     def hits(batches):
@@ -199,64 +214,111 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             out_row, out_gram, out_at = [], [], []
             for i, text in enumerate(texts(batch.column(1))):
-                h = known.hashes(text)
-                g = grams(h)
+                g = grams(known.hashes(text))
                 hit = places(g)
                 out_row += [i] * len(hit)
                 out_gram.append(g[hit].view(np.int64))
                 out_at.append(hit)
-            ids = batch.column(0).cast(pa.int64()).take(pa.array(out_row, pa.int64()))
             empty = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(out_gram or empty)),
-                                               pa.array(np.concatenate(out_at or empty))], names=["doc_id", "gram", "place"])
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(out_row, pa.int64())), pa.array(np.concatenate(out_gram or empty)),
+                 pa.array(np.concatenate(out_at or empty))], names=["row", "gram", "place"])
 
         yield from sliced(work, 1)(batches)
 
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = docs.mapInArrow(hits, "doc_id long, gram long, place long")
-    starts = (found.join(table, "gram").groupBy("doc_id", "item_id")
+    found = docs.select("row", "text").mapInArrow(hits, "row long, gram long, place long")
+    starts = (found.join(table, "gram").groupBy("row", "item", "size")
               .agg(F.collect_set(F.col("place") - F.col("at")).alias("starts")))  # no more than the text has words
-    full = starts.join(items, "item_id")
-    each = full.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "starts")).alias("items"))
-    scored = docs.join(each, "doc_id").select("doc_id", "text", "items")
+    # Numbers only: the items' texts meet the passages that are cut for them.
+    each = cut_lineage(starts.groupBy("row").agg(F.collect_list(F.struct("item", "size", "starts")).alias("met")))
 
-    def score(batches):
+    def cut(batches):
         known = Words()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            pairs, said = [], []
-            for doc, text, some in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
+            owner, item, begin, passage = [], [], [], []
+            for i, (text, met) in enumerate(zip(texts(batch.column(2)), batch.column(3).to_pylist())):
                 h = known.hashes(text)
-                for x in some:
-                    item = known.hashes((x["item"] or "").encode())
-                    reach = []
+                for x in met:
+                    reach, more = [], MARGIN + x["size"] // 4
                     for s in sorted(x["starts"]):  # passages that overlap are one
-                        a, b = max(0, s - MARGIN - len(item) // 4), min(len(h), s + len(item) + MARGIN + len(item) // 4)
+                        a, b = max(0, s - more), min(len(h), s + x["size"] + more)
                         if reach and a <= reach[-1][1]:
                             reach[-1][1] = max(b, reach[-1][1])
                         else:
                             reach.append([a, b])
                     for a, b in reach:
-                        pairs.append((item, h[a:b]))
-                        said.append((doc, x["item_id"], len(item), a))
-            rows = [(d, i, s, s / (MATCH * size), a + e - 1) for (d, i, size, a), (s, e) in zip(said, align_all(pairs))
-                    if s >= min_score and s >= min_share * MATCH * size]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                              names=["doc_id", "item_id", "score", "share", "last_word"])
+                        owner.append(i)
+                        item.append(x["item"])
+                        begin.append(a)
+                        passage.append(h[a:b].tobytes())
+            take = pa.array(owner, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(item, pa.int64()), pa.array(begin, pa.int64()),
+                 pa.array(passage, pa.binary())], names=["doc_id", "text_hash", "item", "begin", "passage"])
 
-        yield from sliced(work, 1)(batches)
+        yield from sliced(work, 2)(batches)
+
+    some = perhaps_in(docs, F.col("row"), each.select("row"), "hit").where("hit").join(each, "row")
+    passages = some.select("doc_id", "text_hash", "text", "met").mapInArrow(
+        cut, "doc_id long, text_hash long, item long, begin long, passage binary")
 
+    def score(batches):
+        for whole in batches:
+            for batch in slices(whole, 4):
+                pairs = [(np.frombuffer(w, np.uint64), np.frombuffer(p, np.uint64))
+                         for w, p in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist())]
+                found = np.array(align_all(pairs), np.int64).reshape(-1, 2)
+                full = MATCH * np.array([len(w) for w, _ in pairs], np.int64)
+                share = found[:, 0] / np.maximum(full, 1)
+                good = (found[:, 0] >= np.minimum(min_score, full)) & ((share >= min_share) | (found[:, 0] >= SURE_SCORE))
+                last = batch.column(3).to_numpy() + found[:, 1] - 1
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(found[:, 0]), pa.array(share), pa.array(last)],
+                    names=["doc_id", "text_hash", "item", "score", "share", "last_word"]).filter(pa.array(good))
+
+    best = F.max(F.struct("score", "share", "last_word")).alias("best")
+    scored = (passages.join(items, "item").select("doc_id", "text_hash", "item", "begin", "passage", "words")
+              .mapInArrow(score, "doc_id long, text_hash long, item long, score long, share double, last_word long")
+              .groupBy("doc_id", "text_hash", "item").agg(best))
+    return scored.join(named, "item").select("doc_id", "text_hash", "item_id", "best.*")
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               item_id_col: str = "item_id", item_text_col: str = "text", min_share: float = MIN_SHARE,
+               min_score: int = MIN_SCORE) -> DataFrame:
+    """(doc_id, item_id, score, share, last_word): texts that hold copies, also edited ones, of items.
+
+    A text is a candidate for an item if both hold a seed; the passages around all shared seeds are
+    aligned with the item, and the best one is returned if its score is at least ``min_score`` (or an
+    item's full score, where that is less) and either ``min_share`` of the item's full score or
+    SURE_SCORE, so an excerpt of some 30 words of a long item is found too. Words are runs of letters
+    and digits of ASCII and characters beyond it, lower-cased.
+
+    NULL and empty texts and items, and items of fewer words than a seed, leak nothing. A NULL id is an
+    id like any other. Of texts under one id each is searched, and each of the items under one id;
+    the best of them is returned, so (doc_id, item_id) never repeats. Empty tables give no rows, long
+    texts are read whole, other columns play no part.
+    """
+    found = leaks_of_rows(docs, items, id_col, text_col, item_id_col, item_text_col, min_share, min_score)
     best = F.max(F.struct("score", "share", "last_word")).alias("best")
-    return (scored.mapInArrow(score, "doc_id long, item_id long, score long, share double, last_word long")
-            .groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"))
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
 
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+               item_text_col: str = "text", min_share: float = MIN_SHARE, min_score: int = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no leak as :func:`find_leaks` finds it.
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose id :func:`find_leaks` does not return. NULL ids stay."""
-    leaks = find_leaks(docs, items, id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col) == F.col("_leak"), "left_anti")
+    Of rows that repeat an id those without a leak stay. Columns may have any name.
+    """
+    leaks = cut_lineage(leaks_of_rows(docs, items, id_col, text_col, item_id_col, item_text_col, min_share, min_score)
+                        .select("doc_id", "text_hash").distinct())
+    text_hash, hit, key_id, key_hash = unused(docs, "text_hash", "hit", "key_id", "key_hash")
+    own = perhaps_in(docs.withColumn(text_hash, F.xxhash64(text_col)), F.col(text_hash), leaks.select("text_hash"), hit)
+    named = leaks.select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash))
+    met = own.where(F.col(hit)).join(
+        named, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(text_hash) == F.col(key_hash)), "left_anti")
+    return own.where(~F.col(hit)).select(*docs.columns).unionAll(met.select(*docs.columns))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
