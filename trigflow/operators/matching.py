@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trigflow.operators.running import running_sums
 from trigflow.session import cut_lineage
 
 BLOCK_VALUES = 4_000_000  # units x vector length held at once for one side of a block pair
 TILE_VALUES = 2_000_000  # correlations held at once, however many units the blocks have
+GRID = 32  # parts of all intervals at whose ends two distributions are compared for a bound
 PAIR = ["subject", "session_a", "session_b", "unit_a", "unit_b"]
 
 
@@ -126,109 +126,184 @@ def match_table(scored: DataFrame, prob: str = "prob") -> DataFrame:
         F.col(prob).desc(), "session_a", "session_b", "unit_a", "unit_b")
 
 
-def interval_distance(pairs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of the intervals of each proposed pair.
-
-    ``intervals(session_id, unit_id, isi_us, n)`` are already counts per distinct value, so
-    a pair costs at most the distinct intervals of its two units.
-    """
+def _unit_arrays(waveforms: DataFrame, intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per unit: (grid, values) of its waveform in (channel, sample) order; (isi, upto) with running counts."""
     unit = ["session_id", "unit_id"]
-    total = intervals.groupBy(*unit).agg(F.sum("n").alias("total"))
-    share = intervals.join(total, unit).select(*unit, "isi_us", (F.col("n") / F.col("total")).alias("p"))
-
-    def side(tag: str, sign: float) -> DataFrame:
-        return pairs.select(*PAIR, F.col(f"session_{tag}").alias("session_id"),
-                            F.col(f"unit_{tag}").alias("unit_id")).join(share, unit).select(
-            *PAIR, "isi_us", (F.col("p") * sign).alias("d"))
-
-    steps = side("a", 1.0).unionByName(side("b", -1.0)).groupBy(*PAIR, "isi_us").agg(F.sum("d").alias("d"))
-    return running_sums(steps, PAIR, "isi_us", {"gap": "d"}).groupBy(*PAIR).agg(
-        F.max(F.abs("gap")).alias("isi_ks"))
+    wave = waveforms.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("channel", "sample", "value"))).alias("w")).select(
+        *unit, F.col("w.channel").cast("array<bigint>").alias("channel"), F.col("w.sample").cast("array<bigint>").alias("sample"),
+        F.col("w.value").cast("array<double>").alias("value"))
+    isi = intervals.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("isi_us", "n"))).alias("i")).select(
+        *unit, F.col("i.isi_us").cast("array<bigint>").alias("isi"), F.col("i.n").cast("array<double>").alias("n"))
+    return wave, isi
+
+
+def _correlation(a: tuple, b: tuple) -> float | None:
+    """Pearson correlation over the channels and samples both units have; None without a spread or a common sample."""
+    if any(x is None for x in (*a, *b)):
+        return None
+    grid_a, grid_b = (np.stack([x[0], x[1]], axis=1) for x in (a, b))
+    va, vb = np.asarray(a[2], float), np.asarray(b[2], float)
+    if grid_a.shape != grid_b.shape or (grid_a != grid_b).any():
+        place = {tuple(g): i for i, g in enumerate(grid_b.tolist())}
+        both = [(i, place[tuple(g)]) for i, g in enumerate(grid_a.tolist()) if tuple(g) in place]
+        va, vb = va[[i for i, _ in both]], vb[[j for _, j in both]]
+    known = ~(np.isnan(va) | np.isnan(vb))
+    va, vb = va[known], vb[known]
+    if not len(va) or not np.ptp(va) or not np.ptp(vb):
+        return None
+    va, vb = va - va.mean(), vb - vb.mean()
+    return float((va * vb).sum() / np.sqrt((va * va).sum() * (vb * vb).sum()))
+
+
+def _distance(a: tuple, b: tuple) -> float:
+    """Largest gap of two cumulative shares; a unit without intervals has none of its share."""
+    shares, marks = [], np.unique(np.concatenate([x[0] for x in (a, b) if x[0] is not None] or [np.zeros(0)]))
+    if not len(marks):
+        return 1.0
+    for at, n in (a, b):
+        if at is None:
+            shares.append(np.zeros(len(marks)))
+        else:
+            upto = np.r_[0.0, np.cumsum(n)]
+            shares.append(upto[np.searchsorted(at, marks, side="right")] / upto[-1])
+    return float(np.abs(shares[0] - shares[1]).max())
 
 
 def pair_similarity(pairs: DataFrame, waveforms: DataFrame, intervals: DataFrame, rates: DataFrame) -> DataFrame:
     """waveform_corr, isi_ks, firing_rate_ratio and their mean agreement for proposed pairs.
 
-    ``waveforms(session_id, unit_id, channel, sample, value)``, ``rates(session_id,
-    unit_id, mean_rate_hz)``. The ratio is smaller over larger; the composite score is the
-    mean of the correlation, one minus the distance, and the ratio.
+    ``waveforms(session_id, unit_id, channel, sample, value)``, ``intervals(session_id, unit_id, isi_us, n)``
+    as counts per distinct value, ``rates(session_id, unit_id, mean_rate_hz)``. A unit is one row of arrays,
+    and a pair meets the arrays of both; no row per pair and sample or interval is made. isi_ks is the
+    two-sample Kolmogorov-Smirnov distance, 1 where neither unit has intervals. The ratio is
+    smaller over larger; the composite score is the mean of the correlation, one minus the distance, and the ratio.
     """
-    def of(df: DataFrame, tag: str, cols: dict[str, str]) -> DataFrame:
-        return df.select(F.col("session_id").alias(f"session_{tag}"), F.col("unit_id").alias(f"unit_{tag}"),
-                         *[F.col(c).alias(n) for c, n in cols.items()])
-
-    grid = {"channel": "channel", "sample": "sample"}
-    a = pairs.select(*PAIR).join(of(waveforms, "a", {**grid, "value": "va"}), ["session_a", "unit_a"])
-    corr = a.join(of(waveforms, "b", {**grid, "value": "vb"}), ["session_b", "unit_b", *grid]).groupBy(*PAIR).agg(
-        F.try_divide(F.covar_pop("va", "vb"), F.stddev_pop(F.when(F.col("vb").isNotNull(), F.col("va")))
-                     * F.stddev_pop(F.when(F.col("va").isNotNull(), F.col("vb")))).alias("waveform_corr"))  # NULL if flat
-    out = (
-        pairs.select(*PAIR).join(corr, PAIR, "left").join(interval_distance(pairs, intervals), PAIR, "left")
-        .join(of(rates, "a", {"mean_rate_hz": "ra"}), ["session_a", "unit_a"], "left")
-        .join(of(rates, "b", {"mean_rate_hz": "rb"}), ["session_b", "unit_b"], "left")
-    )
-    ratio = F.try_divide(F.least("ra", "rb"), F.greatest("ra", "rb"))
-    ks = F.coalesce("isi_ks", F.lit(1.0))
-    return out.select(*PAIR, "waveform_corr", ks.alias("isi_ks"), ratio.alias("firing_rate_ratio")).withColumn(
+    wave, isi = _unit_arrays(waveforms, intervals)
+    arrays = ["channel", "sample", "value", "isi", "n"]
+    units = wave.join(isi, ["session_id", "unit_id"], "full").join(
+        rates.select("session_id", "unit_id", F.col("mean_rate_hz").cast("double").alias("rate")), ["session_id", "unit_id"], "left")
+
+    def side(tag: str) -> DataFrame:
+        return units.select(F.col("session_id").alias(f"session_{tag}"), F.col("unit_id").alias(f"unit_{tag}"),
+                            *[F.col(c).alias(f"{c}_{tag}") for c in (*arrays, "rate")])
+
+    def measured(batches):
+        for frame in batches:
+            get = lambda tag, names: list(zip(*(frame[f"{c}_{tag}"] for c in names))) if len(frame) else []
+            corr = [_correlation(x, y) for x, y in zip(get("a", arrays[:3]), get("b", arrays[:3]))]
+            far = [_distance(x, y) for x, y in zip(get("a", arrays[3:]), get("b", arrays[3:]))]
+            yield frame[[*PAIR, "rate_a", "rate_b"]].assign(waveform_corr=np.array(corr, float), isi_ks=np.array(far, float))
+
+    types = dict(pairs.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in PAIR) + ", rate_a double, rate_b double, waveform_corr double, isi_ks double"
+    out = (pairs.select(*PAIR).join(side("a"), ["session_a", "unit_a"], "left").join(side("b"), ["session_b", "unit_b"], "left")
+           .mapInPandas(measured, schema))
+    ratio = F.try_divide(F.least("rate_a", "rate_b"), F.greatest("rate_a", "rate_b"))
+    corr = F.when(~F.isnan("waveform_corr"), F.col("waveform_corr"))
+    return out.select(*PAIR, corr.alias("waveform_corr"), "isi_ks", ratio.alias("firing_rate_ratio")).withColumn(
         "composite_score", (F.coalesce("waveform_corr", F.lit(0.0)) + 1 - F.col("isi_ks")
                             + F.coalesce("firing_rate_ratio", F.lit(0.0))) / 3)
 
 
-def _pairs_within_reach(units: DataFrame, rates: DataFrame, floors: DataFrame) -> DataFrame:
-    """Unit pairs whose score may reach ``floors(subject, session_a, session_b, floor)``, whatever their intervals.
+def _with_grids(units: DataFrame, intervals: DataFrame, rates: DataFrame) -> DataFrame:
+    """Units with their rate and the share of their intervals up to each of GRID marks, quantiles of all intervals."""
+    probs = [i / GRID for i in range(1, GRID)]
+    # a fixed number of marks, whatever the intervals
+    marks = intervals.agg(F.percentile_approx("isi_us", probs, 10_000).alias("m")).first()["m"] or [0]
+    marks = sorted(set(marks))
+    sums = [F.sum(F.when(F.col("isi_us") <= m, F.col("n")).otherwise(0)) / F.sum("n") for m in marks]
+    grid = intervals.groupBy("session_id", "unit_id").agg(F.array(*sums).cast("array<double>").alias("grid"))
+    rate = rates.select("session_id", "unit_id", F.col("mean_rate_hz").cast("double").alias("rate"))
+    none = F.array(*[F.lit(0.0)] * len(marks))
+    return (units.join(rate, ["session_id", "unit_id"], "left").join(grid, ["session_id", "unit_id"], "left")
+            .withColumn("grid", F.coalesce("grid", none)))
+
+
+def _reach(a: pd.DataFrame, b: pd.DataFrame, rows: slice, corr: np.ndarray, finite: np.ndarray) -> np.ndarray:
+    """Upper bounds of the composite scores of a tile.
 
-    Correlation and rate ratio are computed in the tiles; a session pair without a floor gives all its pairs.
-    An undefined correlation counts as zero, as in the score, and a ratio that is not sure as one.
+    The gap of two distributions on the grid is at most their distance. An undefined correlation
+    counts as zero, as in the score, and a ratio that is not sure as one.
+    """
+    ra, rb = a["rate"].to_numpy(float)[rows, None], b["rate"].to_numpy(float)
+    most = np.maximum(ra, rb)
+    out = np.divide(np.minimum(ra, rb), most, out=np.ones(most.shape), where=most > 0)
+    out += np.where(finite, corr, 0.0) + 1
+    ga, gb = np.stack(a["grid"].to_numpy()[rows]), np.stack(b["grid"].to_numpy())
+    gap = np.zeros(corr.shape)
+    for k in range(ga.shape[1]):
+        np.maximum(gap, np.abs(ga[:, k, None] - gb[:, k]), out=gap)
+    return (out - gap) / 3
+
+
+def _bounded_pairs(a: DataFrame, b: DataFrame, types: dict[str, str], most: int | None) -> DataFrame:
+    """Pairs of every two sessions, with the bound of their score: the ``most`` best of a tile, or all that reach the floor.
+
+    Rows of ``a`` with a floor are no units: (session_id, later, floor), once for each block pair, ``later`` as text.
     """
-    types = dict(units.dtypes)
     s, u, subj = types["session_id"], types["unit_id"], types["subject"]
-    reach = floors.groupBy("subject", F.col("session_a").alias("session_id")).agg(
-        F.collect_list(F.struct("session_b", "floor")).alias("r")).select(
-        "subject", "session_id", F.col("r.session_b").alias("later"), F.col("r.floor").alias("floors"))
-    rate = rates.select("session_id", "unit_id", F.col("mean_rate_hz").cast("double").alias("rate"))
-    a, b = _block_pairs(units.join(rate, ["session_id", "unit_id"], "left").join(reach, ["subject", "session_id"], "left"),
-                        "rate", "later", "floors")
+    cols = [*PAIR, "bound"]
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        floors = left[left["floor"].notna()]
+        left = left[left["floor"].isna()].sort_values(["session_id", "unit_id"])
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in PAIR})
-        left, right = left.sort_values(["session_id", "unit_id"]), right.sort_values(["session_id", "unit_id"])
+            return pd.DataFrame({c: [] for c in cols})
+        right = right.sort_values(["session_id", "unit_id"])
+        floor_of = dict(zip(zip(floors["session_id"], floors["later"]), floors["floor"]))
         ua, ub, subject = left["unit_id"].to_numpy(), right["unit_id"].to_numpy(), left["subject"].iloc[0]
-        ra, rb = left["rate"].to_numpy(float), right["rate"].to_numpy(float)
-        of = {x: {} if y is None else dict(zip(y, f)) for x, y, f in zip(left["session_id"], left["later"], left["floors"])}
         later, found = _runs(right["session_id"].to_numpy()), []
         for rows, corr, finite in _tiles(left, right):
-            most = np.maximum(ra[rows, None], rb)
-            ratio = np.divide(np.minimum(ra[rows, None], rb), most, out=np.ones(most.shape), where=most > 0)
-            bound = (np.where(finite, corr, 0.0) + 1 + ratio) / 3
+            bound = _reach(left, right, rows, corr, finite)
             for x, r0, r1 in _runs(left["session_id"].to_numpy()[rows]):
                 for y, c0, c1 in (run for run in later if run[0] > x):
-                    i, j = np.nonzero(bound[r0:r1, c0:c1] >= of[x].get(y, -np.inf) - 1e-6)
-                    found.append(pd.DataFrame({"subject": subject, "session_a": x, "session_b": y,
-                                               "unit_a": ua[rows.start + r0 + i], "unit_b": ub[c0 + j]}))
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in PAIR})
+                    part = bound[r0:r1, c0:c1]
+                    if most is None:
+                        cut = floor_of.get((x, str(y)), -np.inf) - 1e-6
+                    else:
+                        cut = -np.inf if part.size <= most else np.partition(part.ravel(), part.size - most)[part.size - most]
+                    i, j = np.nonzero(part >= cut)
+                    found.append(pd.DataFrame({"subject": subject, "session_a": x, "session_b": y, "unit_a": ua[rows.start + r0 + i],
+                                               "unit_b": ub[c0 + j], "bound": part[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in cols})
 
     return a.groupBy("subject", "ba", "bb").cogroup(b.groupBy("subject", "ba", "bb")).applyInPandas(
-        near, f"subject {subj}, session_a {s}, session_b {s}, unit_a {u}, unit_b {u}")
+        near, f"subject {subj}, session_a {s}, session_b {s}, unit_a {u}, unit_b {u}, bound double")
+
+
+def scored_pairs(units: DataFrame, waveforms: DataFrame, intervals: DataFrame, rates: DataFrame, k: int,
+                 first: int) -> DataFrame:
+    """Scores of pairs among which the k best of every two sessions are, by a threshold algorithm.
+
+    Every pair has an upper bound of its score from its correlation, its rate ratio and a coarse
+    grid of both interval distributions; bounds live in matrix tiles only. The ``first`` pairs with the highest
+    bound of every two sessions are scored in full; their k-th score is a floor, and only pairs whose
+    bound reaches it are scored besides. All others are proven to rank lower and never become rows.
+    """
+    by, types = ["subject", "session_a", "session_b"], dict(units.dtypes)
+    a, b = (cut_lineage(x) for x in _block_pairs(_with_grids(units, intervals, rates), "rate", "grid"))
+    w = Window.partitionBy(*by)
+    top = cut_lineage(_bounded_pairs(a.withColumns({"later": F.lit(None).cast("string"), "floor": F.lit(None).cast("double")}),
+                                     b, types, first)
+                      .withColumn("place", F.row_number().over(w.orderBy(F.desc("bound"), "unit_a", "unit_b")))
+                      .where(F.col("place") <= first))
+    scored = cut_lineage(pair_similarity(top.select(*PAIR), waveforms, intervals, rates))
+    place = F.row_number().over(w.orderBy(F.desc("composite_score"), "unit_a", "unit_b"))
+    floors = scored.withColumn("place", place).where(F.col("place") == k).select(
+        "subject", F.col("session_a").alias("session_id"), F.col("unit_a").alias("unit_id"),
+        F.col("session_b").cast("string").alias("later"), F.col("composite_score").alias("floor"))
+    tiles = a.select("subject", "ba", "bb").distinct()
+    rest = _bounded_pairs(a.unionByName(tiles.join(floors, "subject"), allowMissingColumns=True), b, types, None)
+    rest = cut_lineage(rest.join(top.select(*PAIR), PAIR, "left_anti").select(*PAIR))
+    return scored.unionAll(pair_similarity(rest, waveforms, intervals, rates))
 
 
 def top_composite(units: DataFrame, waveforms: DataFrame, intervals: DataFrame, rates: DataFrame, k: int = 5,
-                  candidates: int = 50) -> DataFrame:
-    """The k pairs of every two sessions with the highest composite score, of all pairs.
-
-    ``candidates`` pairs per two sessions come from :func:`top_matches` and are scored in full. Their
-    k-th score is a floor: every pair whose correlation and rate ratio may reach it is scored too, so
-    the k best are exact and pairs out of reach never become rows. A row is ``proven`` if the
-    candidates alone had sufficed: the score is at most (correlation + 2) / 3, and no pair with a
-    lower correlation than the last candidate's could rank before it.
+                  first: int = 20) -> DataFrame:
+    """The k pairs of every two sessions of a subject with the highest composite score, of all pairs; ids break ties.
+
+    See :func:`scored_pairs`; ``first``, at least k, changes the work and not the result.
     """
-    by = ["subject", "session_a", "session_b"]
-    w = Window.partitionBy(*by).orderBy(F.round("composite_score", 9).desc(), "unit_a", "unit_b")
-    near = cut_lineage(top_matches(units, candidates))
-    last = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("waveform_corr").alias("_least"))
-    floors = cut_lineage(pair_similarity(near.select(*PAIR), waveforms, intervals, rates).withColumn(
-        "rank", F.row_number().over(w)).where(F.col("rank") == k).select(*by, F.col("composite_score").alias("floor")))
-    pairs = cut_lineage(_pairs_within_reach(units, rates, floors))
-    scored = pair_similarity(pairs, waveforms, intervals, rates).join(last, by, "left")
-    proven = (F.coalesce("_n", F.lit(0)) < candidates) | (F.col("composite_score") >= (F.col("_least") + 2) / 3)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("proven", proven).drop("_n", "_least")
+    w = Window.partitionBy("subject", "session_a", "session_b").orderBy(F.round("composite_score", 9).desc(), "unit_a", "unit_b")
+    scored = scored_pairs(units, waveforms, intervals, rates, k, max(k, first))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

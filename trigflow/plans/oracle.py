@@ -768,7 +768,7 @@ UNION ALL SELECT v.session_id, coalesce(ix.unit_id, -1), 0, round(amp, 6), true,
 UNION ALL SELECT session_id, unit_id, n, NULL, true, 'spikes' FROM c
 UNION ALL SELECT session_id, unit_id, 0, NULL, false, 'nothing' FROM u"""
 ORACLE["q_top_composite"] = f"""WITH {CORR},
-cn AS (SELECT *, row_number() OVER (PARTITION BY subject, session_a, session_b ORDER BY round(c, 9) DESC, unit_a, unit_b) AS rn FROM pr QUALIFY rn <= 20),
+cn AS (SELECT * FROM pr),
 iv AS (SELECT vec_id, CAST(round(abs(v) * 20) AS BIGINT) AS d, count(*)::DOUBLE / 32 AS q FROM (SELECT vec_id, v, count(*) OVER (PARTITION BY vec_id) AS m FROM w) GROUP BY ALL),
 tt AS (SELECT vec_id, sum(q) AS t FROM iv GROUP BY 1), sh AS (SELECT iv.vec_id, d, q / t AS p FROM iv JOIN tt USING (vec_id)),
 st2 AS (SELECT subject, session_a, session_b, unit_a, unit_b, d, p FROM cn JOIN sh ON vec_id = unit_a UNION ALL
@@ -776,11 +776,11 @@ st2 AS (SELECT subject, session_a, session_b, unit_a, unit_b, d, p FROM cn JOIN
 ks AS (SELECT subject, session_a, session_b, unit_a, unit_b, max(abs(g)) AS k FROM (SELECT *, sum(p) OVER (
   PARTITION BY subject, session_a, session_b, unit_a, unit_b ORDER BY d) AS g FROM st2) GROUP BY ALL),
 ra AS (SELECT vec_id, sum(abs(v)) AS r FROM w GROUP BY 1),
-sc AS (SELECT cn.*, k, least(a.r, b.r) / greatest(a.r, b.r) AS ratio, (c + 1 - k + least(a.r, b.r) / greatest(a.r, b.r)) / 3 AS comp,
-  count(*) OVER z AS n, min(c) OVER z AS lc FROM cn JOIN ks USING (subject, session_a, session_b, unit_a, unit_b)
-  JOIN ra a ON a.vec_id = unit_a JOIN ra b ON b.vec_id = unit_b WINDOW z AS (PARTITION BY subject, session_a, session_b))
+sc AS (SELECT cn.*, k, least(a.r, b.r) / greatest(a.r, b.r) AS ratio, (c + 1 - k + least(a.r, b.r) / greatest(a.r, b.r)) / 3 AS comp
+  FROM cn JOIN ks USING (subject, session_a, session_b, unit_a, unit_b)
+  JOIN ra a ON a.vec_id = unit_a JOIN ra b ON b.vec_id = unit_b)
 SELECT subject, session_a, session_b, unit_a, unit_b, round(c, 6) + 0.0 AS waveform_corr, round(k, 6) AS isi_ks, round(ratio, 6) AS firing_rate_ratio,
-  round(comp, 6) + 0.0 AS composite_score, n < 20 OR comp >= (lc + 2) / 3 AS proven,
+  round(comp, 6) + 0.0 AS composite_score,
   CAST(row_number() OVER (PARTITION BY subject, session_a, session_b ORDER BY round(comp, 9) DESC, unit_a, unit_b) AS INTEGER) AS rank
 FROM sc QUALIFY rank <= 5"""
 _EVEN = CENTERS.replace("((p_partkey % 4) * 250 + (p_size % 3) * 16)::DOUBLE", """CASE WHEN right(p_brand, 1)::INTEGER % 2 = 0
