@@ -6,7 +6,7 @@ those that only share a passage before a pair leaves its task; the full sets con
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -213,17 +213,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
     def work(batches):
         star, centre = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for a, part, b, grams in zip(*(c.to_pylist() for c in batch.columns)):
-                mine = np.frombuffer(grams, np.uint64)
+            keep, sets = [], set_views(batch.column(3))
+            for k, (a, part, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
                 if b is None:
-                    star, centre = (a, part), mine
-                elif star == (a, part):
-                    keep.append(alike(centre, mine))
-                else:
+                    star, centre = (a, part), sets(k).copy()  # the batch it lies in may go before its pairs are done
+                elif star != (a, part):
                     raise ValueError("a star without its centre")
-                if b is None:
-                    keep.append(False)
+                keep.append(b is not None and alike(centre, sets(k)))
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -238,6 +234,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
                        .mapInArrow(work, "a long, b long"))
 
 
+def set_views(column: pa.Array) -> Callable[[int], np.ndarray]:
+    """The k-th set of a column of packed sets, read where it lies."""
+    stops = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return lambda k: np.frombuffer(data[stops[k]:stops[k + 1]], np.uint64)
+
+
 def row_key(doc_id: str, text_hash: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(doc_id), F.lit(-1)), F.col(doc_id).isNull(), F.col(text_hash))
 
