@@ -179,3 +179,20 @@ def test_units_are_handed_out_by_id(spark):
     rows = [("b", 2, 0), ("a", 10, 1), ("a", 2, 0), ("a", 10, 0)]
     got = sinks.ordered_units(spark.createDataFrame(rows, "session_id string, unit_id int, block_id int")).collect()
     assert [tuple(r) for r in got] == sorted(rows)
+
+
+def test_sorter_files_are_read_in_ranges(spark, tmp_path):
+    folder = tmp_path / "s"
+    folder.mkdir()
+    times, deep = np.arange(1000, dtype=np.int64), np.arange(24.0).reshape(2, 3, 4)
+    np.save(folder / "spike_times.npy", times)
+    np.save(folder / "templates.npy", np.asfortranarray(deep))
+    (folder / "spike_time.npy").write_bytes(b"replaced, and no array at all")  # must not be opened
+    (folder / "spike_clusters.npy").write_bytes(b"broken")
+    got = sorter.read_sorter_arrays(spark, str(folder), ["spike_times", "templates"], range_bytes=800)
+    assert got.rdd.getNumPartitions() == 11  # ten ranges of a hundred longs, one of doubles
+    rows = got.collect()
+    assert sorted((r.idx, r.value) for r in rows if r.array == "spike_times") == [(i, float(i)) for i in range(1000)]
+    assert {(r.idx, r.channel, r.sample): r.value for r in rows if r.array == "templates"} == {
+        (i, j, k): deep[i, j, k] for i in range(2) for j in range(3) for k in range(4)}
+    assert sorter.read_sorter_arrays(spark, str(folder), ["spike_templates"]).count() == 0

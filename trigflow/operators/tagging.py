@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ UNIT = ["session_id", "unit_id"]
 EVOKED_US = (0, 10_000)  # closed
 BASELINE_US = (-100_000, 0)  # half-open
 DEFAULT_RATE = 30_000.0
+CELL_POINTS, MOST_CELLS = 200_000, 1024  # points of a session's time cell, and cells of a session
+DRAWN_PULSES = 1_000  # pulses whose draws are packed together
 
 
 def sample_rates(laser: DataFrame, prefer: float | None = None) -> DataFrame:
@@ -201,24 +208,101 @@ def permutation_p(points: DataFrame, pulses: DataFrame, units: DataFrame, n_iter
     """
     observed = window_counts(points, pulses, *evoked, ["trigger_id"], method=method).groupBy(*UNIT).agg(
         F.sum("n").alias("observed"))
-    return _reached(observed, points, pulses, units, n_iters, evoked, method)
+    return _reached(observed, points, pulses, units, n_iters, evoked)
+
+
+def _cells(points: DataFrame) -> DataFrame:
+    """(session_id, bounds): times that cut a session's points into cells of about CELL_POINTS; none for a small one."""
+    probs = [i / MOST_CELLS for i in range(1, MOST_CELLS)]
+    step = F.greatest(F.lit(1), F.floor(MOST_CELLS / F.ceil(F.col("n") / CELL_POINTS)))
+    cuts = points.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("t_us", probs, 10_000).alias("cuts"))
+    return cuts.select("session_id", F.when(F.col("n") > CELL_POINTS, F.array_distinct(
+        F.filter("cuts", lambda x, i: (i + 1) % step == 0))).otherwise(F.array().cast("array<bigint>")).alias("bounds"))
+
+
+def drawn_counts(points: DataFrame, pulses: DataFrame, n_iters: int = 300, evoked: tuple[int, int] = EVOKED_US) -> DataFrame:
+    """(session_id, unit_id, counts): evoked points of each draw of :func:`null_onsets`, as an array over the draws.
+
+    Sessions are cut into time cells. The onsets of all draws are packed by cell, the times of a unit
+    in a cell are one sorted array, and all draws are counted where both meet: two searches a draw, no
+    row per draw and pulse. A window that crosses cells is counted in each, and the counts add up.
+    Units without points have no row, nor have units of a session too short for a draw.
+    """
+    margin = max(100_000, evoked[1] - evoked[0])
+    span = F.col("last_us") - F.col("first_us") - 2 * margin
+    bounds = cut_lineage(_cells(points))
+    usable = session_durations(points).where(span > 0).select(
+        "session_id", (F.col("first_us") + margin).alias("start"), span.alias("span")).join(bounds, "session_id")
+    kinds = dict(points.dtypes)
+    cell = F.size(F.filter("bounds", lambda x: x <= F.col("t_us")))
+    times = (points.join(bounds, "session_id").groupBy(*UNIT, cell.alias("cell"))
+             .agg(F.sort_array(F.collect_list("t_us")).alias("times")))
+
+    def draws(batches):
+        for frame in batches:
+            for at in range(0, len(frame), DRAWN_PULSES):
+                parts: dict[tuple, list] = {}
+                for r in frame.iloc[at:at + DRAWN_PULSES].itertuples(index=False):
+                    said = [":".join(x for x in (r.said, str(i), r.pulse) if x is not None) for i in range(n_iters)]
+                    onset = r.start + np.array([int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in said]) % r.span
+                    ends = [np.searchsorted(r.bounds, onset + end, side="right") for end in evoked]
+                    for c in range(int(ends[0].min()), int(ends[1].max()) + 1):
+                        here = np.flatnonzero((ends[0] <= c) & (c <= ends[1]))
+                        if len(here):
+                            parts.setdefault((r.session_id, c), []).append((here, onset[here]))
+                yield pd.DataFrame({
+                    "session_id": [k[0] for k in parts], "cell": [k[1] for k in parts],
+                    "iters": [np.concatenate([x[0] for x in v]) for v in parts.values()],
+                    "onsets": [np.concatenate([x[1] for x in v]) for v in parts.values()]})
+
+    packed = (pulses.join(usable, "session_id")
+              .select("session_id", F.col("session_id").cast("string").alias("said"), F.col("trigger_id").cast("string").alias("pulse"),
+                      "start", "span", "bounds")
+              .mapInPandas(draws, f"session_id {kinds['session_id']}, cell int, iters array<int>, onsets array<bigint>"))
+
+    def counted(batches):
+        met, iters, onsets = None, [], []
+        for batch in batches:
+            keys = list(zip(batch.column("session_id").to_pylist(), batch.column("cell").to_pylist()))
+            columns = [batch.column(c) for c in ("times", "iters", "onsets")]
+            owner, out = [], []
+            for i, key in enumerate(keys):
+                if key != met:
+                    met, iters, onsets = key, [], []
+                if not columns[0][i].is_valid:  # draws come before the units of their cell
+                    iters.append(columns[1][i].values.to_numpy())
+                    onsets.append(columns[2][i].values.to_numpy())
+                elif iters:
+                    if len(iters) > 1:
+                        iters, onsets = [np.concatenate(iters)], [np.concatenate(onsets)]
+                    t = columns[0][i].values.to_numpy()
+                    n = np.searchsorted(t, onsets[0] + evoked[1], side="right") - np.searchsorted(t, onsets[0] + evoked[0])
+                    owner.append(i)
+                    out.append(np.bincount(iters[0], n, n_iters).astype(np.int64))
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("session_id").take(take), batch.column("unit_id").take(take), pa.array(out, pa.list_(pa.int64()))],
+                names=[*UNIT, "counts"])
+
+    rows = times.unionByName(packed, allowMissingColumns=True)
+    each = rows.repartition("session_id", "cell").sortWithinPartitions("session_id", "cell", F.col("times").isNotNull()).mapInArrow(
+        counted, f"session_id {kinds['session_id']}, unit_id {kinds['unit_id']}, counts array<bigint>")
+    none = F.array_repeat(F.lit(0).cast("bigint"), n_iters)
+    added = F.aggregate(F.collect_list("counts"), none, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return each.groupBy(*UNIT).agg(added.alias("counts"))  # as many arrays as a session has cells
 
 
 def _reached(observed: DataFrame, points: DataFrame, pulses: DataFrame, units: DataFrame, n_iters: int,
-             evoked: tuple[int, int], method: str) -> DataFrame:
-    # Pairs of a draw are counted together, whichever of its onsets they belong to.
-    onsets = null_onsets(points, pulses, n_iters, evoked).drop("trigger_id")
-    drawn = window_counts(points, onsets, *evoked, ["iter"], method=method).groupBy(*UNIT, "iter").agg(
-        F.sum("n").alias("drawn"))
-    reached = drawn.join(observed, UNIT).where("drawn >= observed").groupBy(*UNIT).agg(
-        F.count(F.lit(1)).alias("reached"))
+             evoked: tuple[int, int]) -> DataFrame:
+    drawn = drawn_counts(points.select(*UNIT, "t_us"), pulses, n_iters, evoked)
+    reached = F.size(F.filter("counts", lambda c: c >= F.col("observed")))
     margin = max(100_000, evoked[1] - evoked[0])
     long_enough = session_durations(points).select(
         "session_id", (F.col("last_us") - F.col("first_us") > 2 * margin).alias("long_enough"))
     p = F.when(F.col("observed").isNull() | ~F.coalesce("long_enough", F.lit(False)), 1.0).otherwise(
-        F.coalesce("reached", F.lit(0)) / F.lit(float(n_iters)))
+        F.coalesce(F.when(F.col("counts").isNotNull(), reached), F.lit(0)) / F.lit(float(n_iters)))
     return (
-        units.select(*UNIT).join(observed, UNIT, "left").join(reached, UNIT, "left")
+        units.select(*UNIT).join(observed, UNIT, "left").join(drawn, UNIT, "left")
         .join(long_enough, "session_id", "left")
         .select(*UNIT, F.coalesce("observed", F.lit(0)).alias("observed"), p.alias("p_permutation"))
     )
@@ -243,7 +327,7 @@ def units_table(points: DataFrame, pulses: DataFrame, units: DataFrame, shapes:
     t = (
         m.withColumn("p_poisson", p_poisson)
         .join(_percentiles(responses.where("first_us is not null"), evoked), UNIT, "left")
-        .join(_reached(observed, points, pulses, units, n_iters, evoked, method).drop("observed"), UNIT, "left")
+        .join(_reached(observed, points, pulses, units, n_iters, evoked).drop("observed"), UNIT, "left")
         .withColumn("classification",
                     response_class(F.col("mean_latency_ms"), F.col("reliability"), max_latency_ms, min_reliability))
     )

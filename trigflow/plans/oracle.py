@@ -308,12 +308,12 @@ po AS (SELECT *, CASE WHEN n_pulses = 0 OR tot = 0 THEN 1.0 WHEN lam <= 0 THEN 0
   ELSE 1.0 - list_sum([exp(k * ln(lam) - lam - lgamma(k + 1)) for k in range(0, tot)]) END AS pp FROM lam),
 ons AS (SELECT t.session_id, i.iter, t.trigger_id, ext.a + 21600000000 +
     (('0x' || md5(t.session_id || ':' || i.iter || ':' || t.trigger_id)[1:15])::BIGINT % (ext.z - ext.a - 43200000000)) AS t_us
-  FROM t JOIN ext USING (session_id), (SELECT unnest(range(20)) AS iter) i WHERE ext.z - ext.a > 43200000000),
+  FROM t JOIN ext USING (session_id), (SELECT unnest(range(300)) AS iter) i WHERE ext.z - ext.a > 43200000000),
 dr AS (SELECT p.session_id, p.unit_id, o.iter, count(*) AS n FROM ons o JOIN p ON p.session_id = o.session_id
   AND p.t_us BETWEEN o.t_us AND o.t_us + {6 * H} GROUP BY ALL),
 pe AS (SELECT m.session_id, m.unit_id, m.tot AS observed,
   CASE WHEN m.tot = 0 OR any_value(ext.z - ext.a) <= 43200000000 THEN 1.0
-       ELSE round(count(*) FILTER (dr.n >= m.tot) / 20.0::DOUBLE, 6) END AS p_permutation
+       ELSE round(count(*) FILTER (dr.n >= m.tot) / 300.0::DOUBLE, 6) END AS p_permutation
   FROM m LEFT JOIN dr USING (session_id, unit_id) LEFT JOIN ext USING (session_id) GROUP BY m.session_id, m.unit_id, m.tot)
 """
 METRICS = """session_id, unit_id, n_pulses, round(lat, 6) AS mean_latency_ms, round(rel, 6) AS reliability,

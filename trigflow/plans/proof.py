@@ -308,7 +308,8 @@ def q_poisson_tail(spark, sf):
 
 @query
 def q_perm_evoked(spark, sf):
-    return _rounded(tagging.permutation_p(*_user(spark, sf), 20, EVOKED), "p_permutation")
+    """300 draws, as an analysis of record takes."""
+    return _rounded(tagging.permutation_p(*_user(spark, sf), 300, EVOKED), "p_permutation")
 
 
 @query
@@ -318,7 +319,7 @@ def q_units_table(spark, sf):
     k = F.pmod(F.col("session_id") * 7 + F.length("unit_id"), F.lit(9))
     shapes = units_.where(k % 3 > 0).select("session_id", "unit_id", (k * 90.0).alias("peak_width_us"),
                                             (k * 120.0).alias("peak_valley_us"))
-    t = tagging.units_table(points, pulses, units_, shapes, 20, 3 * 3600 * 1000.0, 0.3, EVOKED, BASE)
+    t = tagging.units_table(points, pulses, units_, shapes, 300, 3 * 3600 * 1000.0, 0.3, EVOKED, BASE)
     t = _rounded(t, *METRIC_COLS, "latency_p10_ms", "latency_p50_ms", "p_poisson", "p_permutation")
     return t.withColumn("baseline_rate_hz", F.round("baseline_rate_hz", 12)).withColumn(
         "wf_mean_fr_hz", F.round("wf_mean_fr_hz", 12))

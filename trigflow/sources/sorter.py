@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
+import json
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # File names by array, in order of preference.
 NAMES = {
@@ -18,6 +20,7 @@ NAMES = {
     "spike_times": ("spike_times.npy", "spike_time.npy"),
 }
 SLICE_ROWS = 200_000
+RANGE_BYTES = 32 << 20
 
 
 def _named(files: DataFrame) -> DataFrame:
@@ -31,39 +34,114 @@ def _named(files: DataFrame) -> DataFrame:
 
 
 def chosen_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(folder, array, rank) of the first existing name of each array per folder; contents unread."""
-    listed = spark.read.format("binaryFile").load(paths).select("path")
-    return _named(listed).groupBy("folder", "array").agg(F.min("rank").alias("rank"))
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for rec in pdf.itertuples(index=False):
-            a = np.load(io.BytesIO(rec.content), allow_pickle=False)
-            flat = a.reshape(-1)
-            shape = a.shape if rec.array == "templates" and a.ndim == 3 else None
-            for lo in range(0, flat.size, SLICE_ROWS):
-                pos = np.arange(lo, min(lo + SLICE_ROWS, flat.size))
-                out = pd.DataFrame({"folder": rec.folder, "array": rec.array, "rank": rec.rank, "idx": pos,
-                                    "value": flat[pos].astype(float)})
-                if shape:
-                    t, ch, s = np.unravel_index(pos, shape)
-                    out = out.assign(idx=t, channel=ch, sample=s)
+    """(folder, array, rank, path, length) of the first existing name of each array per folder; contents unread."""
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length")
+    first = F.min(F.struct("rank", "path", "length")).alias("first")
+    return _named(listed).groupBy("folder", "array").agg(first).select("folder", "array", "first.*")
+
+
+@dataclass
+class Range(InputPartition):
+    """Elements [start, start + count) of one file's array."""
+
+    folder: str
+    array: str
+    path: str
+    body: int
+    dtype: str
+    shape: tuple
+    fortran: bool
+    start: int
+    count: int
+
+
+def _opened(path: str):
+    """A seekable file of any store that Arrow knows."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    store, name = pyarrow.fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def _header(path: str) -> tuple[int, np.dtype, tuple, bool]:
+    """Where the body begins, its type, shape and order: the first few bytes of a file."""
+    with _opened(path) as file:
+        version = np.lib.format.read_magic(file)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, fortran, dtype = read(file)
+        if dtype.hasobject:
+            raise ValueError(f"{path} holds objects, not numbers")
+        return file.tell(), dtype, shape, fortran
+
+
+class NpyReader(DataSourceReader):
+    """Byte ranges of ``.npy`` bodies as partitions, so a file of any size is read by as many tasks as it needs."""
+
+    def __init__(self, options: dict):
+        self.files = json.loads(options["files"])
+        self.size = int(options.get("rangebytes", RANGE_BYTES))
+
+    def partitions(self):
+        out = []
+        for folder, array, path in self.files:
+            body, dtype, shape, fortran = _header(path)
+            total, step = int(np.prod(shape, dtype=np.int64)), max(1, self.size // dtype.itemsize)
+            out += [Range(folder, array, path, body, dtype.str, shape, fortran, at, min(step, total - at))
+                    for at in range(0, total, step)]
+        return out or [Range("", "", "", 0, "<i4", (0,), False, 0, 0)]
+
+    def read(self, part: Range):
+        if not part.count:
+            return
+        dtype = np.dtype(part.dtype)
+        deep = part.array == "templates" and len(part.shape) == 3
+        with _opened(part.path) as file:
+            for at in range(part.start, part.start + part.count, SLICE_ROWS):
+                n = min(SLICE_ROWS, part.start + part.count - at)
+                file.seek(part.body + at * dtype.itemsize)
+                value = np.frombuffer(file.read(n * dtype.itemsize), dtype).astype(float)
+                place = np.unravel_index(np.arange(at, at + n), part.shape, order="F" if part.fortran else "C")
+                if deep:
+                    idx, channel, sample = place
                 else:
-                    out = out.assign(channel=-1, sample=-1)
-                yield out
+                    idx = np.ravel_multi_index(place, part.shape)
+                    channel = sample = np.full(n, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.folder] * n), pa.array([part.array] * n), pa.array(idx, pa.int64()),
+                     pa.array(channel, pa.int32()), pa.array(sample, pa.int32()), pa.array(value)],
+                    names=["folder", "array", "idx", "channel", "sample", "value"])
 
 
-def read_sorter_arrays(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(folder, array, idx, channel, sample, value).
+class NpyArrays(DataSource):
+    """Format ``npy_arrays``: option ``files`` is a JSON list of [folder, array, path], ``rangeBytes`` the most a task reads."""
 
-    Files are decoded where they are read, in slices, so contents are never shuffled;
-    rows of a name that a preferred one replaces are dropped afterwards.
+    @classmethod
+    def name(cls) -> str:
+        return "npy_arrays"
+
+    def schema(self) -> str:
+        return "folder string, array string, idx bigint, channel int, sample int, value double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return NpyReader(self.options)
+
+
+def read_sorter_arrays(spark: SparkSession, paths: str | list[str], arrays: list[str] | None = None,
+                       range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(folder, array, idx, channel, sample, value) of the arrays below ``paths``, or of those named.
+
+    Files that a preferred name replaces, and arrays not asked for, are never opened. Of the others
+    the header is read once, and their bodies are dealt to tasks in ranges of ``range_bytes``, so no task
+    holds more and no file is too large. ``arrays`` is the way to choose them: filters are not pushed into a
+    Python source, as Spark 4.1 hands the last one to all scans of a self-join. Memory of the driver
+    grows with the number of files, as with Spark's own listings.
     """
-    content = _named(spark.read.format("binaryFile").load(paths).select("path", "content"))
-    rows = content.select("folder", "array", "rank", "content").mapInPandas(
-        _rows, "folder string, array string, rank int, idx bigint, channel int, sample int, value double")
-    return rows.join(chosen_files(spark, paths), ["folder", "array", "rank"], "left_semi").drop("rank")
+    chosen = chosen_files(spark, paths)
+    if arrays is not None:
+        chosen = chosen.where(F.col("array").isin(arrays))
+    files = [[r["folder"], r["array"], r["path"]] for r in chosen.select("folder", "array", "path").collect()]
+    spark.dataSource.register(NpyArrays)
+    return spark.read.format("npy_arrays").options(files=json.dumps(sorted(files)), rangeBytes=str(range_bytes)).load()
 
 
 def sorter_tables(arrays: DataFrame) -> dict[str, DataFrame]:
