@@ -79,8 +79,10 @@ def test_both_counting_methods_agree_with_brute_force(spark, edges):
     trg = [(str(s), i, float(t)) for i, (s, t) in enumerate(zip(rng.integers(0, 2, 60), times(60)))]
     grid = bin_grid((-0.5, 1.0), 0.05, edges)
     want = reference_counts(pts, trg, grid)
-    for method in ("pairs", "ranks"):
-        got = align.pair_counts(points(spark, pts), triggers(spark, trg), grid, method)
+    few, many = align.split_by_density(points(spark, pts), triggers(spark, trg), grid.lo, grid.hi, 3)
+    assert few.count() and many.count()
+    for method in ("pairs", "ranks", "auto"):
+        got = align.pair_counts(points(spark, pts), triggers(spark, trg), grid, method, 3)
         assert {(r.session_id, r.unit_id, r.bin): r.n_pairs for r in got.collect()} == want
 
 

@@ -45,15 +45,35 @@ def _window_bits(lo: int, hi: int) -> int:
     return max(1, int(hi - lo).bit_length())
 
 
+def split_by_density(points: DataFrame, triggers: DataFrame, lo: int, hi: int, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Points whose time bucket is met by at most ``dense`` triggers' windows, and those met by more; others drop out.
+
+    The choice is made by counts per bucket inside the plan, on the keys of :func:`range_join`.
+    """
+    bits = _window_bits(lo, hi)
+    buckets = F.sequence(F.shiftright(F.col("t_us") + lo, bits), F.shiftright(F.col("t_us") + hi, bits))
+    met = triggers.where(F.col("t_us").isNotNull()).select("session_id", F.explode(buckets).alias("bucket")).groupBy(
+        "session_id", "bucket").agg(F.count(F.lit(1)).alias("met"))
+    marked = points.withColumn("bucket", F.shiftright("t_us", bits)).join(met, ["session_id", "bucket"])
+    return tuple(marked.where(c).drop("bucket", "met") for c in (F.col("met") <= dense, F.col("met") > dense))
+
+
 def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
-                method: str = "pairs") -> DataFrame:
+                method: str = "pairs", dense: int | None = None) -> DataFrame:
     """(session, unit, bin, n_pairs) of points around triggers, where there are pairs.
 
     ``pairs`` joins and counts: work grows with the matches. ``ranks`` forms no pair:
     with N(x) the number of triggers up to x, a point p has ``N(p - b_k) - N(p - b_(k+1))``
     triggers in bin k, so work grows with points * bins + triggers whatever the density.
-    Both give the same rows; pairs are cheaper up to some dozen triggers in a window.
+    Both give the same rows; pairs are cheaper up to some dozen triggers in a window. ``auto``
+    chooses for each time bucket: points in a bucket that more than ``dense`` windows meet (four times
+    the bins by default) are counted by ranks, the others by pairs, and the counts are added up.
     """
+    if method == "auto":
+        own = points.select("session_id", "unit_id", "t_us")
+        few, many = split_by_density(own, triggers, grid.lo, grid.hi, 4 * (grid.n_bins + 1) if dense is None else dense)
+        both = pair_counts(few, triggers, grid, "pairs").unionByName(pair_counts(many, triggers, grid, "ranks"))
+        return both.groupBy("session_id", "unit_id", "bin").agg(F.sum("n_pairs").alias("n_pairs"))
     if method == "pairs":
         pairs = range_join(points.select("session_id", "unit_id", "t_us"),
                            triggers.select("session_id", "t_us"), grid.lo, grid.hi)

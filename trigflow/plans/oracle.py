@@ -54,6 +54,8 @@ SELECT 'all' AS session_id, CAST(least((p.t_us - t.t_us + {H}) // 600000000, 11)
 FROM p JOIN t ON p.t_us - t.t_us BETWEEN {-H} AND {H} GROUP BY ALL
 """
 
+ORACLE["q_pair_counts_mixed"] = ORACLE["q_pair_counts_by_rank"]
+
 ORACLE["q_trials_matrix"] = f"""
 WITH ev AS ({EV}), p AS ({USER_PTS}), t AS ({USER_TRG})
 SELECT p.session_id, t.trigger_id, p.unit_id,

@@ -90,6 +90,13 @@ def q_pair_counts_by_rank(spark, sf):
     return counts.groupBy("session_id", "bin").agg(F.sum("n_pairs").alias("n_pairs"))
 
 
+@query
+def q_pair_counts_mixed(spark, sf):
+    """The same, each time bucket in the way its number of triggers asks for; both kinds occur."""
+    counts = align.pair_counts(tb.global_points(spark, sf), tb.global_triggers(spark, sf), GLOBAL_GRID, "auto", 12)
+    return counts.groupBy("session_id", "bin").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
 @query
 def q_trials_matrix(spark, sf):
     out = align.trials_matrix(tb.user_points(spark, sf), tb.user_triggers(spark, sf), USER_GRID)
