@@ -92,3 +92,18 @@ def test_intervals_of_slow_and_fast_units(spark):
     for per_cell in (4096, 50):
         got = {(r.unit_id, r.isi_us): r.n for r in inter_point_intervals(df, per_cell).collect()}
         assert got == want
+
+
+def test_an_outlier_gathers_no_unit_in_one_cell(spark):
+    from trigflow.operators import units
+
+    rng = np.random.default_rng(4)
+    times = np.unique(np.r_[rng.integers(0, 10**6, 6000), 10**15])  # all but one point in a billionth of the time
+    df = spark.createDataFrame([("s", 1, int(t)) for t in times], "session_id string, unit_id int, t_us bigint")
+    want = {}
+    for d in np.diff(times).tolist():
+        want[d] = want.get(d, 0) + 1
+    assert {r.isi_us: r.n for r in units.inter_point_intervals(df, 100).collect()} == want
+    cells = units.in_cells(df, 100).groupBy("cell").agg(F.count("*").alias("n"), F.min("t_us").alias("a"), F.max("t_us").alias("z"))
+    rows = cells.orderBy("cell").collect()
+    assert max(r.n for r in rows) <= 300 and all(x.z < y.a for x, y in zip(rows, rows[1:]))

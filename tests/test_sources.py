@@ -3,6 +3,8 @@ import json
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from trigflow.functions.ticks import bin_grid
 from trigflow.operators import manifest, probe
 from trigflow.plans import analyses
@@ -76,6 +78,33 @@ def test_event_response_and_cache(spark, tables, tmp_path):
     assert analyses.event_response(tables, "Hit", grid).first().n_trials == 6
 
 
+def test_cache_is_consulted(spark, tables, tmp_path, monkeypatch):
+    grid, root = bin_grid((-0.5, 1.0), 0.5), str(tmp_path / "cache")
+    plain = analyses.event_response(tables, "Change_ON", grid)
+    columns = ["session_id", "unit_id", "bin", "rate_hz", "n_trials"]
+    want = sorted(map(tuple, plain.select(*columns).collect()))
+    one = {**tables, "sessions": tables["sessions"].where("session_id = 'AB_012_260325'")}
+    calls, whole = [], analyses.event_response
+    monkeypatch.setattr(analyses, "event_response", lambda t, *a: calls.append({r[0] for r in t["sessions"].select("session_id").collect()}) or whole(t, *a))
+    analyses.cached_event_response(spark, one, "Change_ON", root, grid)
+    got = analyses.cached_event_response(spark, tables, "Change_ON", root, grid)
+    assert sorted(map(tuple, got.select(*columns).collect())) == want
+    every = {r[0] for r in tables["sessions"].select("session_id").collect()}
+    assert calls == [{"AB_012_260325"}, every - {"AB_012_260325"}]  # only what is new
+    unread = {name: t if name == "sessions" else None for name, t in tables.items()}
+    again = analyses.cached_event_response(spark, unread, "Change_ON", root, grid)  # no spikes to read
+    assert sorted(map(tuple, again.select(*columns).collect())) == want and len(calls) == 2
+    files = len(spark.read.parquet(f"{root}/rows").inputFiles())
+    other = analyses.cached_event_response(spark, tables, "Change_ON", root, bin_grid((-0.5, 1.0), 0.25), sigma=1.0)
+    assert other.where("rate_smoothed is null").count() == 0 and other.select("bin").distinct().count() == 6 and len(calls) == 3
+    back = analyses.cached_event_response(spark, unread, "Change_ON", root, grid)
+    assert sorted(map(tuple, back.select(*columns).collect())) == want
+    assert len(spark.read.parquet(f"{root}/rows").inputFiles()) > files
+    # Rows of a run that died before its entries are not read.
+    spark.read.parquet(f"{root}/rows").withColumn("batch", F.lit("lost")).write.mode("append").parquet(f"{root}/rows")
+    assert analyses.cached_event_response(spark, unread, "Change_ON", root, grid).count() == len(want)
+
+
 def test_choice_analysis(tables):
     got = analyses.choice_analysis(tables, bin_grid((-0.5, 1.0), 0.25), n_permutations=19)
     eff = got["effects"].collect()
@@ -98,6 +127,9 @@ def test_response_tagging_blocks(spark):
     assert got["units"].first().reliability == pytest.approx(0.6)
     rel = {r.block_id: r.reliability for r in got["block_units"].collect()}
     assert rel == {0: 1.0, 1: 0.0}
+    shapes = spark.createDataFrame([("s", 1, 100.0, 300.0)], "session_id string, unit_id int, peak_width_us double, peak_valley_us double")
+    got = analyses.response_tagging(spikes, laser, shapes, n_iters=5, split_blocks=True, method="pairs")
+    assert {(r.block_id, r.wf_peak_width_us) for r in got["block_units"].collect()} == {(0, 100.0), (1, 100.0)}
 
 
 def test_report_guard(spark, tmp_path):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trigflow.operators.running import collapse
 
+PARTS = 64  # parts of equal count into which a unit's times are cut
+
 
 def session_durations(points: DataFrame) -> DataFrame:
     """Seconds from the first to the last point of a session; 1 when there is no extent, at least 1 ms."""
@@ -17,19 +19,33 @@ def session_durations(points: DataFrame) -> DataFrame:
     )
 
 
+def in_cells(points: DataFrame, per_cell: int) -> DataFrame:
+    """(session, unit, t_us, n, cell): distinct times of each unit in cells of some ``per_cell`` that follow the time."""
+    by = ["session_id", "unit_id"]
+    probs = [i / PARTS for i in range(1, PARTS)]
+    cut = points.groupBy(*by).agg(F.min("t_us").alias("_lo"), F.max("t_us").alias("_hi"), F.count("t_us").alias("_n"),
+                                  F.percentile_approx("t_us", probs, 1000).alias("_cuts"))
+    none = F.array().cast("array<bigint>")
+    cut = cut.withColumn("_cuts", F.when(F.col("_n") > per_cell, F.array_distinct("_cuts")).otherwise(none))
+    part = F.size(F.filter("_cuts", lambda c: c <= F.col("t_us")))
+    low = F.coalesce(F.get("_cuts", F.col("_part") - 1), F.col("_lo"))
+    high = F.coalesce(F.get("_cuts", F.col("_part")), F.col("_hi") + 1)
+    slices = F.greatest(F.ceil(F.col("_n") / PARTS / per_cell), F.lit(1))
+    place = F.floor((F.col("t_us") - low) / (high - low) * slices)
+    return collapse(points, [*by, "t_us"]).join(cut, by).withColumn("_part", part).withColumn(
+        "cell", F.col("_part") * slices + place).drop("_lo", "_hi", "_n", "_cuts", "_part")
+
+
 def inter_point_intervals(points: DataFrame, per_cell: int = 4096) -> DataFrame:
     """Intervals between successive points of a unit as (session, unit, isi_us, n).
 
-    Copies of one time give zero intervals. A unit's recording is cut into as many equal
-    cells as make ``per_cell`` points each on average; times are ordered inside cells, and
-    the interval across cells comes from the cells' first and last times. So neither a fast
-    unit's points nor a slow unit's cells are sorted in one task.
+    Copies of one time give zero intervals. A unit of more than ``per_cell`` points is cut at
+    approximate quantiles of its own times, and long parts into equal slices, so that cells hold some
+    ``per_cell`` points each wherever the points crowd. Times are ordered inside cells, and the
+    interval across cells comes from the cells' first and last times, so no unit is sorted in one task.
     """
     by = ["session_id", "unit_id"]
-    shape = points.groupBy(*by).agg(F.min("t_us").alias("_lo"), F.max("t_us").alias("_hi"), F.count("t_us").alias("_n"))
-    share = (F.col("t_us") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    times = collapse(points, [*by, "t_us"]).join(shape, by).withColumn(
-        "cell", F.floor(share * F.ceil(F.col("_n") / per_cell))).drop("_lo", "_hi", "_n")
+    times = in_cells(points, per_cell)
     prev = F.lag("t_us").over(Window.partitionBy(*by, "cell").orderBy("t_us"))
     inside = times.withColumn("prev", prev).select(*by, F.explode(F.array(
         F.struct((F.col("t_us") - F.col("prev")).alias("isi_us"), F.lit(1).cast("bigint").alias("n")),

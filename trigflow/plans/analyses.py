@@ -5,12 +5,13 @@ Each takes the normalised tables of any number of sessions and returns lazy Data
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import BinGrid, bin_grid
 from trigflow.operators import align, directions, population, tagging, trials
 from trigflow.session import cut_lineage
+from trigflow.sources.sinks import cached_responses
 
 Tables = dict[str, DataFrame]
 
@@ -25,6 +26,21 @@ def event_response(tables: Tables, event: str, grid: BinGrid | None = None,
     return align.peth(points, triggers, units, grid)
 
 
+def cached_event_response(spark: SparkSession, tables: Tables, event: str, root: str, grid: BinGrid | None = None,
+                          use_good_only: bool = True, sigma: float | None = None) -> DataFrame:
+    """:func:`event_response` through the cache at ``root``: sessions it knows for these settings are not computed.
+
+    Caches of good and of all units need roots of their own.
+    """
+    grid = grid or bin_grid((-0.5, 1.0), 0.01)
+
+    def compute(sessions: DataFrame) -> DataFrame:
+        some = {name: t.join(sessions, "session_id", "left_semi") if "session_id" in t.columns else t for name, t in tables.items()}
+        return event_response(some, event, grid, use_good_only)
+
+    return cached_responses(spark, root, tables["sessions"], compute, event, grid, sigma)
+
+
 def choice_analysis(tables: Tables, grid: BinGrid | None = None, n_permutations: int = 20, reg: float = 1.0,
                     use_good_only: bool = True, contrast: tuple[str, ...] | None = None,
                     strict_baseline: bool = False) -> dict[str, DataFrame]:
@@ -96,7 +112,7 @@ def response_tagging(spikes: DataFrame, laser: DataFrame, shapes: DataFrame | No
         per = [
             tagging.units_table(
                 points, blocks.where(F.col("block_id") == b).select(
-                    "session_id", F.col("event_idx").alias("trigger_id"), "t_us"), units, None, n_iters, **params,
+                    "session_id", F.col("event_idx").alias("trigger_id"), "t_us"), units, shapes, n_iters, **params,
             ).withColumn("block_id", F.lit(b)).join(
                 blocks.where(F.col("block_id") == b).select("session_id").distinct(), "session_id", "left_semi")
             for b in (0, 1)
