@@ -241,7 +241,7 @@ def drawn_counts(points: DataFrame, pulses: DataFrame, n_iters: int = 300, evoke
     def draws(batches):
         for frame in batches:
             for at in range(0, len(frame), DRAWN_PULSES):
-                parts: dict[tuple, list] = {}
+                met: dict[tuple, list] = {}
                 for r in frame.iloc[at:at + DRAWN_PULSES].itertuples(index=False):
                     said = [":".join(x for x in (r.said, str(i), r.pulse) if x is not None) for i in range(n_iters)]
                     onset = r.start + np.array([int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in said]) % r.span
@@ -249,13 +249,16 @@ def drawn_counts(points: DataFrame, pulses: DataFrame, n_iters: int = 300, evoke
                     for c in range(int(ends[0].min()), int(ends[1].max()) + 1):
                         here = np.flatnonzero((ends[0] <= c) & (c <= ends[1]))
                         if len(here):
-                            parts.setdefault((r.session_id, c), []).append((here, onset[here]))
+                            met.setdefault((r.session_id, c), []).append((here, onset[here]))
                 yield pd.DataFrame({
-                    "session_id": [k[0] for k in parts], "cell": [k[1] for k in parts],
-                    "iters": [np.concatenate([x[0] for x in v]) for v in parts.values()],
-                    "onsets": [np.concatenate([x[1] for x in v]) for v in parts.values()]})
-
-    packed = (pulses.join(usable, "session_id")
+                    "session_id": [k[0] for k in met], "cell": [k[1] for k in met],
+                    "iters": [np.concatenate([x[0] for x in v]) for v in met.values()],
+                    "onsets": [np.concatenate([x[1] for x in v]) for v in met.values()]})
+
+    # Few bytes but much work: the number is given, so that adaptive execution does not merge the parts.
+    spark = points.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = (pulses.join(usable, "session_id").repartition(parts)
               .select("session_id", F.col("session_id").cast("string").alias("said"), F.col("trigger_id").cast("string").alias("pulse"),
                       "start", "span", "bounds")
               .mapInPandas(draws, f"session_id {kinds['session_id']}, cell int, iters array<int>, onsets array<bigint>"))
@@ -285,7 +288,7 @@ def drawn_counts(points: DataFrame, pulses: DataFrame, n_iters: int = 300, evoke
                 names=[*UNIT, "counts"])
 
     rows = times.unionByName(packed, allowMissingColumns=True)
-    each = rows.repartition("session_id", "cell").sortWithinPartitions("session_id", "cell", F.col("times").isNotNull()).mapInArrow(
+    each = rows.repartition(parts, "session_id", "cell").sortWithinPartitions("session_id", "cell", F.col("times").isNotNull()).mapInArrow(
         counted, f"session_id {kinds['session_id']}, unit_id {kinds['unit_id']}, counts array<bigint>")
     none = F.array_repeat(F.lit(0).cast("bigint"), n_iters)
     added = F.aggregate(F.collect_list("counts"), none, lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
