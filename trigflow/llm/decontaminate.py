@@ -322,4 +322,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` that hold copies of ``benchmark`` items."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

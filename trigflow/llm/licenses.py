@@ -197,4 +197,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and expressions in all ``documents``."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -232,11 +232,15 @@ def _last_at_most(array: str, value: str):
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all texts with their places; see :func:`pieces` and :func:`place`. No rows for an empty table."""
+    """Pieces of all texts with their places; see :func:`pieces` and :func:`place`.
+
+    Rows that repeat an id, and those with a NULL id, are packed one by one. No rows for an empty table.
+    """
     return place(cut_lineage(pieces(docs, tokenizer_path, id_col, text_col, capacity)), capacity)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as token pieces packed into sequences of 2048."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

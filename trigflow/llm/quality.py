@@ -182,6 +182,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules on all ``documents``."""
     rows = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.withColumn("long_repeat", F.col("longest_repeat") > MAX_LONGEST).drop("longest_repeat")
 

@@ -383,6 +383,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all ``documents`` that lie in 200-byte strings which also start elsewhere."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

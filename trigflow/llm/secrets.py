@@ -183,6 +183,7 @@ def redact_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``, each content scanned once into a ledger."""
     history = versions(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] < len(BASE_RULES))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigflow.llm.arrow import sliced, texts
+from trigflow.llm.columns import unused
 from trigflow.llm.graph import components
 from trigflow.session import cut_lineage
 
@@ -201,12 +202,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A NULL id comes last; of rows with the same id one with the smallest hash of the text stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    key_id, key_hash, own = unused(docs, "key_id", "key_hash", "own")
     kept = near_copies(docs, id_col, text_col, bits).groupBy("root").agg(first).select(
-        F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    mine = docs.withColumn("_own", F.xxhash64(text_col))
-    one = mine.join(kept, mine[id_col].eqNullSafe(kept["_id"]) & (mine["_own"] == kept["_hash"]), "left_semi")
-    return one.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+        F.col("first.doc_id").alias(key_id), F.col("first.text_hash").alias(key_hash))
+    one = docs.withColumn(own, F.xxhash64(text_col)).join(
+        kept, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_hash)), "left_semi")
+    return one.dropDuplicates([id_col, own]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents`` within four bits."""
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))

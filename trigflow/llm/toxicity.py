@@ -153,5 +153,6 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents`` from ``labels`` that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

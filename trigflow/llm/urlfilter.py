@@ -89,6 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the base rules on all ``pages``."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), base_rules(spark))
 
 

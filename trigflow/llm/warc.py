@@ -244,6 +244,7 @@ def archive(pages: DataFrame, folder: str, min_bytes: int = 0, **columns: str) -
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return archive(pages, scratch_path(spark, "warc")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
