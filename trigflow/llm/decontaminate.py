@@ -260,8 +260,9 @@ def leaks_of_rows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str,
         yield from sliced(work, 2)(batches)
 
     some = perhaps_in(docs, F.col("row"), each.select("row"), "hit").where("hit").join(each, "row")
-    passages = some.select("doc_id", "text_hash", "text", "met").mapInArrow(
-        cut, "doc_id long, text_hash long, item long, begin long, passage binary")
+    # Written before they are scored, so that a task never needs two Python workers at a time.
+    passages = cut_lineage(some.select("doc_id", "text_hash", "text", "met").mapInArrow(
+        cut, "doc_id long, text_hash long, item long, begin long, passage binary"))
 
     def score(batches):
         for whole in batches:
