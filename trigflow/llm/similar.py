@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trigflow.llm.arrow import sliced, texts
+from trigflow.llm.arrow import give_back, sliced, texts
 from trigflow.llm.columns import perhaps_in, unused
 from trigflow.llm.graph import components
 from trigflow.llm.simhash import fingerprint_links
@@ -180,6 +180,8 @@ def candidates(members: DataFrame, way: str) -> DataFrame:
         if held and len(held[0]):
             yield from groups(held)
         yield take()
+        held.clear()
+        give_back()
 
     return (members.select("key", "node", "n", "label", "sig").repartition("key").sortWithinPartitions("key", "n", "node")
             .mapInArrow(work, "a long, b long").distinct())
@@ -221,6 +223,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
                     raise ValueError("a star without its centre")
                 keep.append(b is not None and alike(centre, sets(k)))
             yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = named_sets(nodes, docs, firsts, id_col, text_col)
