@@ -164,3 +164,28 @@ def test_good_unit_choice(spark):
     assert as_set(align.good_units(u, s)) == {("a", 2), ("b", 1)}
     assert as_set(align.good_units(u, s, use_good_only=False)) == {("a", 1), ("a", 2), ("b", 1)}
     assert as_set(align.good_units(u, s, explicit=u.where("unit_id = 1"))) == {("a", 1), ("b", 1)}
+
+
+def test_full_slabs_are_dealt_out_and_counts_add_up(spark, monkeypatch):
+    # One crowded slab of few units, one of many, triggers that repeat, and rows that cannot match.
+    monkeypatch.setattr(align, "SLAB_POINTS", 40)
+    monkeypatch.setattr(align, "SLAB_TRIGGERS", 25)
+    rng = np.random.default_rng(11)
+    pts = [("a", int(u), float(t)) for u, t in zip(rng.integers(0, 2, 300), np.round(rng.uniform(0, 70, 300), 2))]
+    pts += [("b", int(u), float(t)) for u, t in zip(rng.integers(0, 99, 200), np.round(rng.uniform(-50, 200, 200), 2))]
+    trg = [(s, i, float(t)) for i, (s, t) in enumerate(zip(rng.choice(["a", "b", "c"], 200), np.round(rng.uniform(0, 70, 200), 1)))]
+    grid = bin_grid((-0.5, 1.0), 0.05)
+    want = reference_counts(pts, trg, grid)
+    odd = spark.createDataFrame([(None, 1, 5 * US), ("a", 1, None)], PT)
+    got = align.pair_counts(points(spark, pts).unionByName(odd), triggers(spark, [*trg, ("a", 999, None), (None, 1, 5.0)]), grid, "ranks")
+    assert {(r.session_id, r.unit_id, r.bin): r.n_pairs for r in got.collect()} == want
+    n = {r.session_id: r.n_pairs for r in align.count_pairs(points(spark, pts), triggers(spark, trg), grid.lo, grid.hi).collect()}
+    assert n == {s: sum(v for k, v in want.items() if k[0] == s) for s in "ab"}
+
+
+@pytest.mark.parametrize("name", ["q_peth_global", "q_smooth", "q_range_pairs", "q_psth"])
+def test_dense_queries_form_no_pairs(spark, name):
+    from trigflow.plans.proof import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "trig_t_us" not in plan and "bucket" not in plan

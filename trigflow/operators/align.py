@@ -6,13 +6,21 @@ Tables use ``session_id``, ``unit_id``, ``t_us`` (points) and ``session_id``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import TICKS_PER_SECOND, BinGrid
-from trigflow.operators.running import cell_bits, collapse, marks_up_to, summed_marks_up_to
+from trigflow.operators.running import cell_bits, collapse, heavy_cells, marks_up_to
 
-SESSION = ["session_id"]
+SLAB_BITS = 6  # a slab of time is 64 windows long
+SLAB_POINTS, SLAB_TRIGGERS = 500_000, 2_000_000  # of a slab in one group; fuller ones are split
+SLICE_COUNTS = 1 << 22  # counts held at once by a task
+CHUNKS = 64  # rows of packed points in a group
 
 
 def range_join(points: DataFrame, triggers: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -64,7 +72,7 @@ def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
 
     ``pairs`` joins and counts: work grows with the matches. ``ranks`` forms no pair:
     with N(x) the number of triggers up to x, a point p has ``N(p - b_k) - N(p - b_(k+1))``
-    triggers in bin k, so work grows with points * bins + triggers whatever the density.
+    triggers in bin k, so work grows with points * bins + triggers whatever the density (:func:`unit_counts`).
     Both give the same rows; pairs are cheaper up to some dozen triggers in a window. ``auto``
     chooses for each time bucket: points in a bucket that more than ``dense`` windows meet (four times
     the bins by default) are counted by ranks, the others by pairs, and the counts are added up.
@@ -79,22 +87,140 @@ def pair_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid,
                            triggers.select("session_id", "t_us"), grid.lo, grid.hi)
         return pairs.groupBy("session_id", "unit_id", grid.index_of(F.col("rel_us")).alias("bin")).agg(
             F.count(F.lit(1)).alias("n_pairs"))
-    marks = collapse(triggers.where(F.col("t_us").isNotNull()).select("session_id", F.col("t_us").alias("x")),
-                     ["session_id", "x"])
-    bounds = F.array(*[F.lit(b).cast("bigint") for b in grid.bounds])
-    probes = (
-        points.select("session_id", "unit_id", F.lit(1).cast("bigint").alias("w"), "t_us",
-                      F.posexplode(bounds).alias("k", "b"))
-        .select("session_id", "unit_id", "w", "k", (F.col("t_us") - F.col("b")).alias("x"))
+    return unit_counts(points, triggers, grid).select(
+        "session_id", "unit_id", F.posexplode("counts").alias("bin", "n_pairs")).where("n_pairs > 0")
+
+
+def fixed_parts(df: DataFrame) -> int:
+    """A number of parts for few bytes with much work, which adaptive execution would merge."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def key_runs(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, stop) of each run of rows that agree in the first columns."""
+    edge = np.zeros(max(len(batch) - 1, 0), bool)
+    for c in batch.columns[:n_keys]:
+        edge |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    starts = [0, *(np.flatnonzero(edge) + 1).tolist()] if len(batch) else []
+    for s, e in zip(starts, [*starts[1:], len(batch)]):
+        yield tuple(c[s].as_py() for c in batch.columns[:n_keys]), s, e
+
+
+def _counted_by_unit(bounds: np.ndarray) -> Callable:
+    """Counts per unit and bin of groups (session, slab, share, part); rows of triggers come before those of points."""
+    most = max(1024, SLICE_COUNTS // (len(bounds) - 1))
+
+    def count(times, weights, units, at):
+        t, n = np.concatenate(times), np.concatenate(weights)
+        order = np.argsort(t)
+        t, upto = t[order], np.r_[0, np.cumsum(n[order])]
+        coded = pa.chunked_array(units).combine_chunks().dictionary_encode(null_encoding="encode")
+        points = np.concatenate(at)
+        order = np.argsort(points)
+        points, code = points[order], coded.indices.to_numpy()[order]
+        out = np.zeros((len(coded.dictionary), len(bounds) - 1), np.int64)
+        before = upto[np.searchsorted(t, points - bounds[0], side="right")]
+        for k, bound in enumerate(bounds[1:].tolist()):
+            after = upto[np.searchsorted(t, points - bound, side="right")]
+            out[:, k] = np.bincount(code, before - after, len(out))
+            before = after
+        met = np.flatnonzero(out.any(axis=1))
+        return coded.dictionary.take(pa.array(met)), out[met]
+
+    def work(batches):
+        met, kind, times, weights, units, at, held, done, ready = None, None, [], [], [], [], 0, [], 0
+
+        def close():
+            nonlocal units, at, held, ready
+            if times and units:
+                unit, counts = count(times, weights, units, at)
+                done.append(pa.RecordBatch.from_arrays(
+                    [pa.array([met[0]] * len(unit), kind), unit,
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1) * counts.shape[1], pa.int32()), pa.array(counts.ravel()))],
+                    names=["session_id", "unit_id", "counts"]))
+                ready += counts.size
+            units, at, held = [], [], 0
+
+        for batch in batches:
+            kind = batch.column(0).type
+            packed = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            for key, s, e in key_runs(batch, 4):
+                if key != met:
+                    close()
+                    met, times, weights = key, [], []
+                m = s + int(packed[s:e].sum())
+                if m > s:
+                    times.append(batch.column(4).slice(s, m - s).flatten().to_numpy())
+                    weights.append(batch.column(5).slice(s, m - s).flatten().to_numpy())
+                for x in range(m, e) if times else ():
+                    units.append(batch.column(6).slice(x, 1).flatten())
+                    at.append(batch.column(4).slice(x, 1).flatten().to_numpy())
+                    held += len(at[-1])
+                    if held >= most:
+                        close()
+                if ready >= SLICE_COUNTS:
+                    yield from done
+                    done, ready = [], 0
+        close()
+        yield from pa.Table.from_batches(done).combine_chunks().to_batches() if done else ()
+
+    return work
+
+
+def unit_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid) -> DataFrame:
+    """(session, unit, counts): pairs in each bin of every unit that has one, as an array over the bins.
+
+    No pair is formed: with N(x) the number of triggers up to x, a point p has ``N(p - b_k) - N(p - b_(k+1))``
+    triggers in bin k. Points meet the sorted times of the triggers in slabs of 64 windows, and rows of counts leave
+    a slab once a unit. A slab with many points is dealt out by unit (times too where it has fewer units than
+    parts), one with many trigger times by these; the counts add up. Both kinds of full slabs are at most some
+    hundreds, because each holds that share of all rows, so they are broadcast.
+    """
+    bits = _window_bits(grid.lo, grid.hi) + SLAB_BITS
+    at = ["session_id", "slab"]
+    pts = points.where("session_id is not null and t_us is not null").select(
+        "session_id", "unit_id", "t_us", F.shiftright("t_us", bits).alias("slab"))
+    trg = collapse(triggers.where("t_us is not null").select("session_id", "t_us"), ["session_id", "t_us"]).withColumn(
+        "slab", F.explode(F.sequence(F.shiftright(F.col("t_us") + grid.lo, bits), F.shiftright(F.col("t_us") + grid.hi, bits))))
+    full = F.broadcast(heavy_cells(collapse(pts, at), at, min_rows=SLAB_POINTS).withColumnRenamed("salts", "parts"))
+    units = pts.join(full, at, "left_semi").groupBy(*at).agg(F.approx_count_distinct("unit_id").alias("units"))
+    full = F.broadcast(full.join(units, at).select(*at, "parts", F.ceil(F.col("parts") / F.greatest("units", F.lit(1))).alias("cuts")))
+    crowded = F.broadcast(heavy_cells(collapse(trg, at), at, min_rows=SLAB_TRIGGERS).withColumnRenamed("salts", "shares"))
+    parts, shares, cuts = (F.coalesce(c, F.lit(1)) for c in ("parts", "shares", "cuts"))
+    packed = (
+        trg.join(crowded, at, "left")
+        .groupBy(*at, F.pmod(F.xxhash64("t_us"), shares).cast("int").alias("share"), F.shiftright("t_us", bits - 8).alias("fine"))
+        .agg(F.collect_list(F.struct("t_us", "n")).alias("met"))
+        .join(full, at, "left")
+        .select("session_id", "slab", "share", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"),
+                F.col("met.t_us").alias("times"), F.col("met.n").alias("weights"))
     )
-    sums = summed_marks_up_to(marks, probes, SESSION, ["unit_id", "k"],
-                              cell_bits(grid.hi - grid.lo))
-    nxt = F.lead("s").over(Window.partitionBy("session_id", "unit_id").orderBy("k"))
-    return (
-        sums.withColumn("n_pairs", (F.col("s") - nxt).cast("bigint"))
-        .where((F.col("k") < grid.n_bins) & (F.col("n_pairs") > 0))
-        .select("session_id", "unit_id", F.col("k").alias("bin"), "n_pairs")
+    salt = F.pmod(F.xxhash64("t_us"), cuts)
+    dealt = (
+        pts.join(full, at, "left").join(crowded, at, "left")
+        .select("session_id", "slab", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"),
+                F.pmod(F.xxhash64("unit_id", salt), parts).cast("int").alias("part"),
+                F.pmod(F.hash("unit_id", salt), F.lit(CHUNKS)).alias("chunk"), "unit_id", "t_us")
+        .groupBy(*at, "share", "part", "chunk").agg(F.collect_list(F.struct("unit_id", "t_us")).alias("met"))
+        .select(*at, "share", "part", F.col("met.t_us").alias("times"), F.col("met.unit_id").alias("units"))
     )
+    group = ["session_id", "slab", "share", "part"]
+    rows = packed.unionByName(dealt, allowMissingColumns=True).repartition(fixed_parts(points), *group)
+    kinds = dict(points.dtypes)
+    each = rows.sortWithinPartitions(*group, F.col("weights").isNull()).mapInArrow(
+        _counted_by_unit(np.array(grid.bounds, np.int64)),
+        f"session_id {kinds['session_id']}, unit_id {kinds['unit_id']}, counts array<bigint>")
+    held = F.collect_list("counts")  # as many arrays as a session has slabs, times the parts of a unit in a full one
+    added = F.aggregate(F.slice(held, 2, F.size(held)), F.get(held, F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return each.groupBy("session_id", "unit_id").agg(added.alias("counts"))
+
+
+def count_pairs(points: DataFrame, triggers: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(session, n_pairs): how many rows :func:`range_join` has, from running counts, so that no pair is formed."""
+    some = points.select("session_id", F.pmod(F.xxhash64("t_us"), F.lit(256)).alias("unit_id"), "t_us")
+    counts = unit_counts(some, triggers, BinGrid((lo, hi + 1), (0.0,), (hi + 1 - lo) / TICKS_PER_SECOND, True))
+    return counts.groupBy("session_id").agg(F.sum(F.get("counts", F.lit(0))).alias("n_pairs"))
 
 
 def trigger_counts(triggers: DataFrame) -> DataFrame:
@@ -116,23 +242,31 @@ def peth(points: DataFrame, triggers: DataFrame, units: DataFrame, grid: BinGrid
     Points of units not listed are counted but leave with the left join to the grid;
     restrict ``points`` first where many would be counted in vain.
     """
-    counts = pair_counts(points, triggers, grid, method)
     n = F.coalesce(F.col("n_trials"), F.lit(0))
     rate = F.when(n == 0, F.lit(0.0)).otherwise(
         F.coalesce(F.col("n_pairs"), F.lit(0)) / (n * F.lit(grid.bin_seconds))
     )
-    return (
-        unit_bin_grid(units, grid.n_bins)
-        .join(counts, ["session_id", "unit_id", "bin"], "left")
-        .join(trigger_counts(triggers), "session_id", "left")
-        .select("session_id", "unit_id", "bin", grid.center_of(F.col("bin")).alias("bin_center"),
-                rate.alias("rate_hz"), n.alias("n_trials"))
-    )
-
-
-def psth(points: DataFrame, triggers: DataFrame, units: DataFrame, grid: BinGrid) -> DataFrame:
+    if method == "ranks":  # bins stay in an array up to here, so no row per bin is shuffled
+        none = F.array_repeat(F.lit(0).cast("bigint"), grid.n_bins)
+        filled = (
+            units.select("session_id", "unit_id").join(unit_counts(points, triggers, grid), ["session_id", "unit_id"], "left")
+            .join(trigger_counts(triggers), "session_id", "left")
+            .select("session_id", "unit_id", "n_trials", F.posexplode(F.coalesce("counts", none)).alias("bin", "n_pairs"))
+        )
+    else:
+        filled = (
+            unit_bin_grid(units, grid.n_bins)
+            .join(pair_counts(points, triggers, grid, method), ["session_id", "unit_id", "bin"], "left")
+            .join(trigger_counts(triggers), "session_id", "left")
+        )
+    return filled.select("session_id", "unit_id", "bin", grid.center_of(F.col("bin")).alias("bin_center"),
+                         rate.alias("rate_hz"), n.alias("n_trials"))
+
+
+def psth(points: DataFrame, triggers: DataFrame, units: DataFrame, grid: BinGrid,
+         method: str = "pairs") -> DataFrame:
     """Fine-binned rate per unit; as :func:`peth` with at least one trial assumed."""
-    out = peth(points, triggers, units, grid)
+    out = peth(points, triggers, units, grid, method)
     return out.withColumn("n_trials", F.greatest(F.col("n_trials"), F.lit(1)))
 
 
