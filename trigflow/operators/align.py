@@ -181,7 +181,7 @@ def unit_counts(points: DataFrame, triggers: DataFrame, grid: BinGrid) -> DataFr
     at = ["session_id", "slab"]
     pts = points.where("session_id is not null and t_us is not null").select(
         "session_id", "unit_id", "t_us", F.shiftright("t_us", bits).alias("slab"))
-    trg = collapse(triggers.where("t_us is not null").select("session_id", "t_us"), ["session_id", "t_us"]).withColumn(
+    trg = collapse(triggers.where("session_id is not null and t_us is not null").select("session_id", "t_us"), ["session_id", "t_us"]).withColumn(
         "slab", F.explode(F.sequence(F.shiftright(F.col("t_us") + grid.lo, bits), F.shiftright(F.col("t_us") + grid.hi, bits))))
     full = F.broadcast(heavy_cells(collapse(pts, at), at, min_rows=SLAB_POINTS).withColumnRenamed("salts", "parts"))
     units = pts.join(full, at, "left_semi").groupBy(*at).agg(F.approx_count_distinct("unit_id").alias("units"))
