@@ -137,3 +137,17 @@ def test_a_session_of_one_class_stays_whatever_the_permutations(spark):
         alone = [r for r in got if r.session_id == "only"]
         assert all(r.effect is None and r.mean1 is None and r.p_value is None and r.mean0 == 0.0 for r in alone)
         assert all((r.p_value is None) == (n == 0) for r in got if r.session_id == "s")
+
+
+def test_population_is_dealt_out_in_more_parts_as_it_grows(spark, monkeypatch):
+    from trigflow.operators import running
+    from trigflow.plans import tables
+
+    def sorted_rows():
+        return sorted(map(tuple, tables.population(spark, "/root/testdata/sf0.001").collect()))
+
+    few = sorted_rows()
+    monkeypatch.setattr(running, "PART_ROWS", 500)
+    pop = tables.population(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in pop._jdf.queryExecution().executedPlan().toString()
+    assert few == sorted_rows()

@@ -16,13 +16,15 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trigflow.operators.population import dense_unit_index, project
-from trigflow.operators.running import kth_smallest, ntile_of, row_rank
+from trigflow.operators.align import fixed_parts
+from trigflow.operators.population import broadcast_if_few, dense_unit_index, project
+from trigflow.operators.running import dealt, kth_smallest, ntile_of, row_rank
 from trigflow.operators.tagging import hash60
 from trigflow.session import cut_lineage
 
 CHUNK_CELLS = 2_000_000  # trials x units held at once by a task
 GRAM, PLAIN = -2, -1  # moment kinds below the label sets 0, 1, 2, …
+PART_TRIALS = 100_000  # trials whose rows make up a part, where chunks are dealt out
 WORD = 62  # label sets packed into one BIGINT
 
 
@@ -121,13 +123,17 @@ def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame, n_sets: int, n
         "session_id", "nu", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
     words = _packed("ys", n_sets)
     tagged = labels.select("session_id", "trial_idx", "fold", *words)
+    n_trials = labels.count()
+    cells = dealt(pop, "session_id", "trial_idx", rows=max(1, 4 * n_trials))
     rows = (
-        pop.join(tagged, ["session_id", "trial_idx"]).join(index, ["session_id", "unit_id"]).join(size, "session_id")
+        cells.join(tagged, ["session_id", "trial_idx"]).join(broadcast_if_few(index), ["session_id", "unit_id"])
+        .join(broadcast_if_few(size), "session_id")
         .select("session_id", "bin", F.pmod(F.xxhash64("trial_idx"), F.col("chunks")).cast("int").alias("chunk"),
                 "nu", "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"),
                 *[f"bits{i}" for i in range(len(words))])
     )
-    parts = rows.groupBy("session_id", "bin", "chunk").applyInPandas(
+    chunk = ["session_id", "bin", "chunk"]
+    parts = rows.repartition(max(fixed_parts(pop), -(-n_trials // PART_TRIALS)), *chunk).groupBy(*chunk).applyInPandas(
         _chunk_moments(n_sets),
         f"session_id {session}, bin int, fold int, kind int, at int, values array<double>")
     sums = parts.groupBy("session_id", "bin", "fold", "kind", "at").agg(

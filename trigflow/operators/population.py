@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from trigflow.functions.tdist import t_p_value
 from trigflow.functions.ticks import BinGrid
+from trigflow.session import cut_lineage
 
 INF = float("inf")
+BROADCAST_ROWS = 200_000
 
 
 def condition_average(pop: DataFrame, trials: DataFrame, units: DataFrame, n_bins: int = 1,
@@ -48,10 +50,16 @@ def mean_direction(averages: DataFrame, a: str, b: str, cond: str = "cond") -> D
     return unit_vector(diff.where("weight is not null"))
 
 
+def broadcast_if_few(table: DataFrame) -> DataFrame:
+    """The table as computed once, broadcast up to BROADCAST_ROWS rows; a join on its few keys would gather a unit in a task."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def project(pop: DataFrame, weights: DataFrame, by: Sequence[str] = ("trial_idx", "bin")) -> DataFrame:
     """Dot product over units per trial (and bin); only trials with a point have a row."""
     on = [c for c in ("session_id", "bin", "unit_id", "fold") if c in weights.columns and c in pop.columns]
-    return pop.join(weights, on).groupBy("session_id", *by).agg(
+    return pop.join(broadcast_if_few(weights), on).groupBy("session_id", *by).agg(
         F.sum(F.col("rate") * F.col("weight")).alias("proj"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1.0 / 256
 QUANTILES, SLICES = 32, 128  # cells of an order statistic: parts of a key, slices of a part
 HEAVY_MIN_ROWS = 200_000
+PART_ROWS = 500_000  # rows of a part where sorts and hash tables of nearly distinct keys follow
 
 UNB, CUR = Window.unboundedPreceding, Window.currentRow
 
@@ -35,6 +36,16 @@ def collapse(df: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(n))
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Dealt out by keys in parts of about PART_ROWS rows (of ``rows`` in all, else counted).
+
+    Parts by bytes grow with the input until they hold some millions of narrow rows, and a join with a grouping by
+    nearly distinct keys then keeps four copies of them in the task. Here the number of parts grows instead.
+    """
+    wanted = -(-(rows or df.count()) // PART_ROWS)
+    return df.repartition(wanted, *keys) if wanted > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def heavy_cells(counts: DataFrame, by: Sequence[str], share: float = HEAVY_SHARE,
                 min_rows: int = HEAVY_MIN_ROWS, n: str = "n") -> DataFrame:
     """Rows of ``counts`` above ``share`` of the total, with a salt count.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import timestamp_to_ticks
-from trigflow.operators.running import row_rank
+from trigflow.operators.running import dealt, row_rank
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,7 +113,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("trial_idx"), F.col("o_orderpriority").alias("session_id"))
     return (
-        lines.join(orders, "trial_idx")
+        dealt(lines, "trial_idx").join(orders, "trial_idx")
         .groupBy("session_id", "trial_idx", (F.col("m") - 1).alias("bin"), "unit_id")
         .agg(F.sum("l_quantity").alias("rate"))
     )
