@@ -123,3 +123,12 @@ def test_class_rules(spark):
     assert [r[0] for r in df.select(waveform_class(df.w, df.v, df.f)).collect()] == ["SPN", "FSI", "Other", "Other"]
     df = spark.createDataFrame([(6.0, 0.5), (6.1, 0.9), (2.0, 0.4), (None, 0.9)], "l double, r double")
     assert [r[0] for r in df.select(response_class(df.l, df.r)).collect()] == ["opto", "none", "none", "none"]
+
+
+def test_draws_are_the_hash_of_session_draw_and_pulse(spark):
+    from pyspark.sql import functions as F
+    from trigflow.operators.tagging import draws_of, hash60
+
+    for session, pulse in (("a", "7"), ("é", "12"), ("3", None)):
+        rows = spark.range(5).select(hash60(F.lit(session), F.col("id"), F.lit(pulse)).alias("h"), "id").orderBy("id").collect()
+        assert [r.h for r in rows] == draws_of(session, 5, pulse).tolist()

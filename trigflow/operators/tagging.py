@@ -180,6 +180,14 @@ def hash60(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 15), 16, 10).cast("bigint")
 
 
+def draws_of(session: str | None, n_iters: int, pulse: str | None) -> np.ndarray:
+    """:func:`hash60` of (session, draw, pulse) for each draw."""
+    head = "" if session is None else f"{session}:"
+    tail = "" if pulse is None else f":{pulse}"
+    digests = b"".join([hashlib.md5(f"{head}{i}{tail}".encode()).digest() for i in range(n_iters)])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)
+
+
 def null_onsets(points: DataFrame, pulses: DataFrame, n_iters: int = 300,
                 evoked: tuple[int, int] = EVOKED_US) -> DataFrame:
     """Random onsets (session, iter, trigger_id, t_us), as many per draw as there are pulses.
@@ -243,8 +251,7 @@ def drawn_counts(points: DataFrame, pulses: DataFrame, n_iters: int = 300, evoke
             for at in range(0, len(frame), DRAWN_PULSES):
                 met: dict[tuple, list] = {}
                 for r in frame.iloc[at:at + DRAWN_PULSES].itertuples(index=False):
-                    said = [":".join(x for x in (r.said, str(i), r.pulse) if x is not None) for i in range(n_iters)]
-                    onset = r.start + np.array([int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in said]) % r.span
+                    onset = r.start + draws_of(r.said, n_iters, r.pulse) % r.span
                     ends = [np.searchsorted(r.bounds, onset + end, side="right") for end in evoked]
                     for c in range(int(ends[0].min()), int(ends[1].max()) + 1):
                         here = np.flatnonzero((ends[0] <= c) & (c <= ends[1]))
