@@ -98,3 +98,33 @@ def test_t_probability_against_known_quantiles():
     for t, df, p in [(12.706205, 1, 0.05), (2.228139, 10, 0.05), (2.750, 30, 0.01), (1.959964, 1e7, 0.05)]:
         assert t_two_sided(t, df) == pytest.approx(p, rel=2e-3)
     assert t_two_sided(0.0, 5) == pytest.approx(1.0) and np.isnan(t_two_sided(None, 3)[0])
+
+
+def test_span_counts_form_no_pair(spark, monkeypatch):
+    """Counts like those of the pairs, for crowded, long, empty and parted slabs; spans without points stay."""
+    from pyspark.sql import functions as F
+
+    from trigflow.operators import align
+
+    rnd = np.random.default_rng(5)
+    points = [("ab"[i % 2], int(u), int(t)) for i, (u, t) in enumerate(zip(rnd.integers(1, 5, 1200), rnd.integers(-US, 300 * US, 1200)))]
+    points += [("a", 9, 5 * US), ("a", 2, None), (None, 1, 5 * US)]
+    spans = [("ab"[k % 2], k, 1, lo, lo + int(n)) for k, (lo, n) in enumerate(zip(
+        rnd.integers(-US, 300 * US, 300).tolist(), rnd.choice([0, 9_999, 16 * US, 40 * US, 290 * US], 300)))]
+    spans += [("a", 900, 1, 10**15, 10**15 + 5), ("c", 901, 1, 0, 9)]
+    p = spark.createDataFrame(points, "session_id string, unit_id int, t_us bigint")
+    s = spark.createDataFrame(spans, "session_id string, trigger_id int, n_end_bins int, lo_us bigint, hi_us bigint")
+    index = population.dense_unit_index(p.where("unit_id < 9 and session_id is not null"))
+    units = {(r.session_id, r.u): r.unit_id for r in index.collect()}
+    want = {(r.session_id, r.trigger_id, r.unit_id): r.n for r in align.variable_range_join(p.where("unit_id < 9"), s)
+            .groupBy("session_id", "trigger_id", "unit_id").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(align, "SPAN_ROWS", 100)
+    monkeypatch.setattr(align, "SPAN_COUNTS", 30)
+    for limit in (500_000, 40):
+        monkeypatch.setattr(align, "SLAB_POINTS", limit)
+        monkeypatch.setattr(align, "SLAB_TRIGGERS", limit)
+        out = align.span_counts(p, s, index)
+        rows = out.collect()
+        assert sorted(r.trigger_id for r in rows) == sorted(x[1] for x in spans)
+        assert {(r.session_id, r.trigger_id, units[r.session_id, u]): n
+                for r in rows for u, n in enumerate(r.counts) if n} == want

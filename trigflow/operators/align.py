@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import TICKS_PER_SECOND, BinGrid
-from trigflow.operators.running import cell_bits, collapse, heavy_cells, marks_up_to
+from trigflow.operators.population import broadcast_if_few
+from trigflow.operators.running import PART_ROWS, cell_bits, collapse, heavy_cells, marks_up_to
+from trigflow.session import cut_lineage
 
 SLAB_BITS = 6  # a slab of time is 64 windows long
 SLAB_POINTS, SLAB_TRIGGERS = 500_000, 2_000_000  # of a slab in one group; fuller ones are split
 SLICE_COUNTS = 1 << 22  # counts held at once by a task
 CHUNKS = 64  # rows of packed points in a group
+SPAN_ROWS, SPAN_COUNTS = 1 << 17, 1 << 20  # rows of whole groups counted at once, and counts made at once
 
 
 def range_join(points: DataFrame, triggers: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -344,6 +347,111 @@ def variable_range_join(points: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def _counted_in_spans(n_keys: int, kept: list[str]) -> Callable:
+    """The spans of groups (session, level, slab, share, part) with the counts of the group's points by ``u``."""
+    def count(table: pa.Table):
+        edge = np.zeros(len(table), bool)
+        for c in table.columns[:n_keys]:
+            c = c.combine_chunks()
+            edge[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        group = np.cumsum(edge)
+        is_span = table["u"].is_null().to_numpy()
+        spans, points = table.filter(pa.array(is_span)), table.filter(pa.array(~is_span))
+        at, of, u = points["lo_us"].to_numpy(), group[~is_span], points["u"].to_numpy()
+        width = np.zeros(group[-1] + 1, np.int64)
+        np.maximum.at(width, of, u + 1)
+        first = np.cumsum(width) - width  # number of the first unit of a group
+        times, rank = np.unique(at, return_inverse=True)
+        steps = len(times) + 1
+        key = np.sort((first[of] + u) * steps + rank)
+        lo = np.searchsorted(times, spans["lo_us"].to_numpy(), side="left")
+        hi = np.maximum(lo, np.searchsorted(times, spans["hi_us"].to_numpy(), side="right"))
+        of = group[is_span]
+        ends = np.cumsum(width[of])
+        s = 0
+        while s < len(of):
+            done = ends[s - 1] if s else 0
+            e = max(s + 1, int(np.searchsorted(ends, done + SPAN_COUNTS, side="right")))
+            starts = np.r_[0, ends[s:e] - done]
+            row = np.repeat(np.arange(s, e), width[of[s:e]])
+            unit = (first[of[row]] + np.arange(starts[-1]) - starts[row - s]) * steps
+            n = np.searchsorted(key, unit + hi[row]) - np.searchsorted(key, unit + lo[row])
+            counts = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(n, pa.int64()))
+            out = spans.slice(s, e - s).select(kept).append_column("counts", counts)
+            yield from out.combine_chunks().to_batches()
+            s = e
+
+    def work(batches):
+        held, size, least = [], 0, SPAN_ROWS
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < least:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.slice(len(table) - 1).columns[:n_keys]
+            same = np.ones(len(table), bool)
+            for c, x in zip(table.columns[:n_keys], last):
+                same &= pc.equal(c, x[0]).to_numpy()
+            cut = int(np.argmax(same))  # the last group may go on in the next batch
+            if cut:
+                yield from count(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), len(table) - cut
+            least = max(SPAN_ROWS, 2 * size)
+        if size:
+            yield from count(pa.Table.from_batches(held))
+
+    return work
+
+
+def span_counts(points: DataFrame, spans: DataFrame, index: DataFrame) -> DataFrame:
+    """Each span ``lo_us <= t <= hi_us`` with ``counts``: points of the session in it, by ``u`` of ``index(session_id, unit_id, u)``.
+
+    No pair is formed, so work grows with points * log + spans * units whatever the density; the same counts as
+    from :func:`variable_range_join`. Zeros after a slab's last unit are left out of the array. Slabs are four times
+    as long as the longest span of their level: a span goes to the slab of its start, a point to its own slab and,
+    if spans reach it from there, to the one before. Slabs with very many points or spans are dealt out, and the
+    counts of their parts added up. ``spans`` are distinct rows with a ``trigger_id``; those without a session or an end drop out.
+    """
+    length = F.length(F.conv(F.greatest(F.col("hi_us") - F.col("lo_us"), F.lit(0)).cast("string"), 10, 16))
+    cut = spans.where("session_id is not null and lo_us is not null and hi_us is not null").withColumn(
+        "level", F.greatest(4 * length - 4, F.lit(20)).cast("int")).withColumn("slab", F.expr("shiftright(lo_us, level + 6)"))
+    levels = cut.select("session_id", "level").distinct().groupBy("session_id").agg(F.collect_list("level").alias("levels"))
+    slab = F.expr("shiftright(t_us, level + 6)")
+    reached = F.expr("t_us - shiftleft(shiftright(t_us, level + 6), level + 6) < shiftleft(1L, level + 4)")
+    pts = (
+        points.where("t_us is not null").select("session_id", "unit_id", "t_us")
+        .join(broadcast_if_few(index.join(levels, "session_id")), ["session_id", "unit_id"])
+        .select("session_id", F.col("u").cast("bigint").alias("u"), "t_us", F.explode("levels").alias("level"))
+        .withColumn("slab", F.explode(F.when(reached, F.array(slab, slab - 1)).otherwise(F.array(slab))))
+    )
+    at = ["session_id", "level", "slab"]
+    full = cut_lineage(heavy_cells(collapse(pts, at), at, min_rows=SLAB_POINTS).withColumnRenamed("salts", "parts"))
+    crowded = cut_lineage(heavy_cells(collapse(cut, at), at, min_rows=SLAB_TRIGGERS).withColumnRenamed("salts", "shares"))
+    parts, shares = (F.coalesce(c, F.lit(1)) for c in ("parts", "shares"))
+
+    def known(rows):  # at most some hundreds, as in unit_counts
+        return rows.join(F.broadcast(full), at, "left").join(F.broadcast(crowded), at, "left")
+
+    group = [*at, "share", "part"]
+    rows = known(cut).select(
+        *at, F.pmod(F.xxhash64("trigger_id", "lo_us"), shares).cast("int").alias("share"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[c for c in spans.columns if c not in at]
+    ).unionByName(known(pts).select(
+        *at, F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"),
+        F.pmod(F.xxhash64("t_us"), parts).cast("int").alias("part"), F.col("t_us").alias("lo_us"), "u"), allowMissingColumns=True)
+    wanted = max(fixed_parts(points), -(-(points.count() + spans.count()) // PART_ROWS))
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in spans.dtypes)
+    each = rows.repartition(wanted, *group).sortWithinPartitions(*group).mapInArrow(
+        _counted_in_spans(len(group), spans.columns), f"{kinds}, counts array<bigint>")
+    if full.isEmpty():
+        return each
+    held, none = F.collect_list("counts"), F.lit(0).cast("bigint")
+    added = F.aggregate(held, F.array().cast("array<bigint>"), lambda a, x: F.zip_with(
+        a, x, lambda p, q: F.coalesce(p, none) + F.coalesce(q, none)))
+    return each.groupBy(*spans.columns).agg(added.alias("counts"))
+
+
 def window_counts(points: DataFrame, triggers: DataFrame, lo: int, hi: int, ids: list[str],
                   units: DataFrame | None = None, method: str = "pairs") -> DataFrame:
     """Points of each unit in the window of each trigger: (session, unit, ids, n, first_us).

@@ -22,7 +22,7 @@ from trigflow.operators.running import dealt, kth_smallest, ntile_of, row_rank
 from trigflow.operators.tagging import hash60
 from trigflow.session import cut_lineage
 
-CHUNK_CELLS = 2_000_000  # trials x units held at once by a task
+CHUNK_CELLS = 2_000_000  # trials x units held at once by a task, an eighth of it where units are few
 GRAM, PLAIN = -2, -1  # moment kinds below the label sets 0, 1, 2, …
 PART_TRIALS = 100_000  # trials whose rows make up a part, where chunks are dealt out
 WORD = 62  # label sets packed into one BIGINT
@@ -118,15 +118,17 @@ def _moments(pop: DataFrame, labels: DataFrame, index: DataFrame, n_sets: int, n
     they are stored at -1, for every bin.
     """
     session = dict(pop.dtypes)["session_id"]
+    # A chunk sends units x units sums, so it may be the smaller the fewer units there are; small ones fill tasks evenly.
+    cells = F.least(F.lit(CHUNK_CELLS), F.greatest(F.lit(CHUNK_CELLS / 8), 8 * F.col("nu") * F.col("nu")))
     size = labels.groupBy("session_id").agg(F.count(F.lit(1)).alias("nt")).join(
         index.groupBy("session_id").agg(F.count(F.lit(1)).alias("nu")), "session_id").select(
-        "session_id", "nu", F.ceil(F.col("nt") * F.col("nu") / CHUNK_CELLS).cast("int").alias("chunks"))
+        "session_id", "nu", F.ceil(F.col("nt") * F.col("nu") / cells).cast("int").alias("chunks"))
     words = _packed("ys", n_sets)
     tagged = labels.select("session_id", "trial_idx", "fold", *words)
     n_trials = labels.count()
-    cells = dealt(pop, "session_id", "trial_idx", rows=max(1, 4 * n_trials))
+    dealt_cells = dealt(pop, "session_id", "trial_idx", rows=max(1, 4 * n_trials))
     rows = (
-        cells.join(tagged, ["session_id", "trial_idx"]).join(broadcast_if_few(index), ["session_id", "unit_id"])
+        dealt_cells.join(tagged, ["session_id", "trial_idx"]).join(broadcast_if_few(index), ["session_id", "unit_id"])
         .join(broadcast_if_few(size), "session_id")
         .select("session_id", "bin", F.pmod(F.xxhash64("trial_idx"), F.col("chunks")).cast("int").alias("chunk"),
                 "nu", "fold", "trial_idx", "u", F.col("rate").cast("double").alias("rate"),

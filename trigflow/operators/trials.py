@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trigflow.functions.ticks import seconds_to_ticks
+from trigflow.operators.running import dealt
+from trigflow.session import cut_lineage
 
 CHANNEL_EVENTS = ("Baseline_ON", "Change_ON")
 
@@ -106,7 +108,8 @@ def baseline_windows(trials: DataFrame, channels: DataFrame, bin_us: int, skip_u
     ``n_end_bins`` is ``floor(usable / bin)`` held between 1 and the bins of the longest
     baseline of the session. A non-positive length still gives one bin, unless ``strict``.
     """
-    t = with_rises(within_common_length(trials, channels, "Baseline_ON"), channels)
+    rises = dealt(channels.where(F.col("channel").isin(*CHANNEL_EVENTS)), "session_id", "event_idx")
+    t = with_rises(within_common_length(trials, channels, "Baseline_ON"), rises)
     usable = baseline_end() - F.col("baseline_us") - skip_us
     t = t.withColumn("usable_us", usable)
     longest = t.groupBy("session_id").agg(F.max("usable_us").alias("longest_us"))
@@ -128,21 +131,24 @@ def baseline_unit_means(points: DataFrame, windows: DataFrame, units: DataFrame,
     """Mean rate per (session, trial, unit) over the trial's own first ``n_end_bins`` bins.
 
     The mean over the bins of counts/bin is the count in the whole span over its length,
-    so one count per trial and unit suffices. Rows exist for every unit of a usable trial.
+    so one count per trial and unit suffices. Rows exist for every unit of a usable trial; they
+    leave an array of counts per trial, which no join of trials and units has to fill up.
     """
-    from trigflow.operators.align import variable_range_join
+    from trigflow.operators.align import span_counts
+    from trigflow.operators.population import BROADCAST_ROWS, dense_unit_index
 
     spans = windows.where("n_end_bins > 0").select(
         "session_id", F.col("trial_idx").alias("trigger_id"), F.col("n_end_bins"),
         (F.col("baseline_us") + skip_us).alias("lo_us"),
         (F.col("baseline_us") + skip_us + F.col("n_end_bins") * bin_us - 1).alias("hi_us"))
-    counts = variable_range_join(points, spans).groupBy("session_id", "trigger_id", "unit_id").agg(
-        F.count(F.lit(1)).alias("n"))
+    index = cut_lineage(dense_unit_index(units))
+    ids = F.array_sort(F.collect_list(F.struct("u", "unit_id")))
+    listed = index.groupBy("session_id").agg(ids.alias("ids")).select("session_id", F.col("ids.unit_id").alias("ids"))
+    listed = F.broadcast(listed) if index.count() <= BROADCAST_ROWS else listed
     seconds = F.col("n_end_bins") * F.lit(bin_us / 1e6)
     return (
-        spans.select("session_id", "trigger_id", "n_end_bins")
-        .join(units.select("session_id", "unit_id"), "session_id")
-        .join(counts, ["session_id", "trigger_id", "unit_id"], "left")
-        .select("session_id", F.col("trigger_id").alias("trial_idx"), "unit_id", "n_end_bins",
-                (F.coalesce("n", F.lit(0)) / seconds).alias("rate"))
+        span_counts(points, spans, index).join(listed, "session_id")
+        .select("session_id", F.col("trigger_id").alias("trial_idx"), "n_end_bins", "counts", F.posexplode("ids").alias("u", "unit_id"))
+        .select("session_id", "trial_idx", "unit_id", "n_end_bins",
+                (F.coalesce(F.get("counts", F.col("u")), F.lit(0)) / seconds).alias("rate"))
     )
