@@ -128,3 +128,26 @@ def test_span_counts_form_no_pair(spark, monkeypatch):
         assert sorted(r.trigger_id for r in rows) == sorted(x[1] for x in spans)
         assert {(r.session_id, r.trigger_id, units[r.session_id, u]): n
                 for r in rows for u, n in enumerate(r.counts) if n} == want
+
+
+def test_joins_with_trials_are_dealt_out_by_rows(spark, monkeypatch):
+    """The parts of a join with the trials grow with the trials, and change no result."""
+    import pytest
+
+    from trigflow.operators import running
+
+    monkeypatch.setattr(running, "PART_ROWS", 10)
+    t = spark.createDataFrame([("s", i, "AB"[i % 2], "AB"[i % 2]) for i in range(120)],
+                              "session_id string, trial_idx int, cond string, grp string")
+    pop = spark.createDataFrame([("s", i, i % 3, u, float(i + u)) for i in range(100) for u in (1, 2)],
+                                "session_id string, trial_idx int, bin int, unit_id int, rate double")
+    proj = pop.groupBy("session_id", "trial_idx", "bin").sum("rate").withColumnRenamed("sum(rate)", "proj")
+    averages = population.condition_average(pop, t, pop.select("session_id", "unit_id").distinct(), 3)
+    curve, scalar = population.group_curve(proj, t, 3), population.trial_scalar(proj, t, [0, 1])
+    for df, parts in ((averages, 48), (curve, 48), (scalar, 12)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression [session_id" in plan and f", {parts}" in plan
+    got = {(r.cond, r.unit_id): r.avg_rate for r in averages.collect()}
+    assert got["A", 1] == pytest.approx(sum(i + 1 for i in range(0, 100, 2)) / 180)
+    assert sum(r.value for r in scalar.collect()) == pytest.approx(sum(2 * i + 3 for i in range(100) if i % 3 < 2) / 2)
+    assert {(r.grp, r.bin): r.n for r in curve.collect()} == {(g, b): 60 for g in "AB" for b in range(3)}

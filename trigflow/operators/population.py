@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 
 from trigflow.functions.tdist import t_p_value
 from trigflow.functions.ticks import BinGrid
+from trigflow.operators.running import dealt
 from trigflow.session import cut_lineage
 
 INF = float("inf")
 BROADCAST_ROWS = 200_000
 
 
+def by_trial(rows: DataFrame, trials: DataFrame, each: int = 4) -> DataFrame:
+    """Rows dealt out for a join with the trials, in parts whose number grows with the trials (of ``each`` rows)."""
+    return dealt(rows, "session_id", "trial_idx", rows=max(1, each * trials.count()))
+
+
 def condition_average(pop: DataFrame, trials: DataFrame, units: DataFrame, n_bins: int = 1,
                       cond: str = "cond") -> DataFrame:
     """Mean rate per (session, condition, unit) over trials, and over bins when there are several."""
+    pop = by_trial(pop, trials)
     n = trials.where(F.col(cond).isNotNull()).groupBy("session_id", cond).agg(F.count(F.lit(1)).alias("n"))
     sums = (
         pop.join(trials.select("session_id", "trial_idx", cond), ["session_id", "trial_idx"])
@@ -75,7 +82,7 @@ def group_stats(values: DataFrame, value: str = "value", group: str = "grp",
 def group_curve(proj: DataFrame, trials: DataFrame, n_bins: int, group: str = "grp") -> DataFrame:
     """Mean and SEM of the projection per session, group and bin; trials without a row count as zero."""
     n = trials.where(F.col(group).isNotNull()).groupBy("session_id", group).agg(F.count(F.lit(1)).alias("n"))
-    sums = proj.join(trials.select("session_id", "trial_idx", group), ["session_id", "trial_idx"]).groupBy(
+    sums = by_trial(proj, trials).join(trials.select("session_id", "trial_idx", group), ["session_id", "trial_idx"]).groupBy(
         "session_id", group, "bin").agg(
         F.sum("proj").alias("s"), F.sum(F.col("proj") * F.col("proj")).alias("s2"))
     mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
@@ -96,7 +103,7 @@ def selected_bins(grid: BinGrid) -> list[int]:
 def trial_scalar(proj: DataFrame, trials: DataFrame, bins: Sequence[int]) -> DataFrame:
     """Mean projection of each trial over a set of bins."""
     s = proj.where(F.col("bin").isin(*bins)).groupBy("session_id", "trial_idx").agg(F.sum("proj").alias("s"))
-    return trials.join(s, ["session_id", "trial_idx"], "left").withColumn(
+    return by_trial(trials, trials, 1).join(s, ["session_id", "trial_idx"], "left").withColumn(
         "value", F.coalesce("s", F.lit(0.0)) / F.lit(float(len(bins)))).drop("s")
 
 
