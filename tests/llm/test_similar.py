@@ -50,3 +50,23 @@ def test_stage_drops_what_is_four_fifths_alike(spark, make_docs):
     some = similar.drop_similar(make_docs([(7, "one two"), (7, "one two"), (None, "one two"), (None, "only here")]))
     assert sorted((r.doc_id or 0, r.text) for r in some.collect()) == [(0, "only here"), (7, "one two")]
     assert similar.drop_similar(make_docs([])).count() == 0
+
+
+def test_large_groups_leave_as_trees_and_are_judged_in_tiles(spark, make_docs, monkeypatch):
+    """Texts that share some seven tenths make links in proportion to their number, and none that is alike is lost."""
+    rnd = random.Random(7)
+    words = [f"W{i}" for i in range(400)]
+    base = [rnd.choice(words) for _ in range(150)]
+    rows = []
+    for i in range(90):
+        edited = list(base)
+        for at in rnd.sample(range(150), rnd.randint(3, 6)):
+            edited[at] = f"x{rnd.randrange(9000)}"
+        rows.append((i, " ".join(edited)))
+    sketch = similar.sketches(make_docs(rows), "doc_id", "text").collect()
+    members = spark.createDataFrame([(k % 3, r.node, r.n, r.node, r.sig) for r in sketch for k in range(3)],
+                                    "key long, node long, n int, label long, sig binary")
+    links = similar.ties(members).collect()
+    assert 80 < len({x for link in links for x in link}) and len(links) < 3 * len(rows)
+    monkeypatch.setattr(similar, "TILE", 16)
+    assert {r.doc_id for r in similar.drop_similar(make_docs(rows)).collect()} == plain_kept(rows)

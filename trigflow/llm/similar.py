@@ -1,7 +1,8 @@
 """Near copies by the similarity of their word shingles.
 
 SimHash fingerprints within four bits and MinHash bands find candidates; packed signatures sort out
-those that only share a passage before a pair leaves its task; the full sets confirm the rest.
+those that only share a passage before a pair leaves its task. What is left in a key leaves it as a spanning
+tree of its pairs; the trees' components meet in tiles of full sets, where all of their pairs are judged.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from trigflow.llm.arrow import give_back, sliced, texts
 from trigflow.llm.columns import perhaps_in, unused
 from trigflow.llm.graph import components
-from trigflow.llm.simhash import fingerprint_links
+from trigflow.llm.simhash import fingerprint_links, forest
+from trigflow.operators.align import key_runs
 from trigflow.session import cut_lineage
 
 WORDS = 5
@@ -28,10 +30,10 @@ BANDS, ROWS = 48, 5
 #: Signatures hold two bits of each of the BANDS * ROWS minima. Those of a pair at 0.8 agree in 204 of 240 on average,
 #: and in fewer than AGREE with probability 1.2 in 10^9; at a similarity of 0.4 one pair in 10^6 agrees as much.
 AGREE = 168
-#: Keys with more members are first searched along a few chains, then only between what is still apart.
-SMALL_GROUP = 48
-#: Shingles whose minima are taken at once, pairs that leave a task at once, and pairs that share a sent set.
+#: Shingles whose minima are taken at once, links that leave a task at once, and pairs that share a sent set.
 BLOCK, PAIRS, STAR = 1 << 12, 1 << 16, 256
+#: Nodes of a block: a component of m nodes is judged in tiles of two blocks, so a set is sent m / TILE times, once up to TILE.
+TILE = 256
 
 _DRAWN = np.random.default_rng(20)
 FACTORS = _DRAWN.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
@@ -120,41 +122,35 @@ def fitting(i: np.ndarray, j: np.ndarray, n: np.ndarray, label: np.ndarray, sig:
     return fit
 
 
-def pairs_of_group(node: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray,
-                   way: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a key's members, sorted by their number of shingles, that may be alike and have different labels.
-
-    ``chains``: all pairs of a small group; of a large one pairs with the next two and with its middle member.
-    ``labels``: for each member one pair with each other label. ``all``: all pairs.
-    """
-    if way == "chains" and len(node) > SMALL_GROUP:
-        k = np.arange(len(node))
-        for i, j in ((k[:-1], k[1:]), (k[:-2], k[2:]), (k, np.full(len(k), len(k) // 2))):
-            fit = fitting(i, j, n, label, sig)
-            yield node[i[fit]], node[j[fit]]
-        return
-    for i in range(len(node) - 1):
-        reach = int(np.searchsorted(n, n[i] * LEAST[1] // LEAST[0], side="right"))
-        j = np.arange(i + 1, max(i + 1, reach))
-        j = j[fitting(np.full(len(j), i), j, n, label, sig)]
-        if way == "labels":
-            j = j[np.unique(label[j], return_index=True)[1]]
-        if len(j):
-            yield np.full(len(j), node[i]), node[j]
-
-
-def candidates(members: DataFrame, way: str) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes with a key in common. ``members(key, node, n, label, sig)``."""
+def tree_of_group(node: np.ndarray, n: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join what the fitting pairs of a key's members, sorted by their number of shingles, join; fewer than members."""
+    left = np.arange(len(node))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            sizes = n[left]
+            lo = int(np.searchsorted(sizes, -(-n[i] * LEAST[0] // LEAST[1])))
+            hi = int(np.searchsorted(sizes, n[i] * LEAST[1] // LEAST[0], side="right"))
+            near = left[lo:hi]
+            fit = fitting(np.full(len(near), i), near, n, label, sig)
+            if fit.any():
+                yield np.full(int(fit.sum()), node[i]), node[near[fit]]
+                reached.extend(near[fit].tolist())
+                left = np.concatenate([left[:lo], near[~fit], left[hi:]])
+
+
+def ties(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the fitting pairs of nodes with a key in common join. ``members(key, node, n, label, sig)``."""
     def work(batches):
         held: list[np.ndarray] = []
         left, right, count = [], [], 0
 
         def take():
             nonlocal left, right, count
-            a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (left, right))
+            a, b = forest(*(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (left, right)))
             left, right, count = [], [], 0
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def groups(columns):
             nonlocal count
@@ -162,7 +158,7 @@ def candidates(members: DataFrame, way: str) -> DataFrame:
             starts, stops = np.r_[0, edge], np.r_[edge, len(columns[0])]
             many = stops - starts > 1
             for s, e in zip(starts[many].tolist(), stops[many].tolist()):
-                for a, b in pairs_of_group(*(c[s:e] for c in columns[1:]), way):
+                for a, b in tree_of_group(*(c[s:e] for c in columns[1:])):
                     left.append(a)
                     right.append(b)
                     count += len(a)
@@ -184,7 +180,57 @@ def candidates(members: DataFrame, way: str) -> DataFrame:
         give_back()
 
     return (members.select("key", "node", "n", "label", "sig").repartition("key").sortWithinPartitions("key", "n", "node")
-            .mapInArrow(work, "a long, b long").distinct())
+            .mapInArrow(work, "a long, b long"))
+
+
+def judged_in_tiles(groups: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the alike pairs of each group join. ``groups(node, root)``, ``nodes(node, n, label, sig)``.
+
+    Every fitting pair of a group is judged by its full sets, unless its sides are joined already. ``sets(node, grams)``.
+    """
+    def judge(rows):
+        node, n, label, block = (np.concatenate([r[k] for r in rows]) for k in range(4))
+        sig, grams = np.concatenate([r[4] for r in rows]), [g for r in rows for g in r[5]]
+        tile_of_two = block[0] != block[-1]
+        for x in range(len(node)):
+            y = np.arange(x + 1, len(node))
+            if tile_of_two:
+                y = y[block[y] != block[x]]
+            for k in y[fitting(np.full(len(y), x), y, n, label, sig)].tolist():
+                if label[k] != label[x] and alike(grams[x], grams[k]):
+                    label[label == label[k]] = label[x]
+                    yield node[x], node[k]
+
+    def work(batches):
+        tile, rows = None, []
+
+        def close():
+            links = list(judge(rows)) if rows and (tile[1] == tile[2] or rows[0][3][0] != rows[-1][3][-1]) else []
+            rows.clear()
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            sets_at = set_views(batch.column(8))
+            for key, s, e in key_runs(batch, 3):
+                if key != tile:
+                    yield close()
+                    tile = key
+                part = batch.slice(s, e - s)
+                node, n, label, block = (part.column(k).to_numpy().copy() for k in (4, 5, 6, 3))
+                sig = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint64).reshape(-1, 8)
+                rows.append((node, n, label, block, sig, [sets_at(k).copy() for k in range(s, e)]))
+        yield close()
+        give_back()
+
+    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = groups.join(blocks, "root").join(nodes, "node").select(
+        "root", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "node", "n", "label", "sig")
+    tile = ["root", "i", "j"]
+    rows = placed.join(sets, "node").select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                                            "block", "node", "n", "label", "sig", "grams")
+    return rows.repartition(*tile).sortWithinPartitions(*tile, "block", "n", "node").mapInArrow(work, "a long, b long")
 
 
 def named_sets(nodes: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -271,26 +317,15 @@ def near_groups(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     def labelled(table: DataFrame) -> DataFrame:
         return table.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
-    def apart(table: DataFrame) -> DataFrame:
-        open_keys = table.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        return table.join(open_keys.select("key"), "key", "left_semi")
-
     keys = labelled(rows.select("node", "keys").dropDuplicates(["node"])).select("node", "label", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    members = cut_lineage(keys.join(sizes.where("lo < hi").select("key", "size"), "key")
-                          .join(firsts.select("node", "n", "sig"), "node"))
-    tried = links
-    for way in ("chains", "labels", "all"):
-        found = candidates(members, way)
-        found = cut_lineage(found if way == "chains" else found.join(tried, ["a", "b"], "left_anti"))
-        if not found.isEmpty():
-            links = links.unionAll(confirm(found))
-            roots = cut_lineage(components(links))
-        tried = tried.unionAll(found)
-        if way != "all":
-            members = members.where(F.col("size") > SMALL_GROUP) if way == "chains" else members
-            members = cut_lineage(apart(labelled(members)))
-    return roots
+    open_keys = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    members = keys.join(open_keys.select("key"), "key").join(firsts.select("node", "n", "sig"), "node")
+    groups = cut_lineage(components(ties(members)))
+    if groups.isEmpty():
+        return roots
+    sets = named_sets(groups.select("node"), docs, named, id_col, text_col)
+    found = judged_in_tiles(groups, labelled(firsts.select("node", "n", "sig")), sets)
+    return cut_lineage(components(cut_lineage(links.unionAll(found))))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
